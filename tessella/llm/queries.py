@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hnsw, lm, pieces, sharding, simhash, token_count, toxicity, warc
+from . import decontam, hnsw, lm, pieces, pii, sharding, simhash, token_count, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -332,3 +332,102 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     ids = named.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     return base.join(ids, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Near-duplicates of word shingles: width in 64-bit words, words of a shingle, and how many keys a text has.
+WIDE, WORDS, ANCHORS = 16, 5, 8
+#: Differing bits of 1024 at which two texts are near-duplicates: a Jaccard similarity of 0.8 gives 155 on average,
+#: give or take 11; 0.7 gives 197.
+WIDE_RADIUS = 168
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, words: int = WIDE, anchors: int = ANCHORS) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of the fingerprint), fp (binary), anchors of every whole text.
+
+    The shingles' hashes are dealt to `anchors` bins, and the least hash of each bin is a key: two texts of
+    similarity s share each key with probability s.
+    """
+
+    def make(batches):
+        for b in batches:
+            for lo, hi, counts, h in blocks(b.column(2), k):
+                fp = np.zeros((hi - lo, words), np.uint64)
+                keys: list[list[int]] = [[] for _ in range(hi - lo)]
+                some = np.flatnonzero(counts)
+                if len(some):
+                    for j in range(words):
+                        fp[some, j] = majority(mix(h, j + 1), counts[some])
+                    starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
+                    order = mix(h, 99)
+                    for j in range(anchors):
+                        least = np.minimum.reduceat(np.where(h % np.uint64(anchors) == j, order, MAX), starts)
+                        for i in np.flatnonzero(least < MAX):
+                            keys[some[i]].append(int((least[i] ^ np.uint64(j)).view(np.int64)))
+                raw = [x.tobytes() for x in fp]
+                node = np.fromiter((xxhash.xxh64_intdigest(x) for x in raw), np.uint64, len(raw)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "fp", "anchors"])
+
+    df = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    return df.mapInArrow(make, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, limit: int = BUCKET) -> DataFrame:
+    """doc_id, h, label of every document; near-duplicates, directly or through others, have one label.
+
+    Texts are compared that share a key; where more than `limit` different ones share it, those that share a second
+    and a third key as well. Equal fingerprints are one node, so copies cost nothing here.
+    """
+    base = checkpoint(wide_fingerprints(docs, id_col, text_col))
+    nodes = checkpoint(base.groupBy("node").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors")))
+    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp").withColumn("used", F.array("key"))
+    depth = 0
+
+    def again(rows: DataFrame) -> DataFrame | None:
+        nonlocal depth
+        depth += 1
+        if depth > 2:
+            return None
+        more = rows.join(nodes.select("node", "anchors"), "node").withColumn("more", F.explode(F.array_except("anchors", "used")))
+        return more.select(F.xxhash64("key", "more").alias("key"), "node", "fp", F.concat("used", F.array("more")).alias("used"))
+
+    edges = None
+    for part in refine(keyed, again, limit):
+        found = bucket_links(part, radius, WIDE)
+        edges = found if edges is None else edges.union(found)
+    labels = components(edges)
+    return base.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group the row with the smallest id (nulls last) stays.
+
+    What goes is looked up by each row's own key, so no text is shuffled. Rows with equal id and text are one
+    document and one of them stays.
+    """
+    groups = checkpoint(near_groups(docs, id_col, text_col, **options))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("h"))
+    first = groups.groupBy("label").agg(F.min(rank).alias("first"))
+    rows = groups.groupBy("label", "doc_id", "h").agg(F.count("*").alias("n")).join(first, "label")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))
+    told = rows.where(~stays | (F.col("n") > 1)).select(F.xxhash64("doc_id", "h").alias("h"), F.when(stays, 2).otherwise(1).alias("what"))
+    spark = docs.sparkSession
+    bits = max(4, min(16, docs.rdd.getNumPartitions().bit_length()))
+    store = hashstore.build(told.groupBy("h").agg(F.max("what").alias("what")), shared_dir(spark), bits, ["what"], ["u1"])
+
+    def choose(want: int):
+        def run(batches):
+            for b in batches:
+                key = b.column(b.num_columns - 1).to_numpy().view(np.uint64)
+                order = np.argsort(key)
+                _, (what,) = store.lookup(key[order])
+                mine = np.zeros(len(key), bool)
+                mine[order] = what == want
+                yield b.filter(pa.array(mine))
+
+        return run
+
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    out = keyed.mapInArrow(choose(0), keyed.schema).select(*docs.columns)
+    if told.where("what = 2").isEmpty():
+        return out
+    return out.union(keyed.mapInArrow(choose(2), keyed.schema).dropDuplicates(["_key"]).select(*docs.columns))
