@@ -1 +1 @@
-"""."""
+"""Incremental forms of the operators, on Structured Streaming."""
