@@ -8,6 +8,7 @@ block, all of a block's stretches in lockstep.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import cache
 
@@ -200,6 +201,32 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _encoded(v: Vocabulary, batch: list[str | None], memo: dict[str, np.ndarray]):
+    """(from, to, ids of each text) of runs of texts; every distinct stretch of a run is searched at most once."""
+    lo = size = 0
+    for i, t in enumerate(batch):
+        size += len(t or "")
+        if size < BLOCK_CHARS and i + 1 < len(batch):
+            continue
+        cut = [v.units(t or "") for t in batch[lo : i + 1]]
+        fresh = list({u for us in cut for u in us} - memo.keys())
+        if len(memo) + len(fresh) > MEMO:
+            memo.clear()
+            fresh = list({u for us in cut for u in us})
+        memo.update(zip(fresh, v.segment(fresh), strict=True))
+        yield lo, i + 1, [np.concatenate([memo[u] for u in us]) if us else np.zeros(0, np.int32) for us in cut]
+        lo, size = i + 1, 0
+
+
+def _lists(ids: list[np.ndarray], null: list[bool]) -> pa.Array:
+    offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=pa.array(null))
+
+
+def _kinds(df: DataFrame, cols: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in cols)
+
+
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns of `docs` and `ids` (array<int>) of every whole text. Null gives null, an empty text no ids.
 
@@ -212,27 +239,11 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
     def run(batches):
         v, memo = vocabulary(path), {}
         for b in batches:
-            whole, lo, size = b.column(at).to_pylist(), 0, 0
-            for i, t in enumerate(whole):
-                size += len(t or "")
-                if size >= BLOCK_CHARS or i + 1 == len(whole):
-                    cut = [v.units(t or "") for t in whole[lo : i + 1]]
-                    fresh = list({u for us in cut for u in us} - memo.keys())
-                    if len(memo) + len(fresh) > MEMO:
-                        memo.clear()
-                        fresh = list({u for us in cut for u in us})
-                    memo.update(zip(fresh, v.segment(fresh), strict=True))
-                    parts = [[memo[u] for u in us] for us in cut]
-                    offsets = np.cumsum([0, *(sum(map(len, p)) for p in parts)])
-                    flat = [x for p in parts for x in p]
-                    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-                    mask = pa.array([t is None for t in whole[lo : i + 1]])
-                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
-                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, i + 1 - lo) for c in b.columns), ids], names=[*keep, ids_col])
-                    lo, size = i + 1, 0
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep).mapInArrow(run, f"{kinds}, `{ids_col}` array<int>")
+            text = b.column(at).to_pylist()
+            for lo, hi, ids in _encoded(v, text, memo):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), _lists(ids, [t is None for t in text[lo:hi]])], names=[*keep, ids_col])
+
+    return docs.select(*keep).mapInArrow(run, f"{_kinds(docs, keep)}`{ids_col}` array<int>")
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
@@ -249,36 +260,31 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to_col:
                 text = [v.decode(x.values.to_numpy()) if x.is_valid else None for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*keep, to_col])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep).mapInArrow(run, f"{kinds}, `{to_col}` string")
+    return df.select(*keep).mapInArrow(run, f"{_kinds(df, keep)}`{to_col}` string")
 
 
-def digest(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """All columns but the ids, with n_ids, n_byte_ids and ids_sha256 (of the ids, comma-joined)."""
-    import hashlib
+def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The columns in `carry`, with n_ids, n_byte_ids, ids_sha256 (of the ids, comma-joined), decoded_sha256, lossless of
+    every whole text, encoded and decoded again in one pass, and `ids` if asked for. Null counts as empty.
 
+    A text that has U+2581 itself decodes with a blank there, so it isn't lossless.
+    """
     path = path or default_path()
-    keep = [c for c in df.columns if c != ids_col]
+    df = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
+    names = [*carry, "n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "lossless", *["ids"] * with_ids]
 
     def run(batches):
-        v = vocabulary(path)
+        v, memo = vocabulary(path), {}
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            ids = [None if not x.is_valid else x.values.to_numpy() for x in b.column(len(keep))]
-            n = [None if x is None else len(x) for x in ids]
-            byte = [None if x is None else int(v.is_byte[x].sum()) for x in ids]
-            sha = [None if x is None else hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(byte, pa.int64()), pa.array(sha, pa.string())], names=[*keep, "n_ids", "n_byte_ids", "ids_sha256"])
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, ids_col).mapInArrow(run, f"{kinds}, n_ids long, n_byte_ids long, ids_sha256 string")
-
-
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, n_byte_ids, ids_sha256, decoded_sha256, lossless: encode and decode every whole text. Null counts as empty.
-
-    A text that has U+2581 itself decodes with a blank there, so it isn't lossless.
-    """
-    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    back = decode(encode(df, path), path)
-    short = back.select("doc_id", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("lossless"), "ids")
-    return digest(short, path).select("doc_id", "n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "lossless")
+            text = strings(b.column(len(carry)))
+            for lo, hi, ids in _encoded(v, text, memo):
+                back = [v.decode(x) for x in ids]
+                out = [
+                    pa.array([len(x) for x in ids], pa.int64()), pa.array([int(v.is_byte[x].sum()) for x in ids], pa.int64()), pa.array([sha(",".join(map(str, x.tolist()))) for x in ids]),
+                    pa.array([sha(x) for x in back]), pa.array([x == y for x, y in zip(back, text[lo:hi], strict=True)]), *[_lists(ids, [False] * len(ids))] * with_ids,
+                ]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), *out], names=names)
+
+    kinds = "n_ids long, n_byte_ids long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
+    return df.mapInArrow(run, f"{_kinds(df, carry)}{kinds}")
