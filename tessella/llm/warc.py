@@ -171,7 +171,8 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2026-01-01T0
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     body = columns.get("body_col", "html")
-    sample = pages.where(F.octet_length(F.col(body)).between(1, SAMPLE_BYTES)).orderBy(F.xxhash64(body)).limit(SAMPLE_ROWS).select(body)
+    every = max(1, pages.count() // (2 * SAMPLE_ROWS))
+    sample = pages.where(F.octet_length(F.col(body)).between(1, SAMPLE_BYTES) & (F.pmod(F.xxhash64(body), F.lit(every)) == 0)).limit(SAMPLE_ROWS).select(body)
     dictionary = train_dictionary([r[0].encode() for r in sample.collect()])
 
     def save(batches):
