@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import released, texts
 
 #: Items are put into automata of at most about this many words, whose size is thereby bounded; there is a pass for each.
 AUTOMATON_WORDS = 400_000
@@ -182,7 +182,7 @@ def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, t
                     longest.append(max(far, n))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())], names=b.schema.names)
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(released(scan), schema)
     return out
 
 
@@ -213,7 +213,7 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options)
 
     found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(options.get("text_col", "text")).alias("text")), bench, ["doc_id"], **options | {"text_col": "text"})
     flat = found.select("row.doc_id", "text", "spans", "items")
-    return flat.mapInArrow(digest, f"doc_id {flat.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return flat.mapInArrow(released(digest), f"doc_id {flat.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -254,7 +254,7 @@ def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float =
                 text.append(cut(t, spans) if spans and stays else t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(was_cut, pa.bool_())], names=["row", "text", "cut"]).filter(pa.array(keep, pa.bool_()))
 
-    edited = found.select("row", "text", "spans").mapInArrow(edit, f"row {row}, text string, cut boolean")
+    edited = found.select("row", "text", "spans").mapInArrow(released(edit), f"row {row}, text string, cut boolean")
     columns = {c: F.col("row")[c] for c in others} | {text_col: F.col("text")}
     if count_col in others:
         columns[count_col] = F.when(F.col("cut"), F.length("text")).otherwise(columns[count_col]).cast(docs.schema[count_col].dataType)

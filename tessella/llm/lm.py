@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts
+from .common import released, shared_dir, texts
 from .hashstore import HashStore, write_shard
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -73,7 +73,14 @@ def runs(pairs: tuple[np.ndarray, np.ndarray], bits: int):
         lo, hi = edges[k], edges[k + 1]
         names, refs = np.unique(np.concatenate((ctx[lo:hi], word[lo:hi])), return_inverse=True)
         n = hi - lo
-        yield int(k), int(n), len(names), pack([names, refs[:n].astype("<u4"), refs[n:].astype("<u4"), count[lo:hi]])
+        a, b = refs[:n], refs[n:]
+        order = np.lexsort((b, a))  # ascending contexts, whose steps pack into almost nothing
+        kind = ref_type(len(names))
+        yield int(k), int(n), len(names), pack([names, np.diff(a[order], prepend=0).astype(kind), b[order].astype(kind), count[lo:hi][order]])
+
+
+def ref_type(names: int) -> str:
+    return "<u2" if names <= 1 << 16 else "<u4"
 
 
 def _sum_of_counts(c: np.ndarray) -> list[int]:
@@ -195,8 +202,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         k = t.column("shard")[0].as_py()
         ctx, word, count_ = [], [], []
         for r in t.select(["n", "m", "blob"]).to_pylist():
-            names, a, b, c = unpack(r["blob"], [r["m"], r["n"], r["n"], r["n"]], ["<u8", "<u4", "<u4", "<u4"])
-            ctx.append(names[a])
+            names, a, b, c = unpack(r["blob"], [r["m"], r["n"], r["n"], r["n"]], ["<u8", *[ref_type(r["m"])] * 2, "<u4"])
+            ctx.append(names[np.cumsum(a, dtype=np.int64)])
             word.append(names[b])
             count_.append(c)
         ctx, word, c = (np.concatenate(x) for x in (ctx, word, count_))
@@ -216,7 +223,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         of = _sum_of_counts(c)
         return pa.table({
             "shard": pa.array(at, pa.int32()), "n": pa.array(np.diff(edges)[at], pa.int32()), "blob": pa.array(blobs, pa.binary()), "of_shard": pa.array([k] * len(at), pa.int32()),
-            "pairs": pa.array([len(g)] * len(at), pa.int64()), "seen": pa.array([of] * len(at), pa.list_(pa.int64())),
+            # The shard's own sums go along with its first row only.
+            "pairs": pa.array([len(g), *[None] * (len(at) - 1)], pa.int64()), "seen": pa.array([of, *[None] * (len(at) - 1)], pa.list_(pa.int64())),
         })
 
     def merge_words(t: pa.Table) -> pa.Table:
@@ -225,14 +233,14 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         h, (uses, once, twice, often, before) = sum_by(np.concatenate([r[0] for r in rows]), [np.concatenate([r[i] for r in rows]).astype(np.int64) for i in range(1, 6)])
         write_shard(words_at, k, h, [uses.astype("<i8"), *(x.astype("<u4") for x in (once, twice, often, before))])
         begin = int(uses[h == BEGIN].sum())
-        sizes = dict(zip(t.column("of_shard").to_pylist(), zip(t.column("pairs").to_pylist(), t.column("seen").to_pylist(), strict=True), strict=True))
+        sizes = {r["of_shard"]: (r["pairs"], r["seen"]) for r in t.select(["of_shard", "pairs", "seen"]).to_pylist() if r["pairs"] is not None}
         return pa.table({
             "shard": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64()), "uses": pa.array([int(uses.sum()) - begin]), "documents": pa.array([begin]), "types": pa.array([int((before > 0).sum())]),
             "kinds": pa.array([int(before.sum())]), "seen": pa.array([_sum_of_counts(before)], pa.list_(pa.int64())), "thrice": pa.array([int((before > 2).sum())]),
             "of": pa.array([list(sizes)], pa.list_(pa.int32())), "pairs": pa.array([[a for a, _ in sizes.values()]], pa.list_(pa.int64())), "pair_seen": pa.array([[b for _, b in sizes.values()]], pa.list_(pa.list_(pa.int64()))),
         })
 
-    counted = df.mapInArrow(count, "shard int, n int, m int, blob binary")
+    counted = df.mapInArrow(released(count), "shard int, n int, m int, blob binary")
     by_word = counted.groupBy("shard").applyInArrow(merge, "shard int, n int, blob binary, of_shard int, pairs long, seen array<long>")
     kinds = "shard int, n long, uses long, documents long, types long, kinds long, seen array<long>, thrice long, of array<int>, pairs array<long>, pair_seen array<array<long>>"
     rows = by_word.groupBy("shard").applyInArrow(merge_words, kinds).collect()  # a row for each shard, with the shards' sizes
@@ -270,7 +278,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*own, pa.array(sums[0]), pa.array(sums[1]), pa.array(np.full(hi - lo, model.total, np.int64)), pa.array(sums[2]), pa.array(sums[3])], names=[*carry, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
-    return df.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return df.mapInArrow(released(run), f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def fold(col: str, n: int = 5):

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import released, strings
 
 MARK = "▁"
 #: A character without a piece scores this much less than the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
 #: Stretches whose ids a task remembers, and characters of text that are encoded at once.
-MEMO, BLOCK_CHARS = 300_000, 1_500_000
+MEMO, BLOCK_CHARS = 150_000, 1_500_000
 
 
 class DoubleArray:
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
             for lo, hi, ids in _encoded(v, text, memo):
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), _lists(ids, [t is None for t in text[lo:hi]])], names=[*keep, ids_col])
 
-    return docs.select(*keep).mapInArrow(run, f"{_kinds(docs, keep)}`{ids_col}` array<int>")
+    return docs.select(*keep).mapInArrow(released(run), f"{_kinds(docs, keep)}`{ids_col}` array<int>")
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to_col: str = "decoded") -> DataFrame:
@@ -260,7 +260,7 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to_col:
                 text = [v.decode(x.values.to_numpy()) if x.is_valid else None for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*keep, to_col])
 
-    return df.select(*keep).mapInArrow(run, f"{_kinds(df, keep)}`{to_col}` string")
+    return df.select(*keep).mapInArrow(released(run), f"{_kinds(df, keep)}`{to_col}` string")
 
 
 def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -287,4 +287,4 @@ def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), *out], names=names)
 
     kinds = "n_ids long, n_byte_ids long, ids_sha256 string, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
-    return df.mapInArrow(run, f"{_kinds(df, carry)}{kinds}")
+    return df.mapInArrow(released(run), f"{_kinds(df, carry)}{kinds}")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .common import checkpoint, partitions, shared_dir, texts
+from .common import checkpoint, partitions, released, shared_dir, texts
 from .components import components
 
 #: Fingerprints under one key beyond which the key is refined.
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(make), f"doc_id {kind}, fp long")
 
 
 class Counters:
@@ -262,7 +262,7 @@ def bucket_links(keyed: DataFrame, radius: int, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], names=["a", "b"])
 
     spread = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
-    return spread.select("key", "node", "fp").mapInArrow(link, "a long, b long")
+    return spread.select("key", "node", "fp").mapInArrow(released(link), "a long, b long")
 
 
 def refine(keyed: DataFrame, again: Callable[[DataFrame], DataFrame | None], limit: int = BUCKET) -> list[DataFrame]:
@@ -296,7 +296,7 @@ def bands(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out, strict=True)], names=["fp", "used", "key"])
 
-    return rows.select("fp", "used", "key").mapInArrow(cut, "fp long, used long, key long").withColumn("node", F.col("fp"))
+    return rows.select("fp", "used", "key").mapInArrow(released(cut), "fp long, used long, key long").withColumn("node", F.col("fp"))
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 3, limit: int = BUCKET) -> DataFrame:
@@ -368,7 +368,7 @@ def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "fp", "anchors"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return df.mapInArrow(make, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>")
+    return df.mapInArrow(released(make), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, limit: int = BUCKET) -> DataFrame:
@@ -427,7 +427,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return run
 
     keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
-    out = keyed.mapInArrow(choose(0), keyed.schema).select(*docs.columns)
+    out = keyed.mapInArrow(released(choose(0)), keyed.schema).select(*docs.columns)
     if told.where("what = 2").isEmpty():
         return out
-    return out.union(keyed.mapInArrow(choose(2), keyed.schema).dropDuplicates(["_key"]).select(*docs.columns))
+    return out.union(keyed.mapInArrow(released(choose(2)), keyed.schema).dropDuplicates(["_key"]).select(*docs.columns))

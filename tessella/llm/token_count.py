@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import hashstore
-from .common import shared_dir, strings
+from .common import released, shared_dir, strings
 
 #: Distinct pre-tokens that a task holds before it hands them on.
 FLUSH = 400_000
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(pieces(pre, path), pa.int32())], names=["h", "n"])
 
     spark = docs.sparkSession
-    counted = df.select("text").mapInArrow(distinct, "pre string").distinct().mapInArrow(count, "h long, n int")
+    counted = df.select("text").mapInArrow(released(distinct), "pre string").distinct().mapInArrow(released(count), "h long, n int")
     bits = max(4, min(16, (df.rdd.getNumPartitions() * 2 - 1).bit_length()))
     # Two pre-tokens with one 64-bit hash would share a count; at a billion distinct ones the chance is 3 %.
     store = hashstore.build(counted.dropDuplicates(["h"]), shared_dir(spark), bits, ["n"], ["<i4"])
@@ -167,4 +167,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str | None =
                 yield block(held)
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return df.mapInArrow(released(total), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
