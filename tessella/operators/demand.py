@@ -70,6 +70,37 @@ def domains(evidence: DataFrame, shared: int = 3) -> DataFrame:
     return best.join(owners, "domain").select("company", "domain", (F.col("owners") >= shared).alias("is_shared"))
 
 
+def opportunities(rows: DataFrame, queries: int = 10, pages: int = 3) -> DataFrame:
+    """(intent, clicks, impressions, position, queries, pages): what was searched for, with its top queries and pages.
+
+    rows: intent, query, page, clicks, impressions, position. Each part is summed before it is ranked, and only the
+    ranked few are collected.
+    """
+    total = weighted_position(rows, ["intent"])
+
+    def best(part: str, k: int, more: list[str]) -> DataFrame:
+        sums = rows.groupBy("intent", part).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"))
+        rank = F.row_number().over(Window.partitionBy("intent").orderBy(F.desc("impressions"), part))
+        few = sums.withColumn("rank", rank).where(F.col("rank") <= k)
+        listed = F.array_sort(F.collect_list(F.struct("rank", part, *more, "impressions")))
+        return few.groupBy("intent").agg(listed.alias("of"))
+
+    q = best("query", queries, ["clicks"]).withColumnRenamed("of", "queries")
+    return total.join(q, "intent").join(best("page", pages, []).withColumnRenamed("of", "pages"), "intent")
+
+
+def role_counts(jobs: DataFrame) -> DataFrame:
+    """(kind, role, place, n) of open jobs by role, role and place, and place, in one pass; remote is a place as well."""
+    remote = F.when(F.col("workplace") == "remote", F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>"))
+    df = jobs.where(~F.col("closed")).select("standard_titles", F.concat("areas", remote).alias("places"))
+    none = F.lit(None).cast("string")
+    key = lambda kind, role, place: F.struct(F.lit(kind).alias("kind"), role.alias("role"), place.alias("place"))
+    roles = F.transform("standard_titles", lambda t: key("role", t, none))
+    places = F.transform("places", lambda p: key("place", none, p))
+    both = F.flatten(F.transform("standard_titles", lambda t: F.transform("places", lambda p: key("role_place", t, p))))
+    return df.select(F.explode(F.concat(roles, places, both)).alias("x")).select("x.*").groupBy("kind", "role", "place").agg(F.count("*").alias("n"))
+
+
 def sitemap_shards(pages: DataFrame, day: str, path: str, size: int = 45_000) -> DataFrame:
     """All columns and `shard`: newest days first, then by path, `size` pages a shard.
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, text, times
-from ..operators import dedup, demand, maintenance, search, stats, timeseries
+from ..functions import html, names, text, times
+from ..operators import dedup, demand, maintenance, places, search, stats, timeseries
 from ..sources.tables import AS_OF, EVENTS_AS_OF, postings, registry, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,3 +589,125 @@ def html_postings(spark, sf_dir):
     return x.select("page_id", F.coalesce("x.title", "t").alias("title"), "x.company", "x.location", F.coalesce("x.salary_min", "s.salary_min").alias("salary_min"), F.coalesce("x.salary_max", "s.salary_max").alias("salary_max"), "x.posted", "x.workplace")
 
 
+# Names, sectors, workplaces and places
+
+
+_SHAPES = ["{}", "Careers at {}", "{} Careers", "Corporate Careers | {}", "{} | A tagline of ours", "{} External Careers Site", "{} - Talent Acquisition", "careers.{}.com", "Careers", "Join us | Jobs with {} | {}", "{}.eightfold.ai", "Employment Opportunities at {}"]
+_RAW_NAME = "replace((" + repr(_SHAPES) + ")[c_custkey % 12 + 1], '{}', replace(c_name, '#', ' '))"
+_WORDLESS = "x"
+for _p in names.WORDING:
+    _WORDLESS = f"regexp_replace({_WORDLESS}, '{_p}', '')"
+
+
+@query("display_names", f"""
+WITH s AS (SELECT c_custkey AS id, trim(regexp_replace({_RAW_NAME}, '\\s+', ' ', 'g')) AS name FROM customer),
+p AS (SELECT id, name, [trim(x) FOR x IN string_split(name, '|') IF trim(x) <> ''] AS parts FROM s),
+o AS (SELECT id, name, CASE WHEN len(parts) > 1 AND len([x FOR x IN parts IF len(string_split(x, ' ')) <= 6 AND regexp_matches(x, '{names.CAREERS_WORD}')]) > 0 THEN list_reverse(parts) ELSE parts END AS parts FROM p),
+b AS (SELECT id, name, [trim({_WORDLESS}, ' -–—:|') FOR x IN parts IF NOT regexp_matches(x, '{names.CAREERS_ONLY}')] AS parts FROM o)
+SELECT id, CASE WHEN NOT ({" OR ".join(f"regexp_matches(name, '{h}')" for h in names.HOSTS)}) THEN [x FOR x IN parts IF x <> ''][1] END AS company FROM b""")
+def display_names(spark, sf_dir):
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    raw = F.replace(shape, F.lit("{}"), F.translate("c_name", "#", " "))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), names.display_company(raw).alias("company"))
+
+
+@query("sector_hashes", """
+SELECT p_partkey AS id, substr(sha256(p_name || chr(0) || p_type), 1, 16) AS text_hash, CASE WHEN p_size / 50.0 >= 0.7 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33') THEN p_brand ELSE 'unknown' END AS sector FROM part""")
+def sector_hashes(spark, sf_dir):
+    shown = names.sector_shown(F.col("p_brand"), F.col("p_size") / 50.0, ["Brand#11", "Brand#22", "Brand#33"])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names.text_hash(F.col("p_name"), F.col("p_type")).alias("text_hash"), shown.alias("sector"))
+
+
+@query("accepted_titles", """
+WITH s AS (SELECT p_partkey AS id, list_sort([{'s': -((p_partkey * k * 37) % 100) / 100.0, 'i': k} FOR k IN [1, 2, 3, 4, 5]])[1:3] AS x FROM part)
+SELECT id, array_to_string(['t' || e.i FOR e, i IN x IF i = 1 OR -e.s >= 0.5], ',') AS titles FROM s""")
+def accepted_titles(spark, sf_dir):
+    k = F.col("p_partkey")
+    scored = F.array(*(F.struct(F.lit(f"t{i}").alias("title"), ((k * i * 37) % 100 / 100.0).alias("score")) for i in range(1, 6)))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.array_join(names.accepted(scored, 0.5, 3), ",").alias("titles"))
+
+
+_SAID, _GEO = ["remote", None, "hybrid", "onsite", None, None, "remote"], ["other", "city", "other", "city", "state", "other", "city"]
+_SQL_SAID = "[" + ", ".join(f"'{x}'" if x else "NULL" for x in _SAID) + "]"
+
+
+@query("workplaces", f"""
+WITH e AS (SELECT o_orderkey AS id, [o_orderkey % 7 + 1, o_orderkey // 7 % 7 + 1] AS k, {_SQL_SAID} AS w, {_GEO!r} AS g FROM orders),
+t AS (SELECT id, [CASE WHEN w[i] = 'remote' AND g[i] = 'city' THEN 'hybrid' ELSE w[i] END FOR i IN k IF w[i] IS NOT NULL] AS said, len([i FOR i IN k IF w[i] IS NULL AND g[i] = 'city']) > 0 AS city, len([i FOR i IN k IF w[i] IS NULL AND g[i] = 'other']) > 0 AS odd FROM e),
+u AS (SELECT id, odd, list_distinct([CASE WHEN x = 'remote' AND city THEN 'hybrid' ELSE x END FOR x IN said]) AS kinds FROM t),
+d AS (SELECT id, (['unknown', 'onsite', 'remote', 'hybrid'])[id % 4 + 1] AS current, CASE WHEN len(kinds) = 1 AND NOT (kinds[1] = 'remote' AND odd) THEN kinds[1] END AS derived FROM u)
+SELECT id, derived, CASE WHEN derived IS NOT NULL AND current IN ('unknown', 'onsite') THEN derived ELSE current END AS workplace FROM d""")
+def workplaces(spark, sf_dir):
+    k = F.col("o_orderkey")
+    options = F.array(*(F.struct(F.lit(w).cast("string").alias("workplace"), F.lit(g).alias("geo")) for w, g in zip(_SAID, _GEO, strict=True)))
+    entries = F.array(*(F.element_at(options, (i % 7 + 1).cast("int")) for i in (k, F.floor(k / 7))))
+    current = F.element_at(F.array(*map(F.lit, ("unknown", "onsite", "remote", "hybrid"))), (k % 4 + 1).cast("int"))
+    df = table(spark, sf_dir, "orders").select(k.alias("id"), names.workplace_of(entries).alias("derived"), current.alias("current"))
+    return df.select("id", "derived", names.workplace_agreed(F.col("current"), F.col("derived")).alias("workplace"))
+
+
+@query("full_read_slots", """
+SELECT s_suppkey AS id, CAST(480 + list_reduce([instr('0123456789abcdef', c) - 1 FOR c IN string_split(md5(CAST(s_suppkey AS VARCHAR)), '')], lambda a, c: (a * 16 + c) % 720) AS INTEGER) AS minute FROM supplier""")
+def full_read_slots(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), names.full_read_slot(F.md5(F.col("s_suppkey").cast("string").cast("binary"))).alias("minute"))
+
+
+_GAZETTEER = "SELECT c_custkey AS place, 25 + (c_custkey * 7 % 2000) / 100.0 AS plat, -120 + (c_custkey * 13 % 5000) / 100.0 AS plon, c_custkey * 97 % 100000 AS people, 'A' || c_nationkey AS area FROM customer"
+_POINTS = "SELECT s_suppkey AS id, 25 + (s_suppkey * 31 % 2000) / 100.0 AS lat, -120 + (s_suppkey * 17 % 5000) / 100.0 AS lon, 'A' || s_nationkey AS own_area FROM supplier"
+_MILES = "2 * 3958.8 * asin(sqrt(least(1.0, pow(sin(radians(plat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plon - lon) / 2), 2))))"
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), (25 + k * 31 % 2000 / 100.0).alias("lat"), (-120 + k * 17 % 5000 / 100.0).alias("lon"), F.concat(F.lit("A"), F.col("s_nationkey").cast("string")).alias("own_area"))
+
+
+def _gazetteer(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("place"), (25 + k * 7 % 2000 / 100.0).alias("place_lat"), (-120 + k * 13 % 5000 / 100.0).alias("place_lon"), (k * 97 % 100000).alias("population"), F.concat(F.lit("A"), F.col("c_nationkey").cast("string")).alias("area"))
+
+
+@query("nearest_places", f"""
+WITH g AS ({_GAZETTEER}), p AS ({_POINTS}), d AS (SELECT id, place, {_MILES} AS distance FROM p, g WHERE people >= 5000)
+SELECT id, place, round(distance, 6) AS distance FROM d WHERE distance <= 100 QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, place) = 1""")
+def nearest_places(spark, sf_dir):
+    out = places.nearest(_points(spark, sf_dir), _gazetteer(spark, sf_dir), "id", least_people=5000)
+    return out.select("id", "place", F.round("distance", 6).alias("distance"))
+
+
+@query("areas_around", f"""
+WITH g AS ({_GAZETTEER}), p AS ({_POINTS}), d AS (SELECT id, area, {_MILES} AS distance FROM p, g UNION ALL SELECT id, own_area, -1 FROM p),
+m AS (SELECT id, area, min(distance) AS distance FROM d WHERE distance <= 60 GROUP BY id, area)
+SELECT id, area, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, area) AS INTEGER) AS rank FROM m""")
+def areas_around(spark, sf_dir):
+    return places.areas_around(_points(spark, sf_dir), _gazetteer(spark, sf_dir), "id", 60.0)
+
+
+@query("top_places", f"""
+WITH {POSTINGS}, c AS (SELECT sector, unnest(areas) AS place FROM postings WHERE NOT closed), n AS (SELECT sector, place, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT sector, CAST(row_number() OVER (PARTITION BY sector ORDER BY n DESC, place) AS INTEGER) AS rank, place, n FROM n QUALIFY rank <= 15""")
+def top_places(spark, sf_dir):
+    return places.top_places(postings(spark, sf_dir).where(~F.col("closed")), "sector", "areas")
+
+
+@query("role_counts", f"""
+WITH {POSTINGS}, o AS (SELECT title, CASE WHEN workplace = 'remote' THEN list_append(areas, 'remote') ELSE areas END AS places FROM postings WHERE NOT closed), u AS (SELECT title, unnest(places) AS place FROM o)
+SELECT 'role' AS kind, title AS role, CAST(NULL AS VARCHAR) AS place, count(*) AS n FROM o GROUP BY title UNION ALL
+SELECT 'place', NULL, place, count(*) FROM u GROUP BY place UNION ALL SELECT 'role_place', title, place, count(*) FROM u GROUP BY title, place""")
+def role_counts(spark, sf_dir):
+    return demand.role_counts(postings(spark, sf_dir))
+
+
+@query("search_opportunities", """
+WITH r AS (SELECT event_type AS intent, 'q' || event_id % 25 AS query, CAST(json_extract(props, '$.k') AS INTEGER) AS page, CAST(floor(value) AS BIGINT) % 5 AS clicks, CAST(floor(value) AS BIGINT) AS impressions, 1 + event_id % 40 AS position FROM events),
+t AS (SELECT intent, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, CASE WHEN sum(impressions) > 0 THEN round_even(CAST(sum(position * impressions) AS DOUBLE) / CAST(sum(impressions) AS DOUBLE), 2) ELSE 0.0 END AS position FROM r GROUP BY 1),
+q AS (SELECT intent, query, CAST(sum(clicks) AS BIGINT) AS c, CAST(sum(impressions) AS BIGINT) AS i FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY intent ORDER BY i DESC, query) <= 10),
+p AS (SELECT intent, page, CAST(sum(impressions) AS BIGINT) AS i FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY intent ORDER BY i DESC, page) <= 3),
+qs AS (SELECT intent, string_agg(query || ':' || c || ':' || i, ',' ORDER BY i DESC, query) AS queries FROM q GROUP BY 1), ps AS (SELECT intent, string_agg(page || ':' || i, ',' ORDER BY i DESC, page) AS pages FROM p GROUP BY 1)
+SELECT * FROM t JOIN qs USING (intent) JOIN ps USING (intent)""")
+def search_opportunities(spark, sf_dir):
+    n = F.floor("value").cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("intent"), F.concat(F.lit("q"), (F.col("event_id") % 25).cast("string")).alias("query"), F.get_json_object("props", "$.k").cast("int").alias("page"), (n % 5).alias("clicks"), n.alias("impressions"), (1 + F.col("event_id") % 40).alias("position"))
+    out = demand.opportunities(rows)
+    line = lambda col, parts: F.array_join(F.transform(col, lambda x: F.concat_ws(":", *(x[p].cast("string") for p in parts))), ",").alias(col)
+    return out.select("intent", "clicks", "impressions", "position", line("queries", ["query", "clicks", "impressions"]), line("pages", ["page", "impressions"]))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import geo, html, text, times, urls
+from tessella.functions import geo, html, names, text, times, urls
 
 
 def values(spark, cases, column):
@@ -115,3 +115,13 @@ def test_salary():
 def test_completeness(spark):
     df = spark.createDataFrame([("x" * 300, None), ("x" * 299, None), ("y " * 200, ("y  " * 200).strip()), (None, None)], "t string, d string")
     assert [r.c for r in df.select(html.is_complete(F.col("t"), F.col("d")).alias("c")).collect()] == [True, False, False, False]
+
+
+def test_display_company(spark):
+    cases = {
+        "Careers at Bluebird": "Bluebird", "Corporate Careers | Bluebird": "Bluebird", "Bluebird | A bank": "Bluebird", "bluebird.eightfold.ai": None, "careers.bluebird.com": None, "Careers": None,
+        "Super.com": "Super.com", "Studio Helper | Careers | Two Rivers": "Two Rivers", "Bluebird External": "Bluebird", "J.P.Bird": "J.P.Bird", " | ": None, "": None, None: None,
+    }
+    assert values(spark, cases, names.display_company) == list(cases.values())
+    brands = F.array(F.lit(""), F.lit("Golf Nest"), F.lit("Marsh's"))
+    assert values(spark, ["Marsh s of MA", "Galaxy Golf", None], lambda x: names.sub_brand(brands, x)) == ["Marsh's", None, None]

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessella.operators import dedup, demand, maintenance, search, stats, timeseries
+from tessella.operators import dedup, demand, maintenance, places, search, stats, timeseries
 from tessella.sources import listing
 from tessella.streaming import incremental
 
@@ -154,3 +155,21 @@ def test_activity_stream(spark, tmp_path):
     q = incremental.activity(spark.readStream.schema("ts timestamp, kind string").parquet(f"{tmp_path}/in"), "ts", "kind").writeStream.outputMode("complete").format("memory").queryName("acts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("acts").collect()) == [3, 3, 3, 3]
+
+
+def test_places_within_lose_nothing(spark):
+    rng = random.Random(6)
+    spot = lambda: (rng.choice((rng.uniform(-90, 90), rng.uniform(84, 90), 0.0, -90.0)), rng.choice((rng.uniform(-180, 180), -180.0, 179.9, 0.0)))
+    a, b = [(i, *spot()) for i in range(150)], [(i, *spot()) for i in range(150)]
+
+    def miles(p, q):
+        x, y = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 3958.8 * math.asin(math.sqrt(min(1.0, h)))
+
+    points = spark.createDataFrame([*a, (999, None, None)], "id int, lat double, lon double")
+    gazetteer = spark.createDataFrame(b, "place int, place_lat double, place_lon double")
+    for most in (40.0, 700.0):
+        want = {(p[0], q[0]) for p in a for q in b if miles(p, q) <= most}
+        got = [(r.id, r.place) for r in places.within(points, gazetteer, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
