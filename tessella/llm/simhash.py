@@ -7,11 +7,15 @@ is compared with the whole block plane by plane; a carry-save tree of bitwise co
 Which blocks are compared at all comes from exact keys. For a radius r below 4 the bits are cut into four bands:
 fingerprints that differ in at most three bits agree in a whole band. A band value that too many
 fingerprints share is cut again, by four bands of the remaining bits, which loses nothing. `near_groups` has wide
-fingerprints whose radius no band survives; there the keys are minima of the shingles' hashes.
+fingerprints whose radius no band survives; there the keys are minima of the shingles' hashes, and the fingerprints only
+pick the pairs whose sets of shingles are then compared exactly.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .common import checkpoint, partitions, released, shared_dir, texts
+from .common import checkpoint, local_path, partitions, released, shared_dir, texts
 from .components import components
 
 #: Fingerprints under one key beyond which the key is refined.
@@ -67,15 +71,19 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def blocks(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, shingle counts, XXH64 hashes with seed 42) of runs of texts that fit in memory."""
+def blocks(column: pa.Array, k: int, distinct: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, shingle counts, XXH64 hashes with seed 42) of runs of texts that fit in memory.
+
+    With `distinct` each text's hashes are its set, sorted.
+    """
     f, lo, counts, held = xxhash.xxh64_intdigest, 0, [], []
     size = 0
     for i, t in enumerate(texts(column)):
         s = shingles(t, k)
-        held.append(np.fromiter((f(x, 42) for x in s), np.uint64, len(s)))
-        counts.append(len(s))
-        size += len(s)
+        h = np.fromiter((f(x, 42) for x in s), np.uint64, len(s))
+        held.append(np.unique(h) if distinct else h)
+        counts.append(len(held[-1]))
+        size += len(held[-1])
         if size >= BLOCK:
             yield lo, i + 1, np.array(counts), np.concatenate(held)
             lo, counts, held, size = i + 1, [], [], 0
@@ -148,10 +156,10 @@ def planes_of(fps: np.ndarray, slot: np.ndarray, n_blocks: int) -> np.ndarray:
     return out
 
 
-def within_groups(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+def within_groups(fps: np.ndarray, sizes: np.ndarray, radius: int, sets: Sets | None = None) -> np.ndarray:
     """For each fingerprint the place of its component's first member, when those of a group within the radius are linked.
 
-    `fps` (n, words) holds the groups one after another.
+    `fps` (n, words) holds the groups one after another. With `sets` only those links count that the sets confirm.
     """
     n, bits = len(fps), 64 * fps.shape[1]
     group = np.repeat(np.arange(len(sizes)), sizes)
@@ -195,7 +203,11 @@ def within_groups(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray
         for part in np.array_split(some, max(1, len(some) // 20_000)):
             if len(part):
                 r, bit = np.nonzero(np.unpackbits(hits[part].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                union(label, rows[part][r], member[block[part][r] * 64 + bit])
+                a, b = rows[part][r], member[block[part][r] * 64 + bit]
+                if sets is None:
+                    union(label, a, b)
+                else:
+                    union_confirmed(label, a, b, sets)
         lo = hi
     return label
 
@@ -216,6 +228,59 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+class Sets:
+    """Sorted hash sets (n of them) in files below `folder`, read when they are asked for; the last ones read are held."""
+
+    def __init__(self, folder: str, file: np.ndarray, at: np.ndarray, size: np.ndarray):
+        self.folder, self.file, self.at, self.size = folder, file, at, size
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.n_held = 0
+
+    def get(self, i: int) -> np.ndarray:
+        if i in self.held:
+            self.held.move_to_end(i)
+            return self.held[i]
+        out = np.fromfile(f"{self.folder}/{self.file[i]}", "<u8", self.size[i], offset=self.at[i])
+        if len(out) != self.size[i]:
+            raise OSError(f"{self.folder}/{self.file[i]} is cut short")
+        self.held[i] = out
+        self.n_held += len(out)
+        while self.n_held > HELD and len(self.held) > 2:
+            self.n_held -= len(self.held.popitem(last=False)[1])
+        return out
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sizes of the sets allow the similarity."""
+        return 5 * np.minimum(self.size[a], self.size[b]) >= 4 * np.maximum(self.size[a], self.size[b])
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard similarity is 0.8 or more, pair by pair."""
+        out = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.get(i), self.get(j)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int(np.count_nonzero(y[at] == x))
+            out[k] = 5 * both >= 4 * (len(x) + len(y) - both)
+        return out
+
+
+def union_confirmed(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: Sets) -> None:
+    """`union` of the pairs that the sets confirm. Pairs that are joined by then aren't looked at: they change nothing."""
+    some = sets.may(a, b)
+    a, b = a[some], b[some]
+    for lo in range(0, len(a), PAIRS):
+        x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
+        for single in (True, True, False):  # at first one pair for each component, as most of a group of copies joins at once
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                break
+            at = np.unique(label[y], return_index=True)[1] if single else np.arange(len(x))
+            ok = at[sets.similar(x[at], y[at])]
+            union(label, x[ok], y[ok])
+            x, y = np.delete(x, at), np.delete(y, at)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by their column `key`."""
     held: list[pa.RecordBatch] = []
@@ -265,6 +330,35 @@ def bucket_links(keyed: DataFrame, radius: int, words: int) -> DataFrame:
     return spread.select("key", "node", "fp").mapInArrow(released(link), "a long, b long")
 
 
+def set_links(keyed: DataFrame, folder: str, words: int = 0) -> DataFrame:
+    """Edges (a, b) that join what has a similarity of 0.8 or more under one key. Input: key, node, fp, and where the sets are.
+
+    Fingerprints within WIDE_RADIUS pick the pairs to compare; among short sets, whose bits differ more, those within SHORT_RADIUS.
+    """
+    words = words or WIDE
+
+    def link(batches):
+        for t in grouped(batches):
+            keys, node, size = (t.column(c).to_numpy() for c in ("key", "node", "size"))
+            for longest, radius in ((None, WIDE_RADIUS), (SHORT, SHORT_RADIUS)):
+                some = np.arange(len(keys)) if longest is None else np.flatnonzero(size <= longest)
+                if not len(some):
+                    continue
+                _, group, n = np.unique(keys[some], return_inverse=True, return_counts=True)
+                some, n = some[n[group] > 1], n[n > 1]
+                if not len(some):
+                    continue
+                at = t.take(pa.array(some))
+                fp = np.frombuffer(b"".join(at.column("fp").to_pylist()), "<u8").reshape(-1, words)
+                sets = Sets(folder, *(at.column(c).to_numpy() for c in ("file", "at", "size")))
+                label = within_groups(fp, n, radius, sets)
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[some[moved]]), pa.array(node[some[label[moved]]])], names=["a", "b"])
+
+    spread = keyed.repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+    return spread.select("key", "node", "fp", "file", "at", "size").mapInArrow(released(link), "a long, b long")
+
+
 def refine(keyed: DataFrame, again: Callable[[DataFrame], DataFrame | None], limit: int = BUCKET) -> list[DataFrame]:
     """Parts of `keyed` whose keys have at most `limit` rows; the rows of fuller keys are keyed anew, while `again` can."""
     parts = []
@@ -336,50 +430,67 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, id_col: str =
 
 #: Near-duplicates of word shingles: width in 64-bit words, words of a shingle, and how many keys a text has.
 WIDE, WORDS, ANCHORS = 16, 5, 8
-#: Differing bits of 1024 at which two texts are near-duplicates: a Jaccard similarity of 0.8 gives 155 on average,
-#: give or take 11; 0.7 gives 197.
-WIDE_RADIUS = 168
+#: Differing bits of 1024 up to which two sets of shingles are compared: a Jaccard similarity of 0.8 gives 155 on average,
+#: give or take 11. Few shingles give more, 4 against 5 gives 192: sets of up to SHORT have a radius of their own.
+WIDE_RADIUS, SHORT, SHORT_RADIUS = 210, 12, 288
+#: Hashes of sets that a task holds, and pairs that are looked at before those joined by then are left out.
+HELD, PAIRS = 1 << 22, 1 << 16
 
 
-def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, words: int = WIDE, anchors: int = ANCHORS) -> DataFrame:
-    """doc_id, h (hash of the text), node (hash of the fingerprint), fp (binary), anchors of every whole text.
+def wide_fingerprints(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, words: int = WIDE, anchors: int = ANCHORS) -> DataFrame:
+    """doc_id, h (hash of the text), node (hash of its set of shingles), fp (binary), anchors, and where the set is: file, at, size.
 
-    The shingles' hashes are dealt to `anchors` bins, and the least hash of each bin is a key: two texts of
-    similarity s share each key with probability s.
+    Each task writes its sets to a file of its own below `folder`. The shingles' hashes are dealt to `anchors` bins,
+    and the least hash of each bin is a key: two texts of similarity s share each key with probability s.
     """
 
     def make(batches):
-        for b in batches:
-            for lo, hi, counts, h in blocks(b.column(2), k):
-                fp = np.zeros((hi - lo, words), np.uint64)
-                keys: list[list[int]] = [[] for _ in range(hi - lo)]
-                some = np.flatnonzero(counts)
-                if len(some):
-                    for j in range(words):
-                        fp[some, j] = majority(mix(h, j + 1), counts[some])
-                    starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
-                    order = mix(h, 99)
-                    for j in range(anchors):
-                        least = np.minimum.reduceat(np.where(h % np.uint64(anchors) == j, order, MAX), starts)
-                        for i in np.flatnonzero(least < MAX):
-                            keys[some[i]].append(int((least[i] ^ np.uint64(j)).view(np.int64)))
-                raw = [x.tobytes() for x in fp]
-                node = np.fromiter((xxhash.xxh64_intdigest(x) for x in raw), np.uint64, len(raw)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(node), pa.array(raw, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "fp", "anchors"])
+        file, written, end = uuid.uuid4().hex, {}, 0
+        with open(f"{folder}/{file}", "wb") as out:
+            for b in batches:
+                for lo, hi, counts, h in blocks(b.column(2), k, distinct=True):
+                    fp = np.zeros((hi - lo, words), np.uint64)
+                    keys: list[list[int]] = [[] for _ in range(hi - lo)]
+                    some = np.flatnonzero(counts)
+                    if len(some):
+                        for j in range(words):
+                            fp[some, j] = majority(mix(h, j + 1), counts[some])
+                        starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
+                        order = mix(h, 99)
+                        for j in range(anchors):
+                            least = np.minimum.reduceat(np.where(h % np.uint64(anchors) == j, order, MAX), starts)
+                            for i in np.flatnonzero(least < MAX):
+                                keys[some[i]].append(int((least[i] ^ np.uint64(j)).view(np.int64)))
+                    node, at = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.int64)
+                    for i, one in enumerate(np.split(h, np.cumsum(counts)[:-1])):
+                        raw = one.tobytes()
+                        node[i] = name = xxhash.xxh64_intdigest(raw)
+                        if name not in written:
+                            written[name], end = end, end + len(raw)
+                            out.write(raw)
+                        at[i] = written[name]
+                    columns = [pa.array(node.view(np.int64)), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array([file] * (hi - lo)), pa.array(at), pa.array(counts, pa.int64())]
+                    out.flush()
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *columns], names=["doc_id", "h", "node", "fp", "anchors", "file", "at", "size"])
 
     df = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    return df.mapInArrow(released(make), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>")
+    return df.mapInArrow(released(make), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>, file string, at long, size long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, limit: int = BUCKET) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
     """doc_id, h, label of every document; near-duplicates, directly or through others, have one label.
 
+    Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
     Texts are compared that share a key; where more than `limit` different ones share it, those that share a second
-    and a third key as well. Equal fingerprints are one node, so copies cost nothing here.
+    and a third key as well. Equal sets of shingles are one node, so copies cost nothing here.
     """
-    base = checkpoint(wide_fingerprints(docs, id_col, text_col))
-    nodes = checkpoint(base.groupBy("node").agg(F.first("fp").alias("fp"), F.first("anchors").alias("anchors")))
-    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp").withColumn("used", F.array("key"))
+    folder = local_path(shared_dir(docs.sparkSession))
+    os.makedirs(folder)
+    base = checkpoint(wide_fingerprints(docs, folder, id_col, text_col))
+    one = base.groupBy("node").agg(F.first(F.struct("fp", "anchors", "file", "at", "size")).alias("one"))
+    nodes = checkpoint(one.select("node", "one.*"))
+    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp", "file", "at", "size").withColumn("used", F.array("key"))
     depth = 0
 
     def again(rows: DataFrame) -> DataFrame | None:
@@ -388,11 +499,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if depth > 2:
             return None
         more = rows.join(nodes.select("node", "anchors"), "node").withColumn("more", F.explode(F.array_except("anchors", "used")))
-        return more.select(F.xxhash64("key", "more").alias("key"), "node", "fp", F.concat("used", F.array("more")).alias("used"))
+        return more.select(F.xxhash64("key", "more").alias("key"), "node", "fp", "file", "at", "size", F.concat("used", F.array("more")).alias("used"))
 
     edges = None
     for part in refine(keyed, again, limit):
-        found = bucket_links(part, radius, WIDE)
+        found = set_links(part, folder)
         edges = found if edges is None else edges.union(found)
     labels = components(edges)
     return base.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))

@@ -54,6 +54,33 @@ def test_near_duplicates_against_jaccard(spark, planted, limit):
     assert total > 100 and missed <= 0.02 * total and wrong == 0
 
 
+def test_links_are_exact_similarities(spark):
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n)]
+    line = words(14)
+    rows = [(i, " ".join((line + ["end"]) * 30 + words(104))) for i in range(20)]  # a repeated line: similarity below 0.1
+    for i in range(100, 400, 10):
+        short, long = words(9), words(140)
+        rows += [(i, " ".join(short)), (i + 1, " ".join(short[:8]))]  # 5 and 4 shingles: exactly 0.8
+        rows += [(i + 2, " ".join(long)), (i + 3, " ".join(long[:124]))]  # 136 and 120: 0.88
+        rows += [(i + 4, " ".join(long[:60] + words(1) + long[61:100] + words(1) + long[101:124] + words(4)))]  # about 0.78 of the last
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label = {r.doc_id: r.label for r in simhash.near_groups(df).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if jaccard(sets[a], sets[b]) >= 0.8:
+            root[find(b)] = find(a)
+    for a, b in itertools.combinations(sets, 2):
+        assert (label[a] == label[b]) == (find(a) == find(b)), (a, b, jaccard(sets[a], sets[b]))
+
+
 def test_keep_one(spark, tricky, no_documents):
     kept = simhash.keep_one(tricky)
     assert kept.columns == tricky.columns
