@@ -477,35 +477,49 @@ def wide_fingerprints(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return df.mapInArrow(released(make), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>, file string, at long, size long")
 
 
+def in_blocks(keyed: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """`keyed` with the rows under each key of more than `limit` dealt to blocks; each new key has two blocks that may be similar.
+
+    Sets of similarity 0.8 have sizes in the same or in neighbouring classes of a ratio of 1.26, so only such blocks meet.
+    A class is dealt to its blocks by hash. No link of the old key is lost, and no new key has many more rows than `limit`.
+    """
+    columns = keyed.columns
+    full = checkpoint(keyed.groupBy("key").count().where(F.col("count") > limit).select("key"))
+    if full.isEmpty():
+        return keyed
+    rows = keyed.join(full, "key", "left_semi").withColumn("rung", F.floor(F.log("size") / F.log(F.lit(1.26))))
+    n = checkpoint(rows.groupBy("key", "rung").agg(F.ceil(F.count("*") / F.lit(max(1, limit // 2))).alias("n")))
+    beside = [n.select("key", (F.col("rung") + by).alias("rung"), F.col("n").alias(name)) for by, name in ((1, "below"), (-1, "above"))]
+    cut = n.join(beside[0], ["key", "rung"], "left").join(beside[1], ["key", "rung"], "left")
+    mine = rows.join(cut, ["key", "rung"]).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("n")))
+
+    def meet(many: str, low: Callable, high: Callable):
+        count = F.coalesce(F.col(many), F.lit(0)).cast("long")
+        others = F.filter(F.sequence(F.lit(-1).cast("long"), count - 1), lambda j: j >= 0)
+        return F.transform(others, lambda j: F.xxhash64("key", *low(j), *high(j)))
+
+    rung, block = F.col("rung"), F.col("block")
+    own = meet("n", lambda j: (rung, F.least(block, j)), lambda j: (rung, F.greatest(block, j)))
+    below = meet("below", lambda j: (rung - 1, j), lambda j: (rung, block))
+    above = meet("above", lambda j: (rung, block), lambda j: (rung + 1, j))
+    dealt = mine.withColumn("key", F.explode(F.concat(own, below, above))).select(*columns)
+    return keyed.join(full, "key", "left_anti").select(*columns).union(dealt)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
     """doc_id, h, label of every document; near-duplicates, directly or through others, have one label.
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-    Texts are compared that share a key; where more than `limit` different ones share it, those that share a second
-    and a third key as well. Equal sets of shingles are one node, so copies cost nothing here.
+    Texts are compared that share a key; where more than `limit` different ones share it, block by block. Equal sets of shingles are one node, so copies cost nothing here.
     """
     folder = local_path(shared_dir(docs.sparkSession))
     os.makedirs(folder)
     base = checkpoint(wide_fingerprints(docs, folder, id_col, text_col))
     one = base.groupBy("node").agg(F.first(F.struct("fp", "anchors", "file", "at", "size")).alias("one"))
     nodes = checkpoint(one.select("node", "one.*"))
-    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp", "file", "at", "size").withColumn("used", F.array("key"))
-    depth = 0
-
-    def again(rows: DataFrame) -> DataFrame | None:
-        nonlocal depth
-        depth += 1
-        if depth > 2:
-            return None
-        more = rows.join(nodes.select("node", "anchors"), "node").withColumn("more", F.explode(F.array_except("anchors", "used")))
-        return more.select(F.xxhash64("key", "more").alias("key"), "node", "fp", "file", "at", "size", F.concat("used", F.array("more")).alias("used"))
-
-    edges = None
-    for part in refine(keyed, again, limit):
-        found = set_links(part, folder)
-        edges = found if edges is None else edges.union(found)
-    labels = components(edges)
+    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp", "file", "at", "size")
+    labels = components(set_links(in_blocks(checkpoint(keyed), limit), folder))
     return base.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from tempfile import mkdtemp
 
 import pytest
 
@@ -81,6 +82,38 @@ def test_links_are_exact_similarities(spark):
         assert (label[a] == label[b]) == (find(a) == find(b)), (a, b, jaccard(sets[a], sets[b]))
 
 
+def test_full_keys_lose_no_link(spark):
+    rng = random.Random(12)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for i in range(0, 3000, 100):  # 4 shingles, the same and one more (0.8), and one more each (0.67 among them)
+        passage = words(8)
+        rows += [(i, " ".join(passage))] + [(i + j, " ".join(passage + words(1))) for j in range(1, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    label = {r.doc_id: r.label for r in simhash.near_groups(df, limit=6).collect()}
+    whole = {r.doc_id: r.label for r in simhash.near_groups(df).collect()}
+    keys = {r.doc_id: set(r.anchors) for r in simhash.wide_fingerprints(df, mkdtemp()).collect()}
+    for i, _ in rows:
+        assert (label[i] == label[i - i % 100]) == (whole[i] == whole[i - i % 100])
+        if keys[i] & keys[i - i % 100]:
+            assert label[i] == label[i - i % 100], i
+    assert len(set(label.values())) >= 30
+
+
+def test_blocks_stay_small_and_whole(spark):
+    rows = [(k, 1000 * k + i, 40 + i % 30) for k in (1, 2) for i in range(150 * k)] + [(3, 9000 + i, 5) for i in range(9)]
+    keyed = spark.createDataFrame(rows, "key long, node long, size long")
+    size = {node: n for _, node, n in rows}
+    under = {}
+    for r in simhash.in_blocks(keyed, 20).collect():
+        under.setdefault(r.key, set()).add(r.node)
+    assert max(map(len, under.values())) <= 40
+    met = {pair for group in under.values() for pair in itertools.combinations(sorted(group), 2)}
+    for k in (1, 2, 3):
+        for a, b in itertools.combinations(sorted(node for key, node, _ in rows if key == k), 2):
+            assert (a, b) in met or 5 * min(size[a], size[b]) < 4 * max(size[a], size[b])
+
+
 def test_keep_one(spark, tricky, no_documents):
     kept = simhash.keep_one(tricky)
     assert kept.columns == tricky.columns
