@@ -1,11 +1,11 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Identifiers (e-mail addresses, IP addresses, card and phone numbers) are the protected entities. A term near an
+Identifiers (e-mail addresses, IP addresses, card and phone numbers) are the protected entities. A term in the texts of an
 entity reveals it as far as the corpus shows: with document frequencies n(t), n(e), n(t, e) over all N documents,
 pointwise mutual information PMI = log(n(t,e) N / (n(t) n(e))) measures what t tells about e, and the entity's
 information content IC = log(N / n(e)) is all there is to tell. Terms whose share PMI / IC exceeds
-REMOVE are removed, those beyond GENERALISE are replaced by a general word. A pair needs SUPPORT different texts, so
-that copies of one text prove nothing.
+REMOVE are removed, those beyond GENERALISE are replaced by a general word, wherever they stand in any document. A pair
+needs SUPPORT different texts, so that copies of one text prove nothing. Terms are runs of letters and digits.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from .common import checkpoint
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shares of an entity's information that a term may tell before it is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.9
-#: Different texts in which a term must stand by an entity, and how near: code points before and after.
-SUPPORT, WINDOW = 3, 120
+#: Different texts in which a term must stand with an entity.
+SUPPORT = 3
+#: Learnt terms up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
+BROADCAST, SALTS = 50_000, 16
 
 LOCAL = "[A-Za-z0-9._%+-]"
 # The look-behinds start matches where runs of the leading class start (or the last match ended), as the plain
@@ -29,7 +31,9 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # 12 to 19 digits with at most one blank or hyphen between two, not part of a longer such number.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-WORD = r"\p{L}{3,}+"
+WORD = r"[\p{L}\p{M}\p{N}]++"
+#: Stands for an identifier while words are split, so that a word it cuts isn't taken for a whole one.
+MARK = "\u0001"
 
 SPAN = "struct<start:int,k:int,end:int,more:string>"
 
@@ -74,43 +78,39 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(F.array_sort(F.concat(*parts)), _none())
 
 
-def _near(text: Column, base: Column, window: int) -> Column:
-    """For each identifier: its entity and the words around it that lie in no identifier."""
+def _words(text: Column) -> Column:
+    """The different words of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
-    def words(side: Column, offset: Column, cut_first: Column, cut_last: Column) -> Column:
-        n = F.length(side)
-        whole = F.filter(_matches(side, WORD, 4, lambda m: F.lit(True)), lambda w: ~(cut_first & (w["start"] == 0)) & ~(cut_last & (w["end"] == n)))
-        moved = F.transform(whole, lambda w: F.struct((w["start"] + offset).alias("start"), w["k"].alias("k"), (w["end"] + offset).alias("end"), F.lower(w["more"]).alias("more")))
-        return F.filter(moved, lambda w: ~F.exists(base, lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"])))
 
-    def one(b: Column) -> Column:
-        lo, hi = F.greatest(b["start"] - window, F.lit(0)), F.least(b["end"] + window, F.length(text))
-        left = words(F.substring(text, lo + 1, b["start"] - lo), lo, lo > 0, F.lit(False))
-        right = words(F.substring(text, b["end"] + 1, hi - b["end"]), b["end"], F.lit(False), hi < F.length(text))
-        return F.struct(F.xxhash64(b["k"], b["more"]).alias("entity"), F.concat(left, right).alias("words"))
+def _around(text: Column, base: Column) -> Column:
+    """The different words of a text that no identifier touches."""
+    rest = redact(F.translate(text, MARK, " "), base, F.lit(MARK))
+    whole = F.regexp_extract_all(rest, F.lit(WORD.replace("[", f"[{MARK}")), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(whole, lambda w: ~w.contains(MARK)), lambda w: F.lower(w)))
 
-    return F.transform(base, one)
 
-
-def analyse(docs: DataFrame, text_col: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The columns in `keep`, h (a hash of the text), base (array<SPAN>), near (entities and words around them)."""
+def analyse(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row for each different text with identifiers: h (a hash of it), copies, entities, words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select(*[F.col(c) for c in keep or []], text.alias("_text"))
-    found = df.withColumn("h", F.xxhash64("_text")).withColumn("base", base_spans(F.col("_text")))
-    return found.withColumn("near", _near(F.col("_text"), F.col("base"), window)).drop("_text")
+    some = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["k"], b["more"])))
+    found = some.select(F.xxhash64("text").alias("h"), entities.alias("entities"), _around(F.col("text"), F.col("base")).alias("words"))
+    return found.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
 
 
 def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of the terms that tell at least the share `least` of an entity's information.
 
-    `texts` has one row for each different text with identifiers: h, copies, near. Document frequencies of terms are
-    counted over all documents; every count is a map-side-combined aggregate.
+    `texts` is what `analyse` gives. Document frequencies of terms are counted over all documents; every count is a
+    map-side-combined aggregate. Entities of fewer than `support` texts have no pair with that many.
     """
-    mention = texts.select("h", "copies", F.explode("near").alias("m")).select("h", "copies", F.col("m.entity").alias("entity"), F.array_distinct(F.transform("m.words", lambda w: w["more"])).alias("terms"))
-    entities = mention.select("h", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    pair = mention.select("h", "copies", "entity", F.explode("terms").alias("term")).distinct()
+    mention = texts.select("h", "copies", F.explode("entities").alias("entity"))
+    entities = checkpoint(mention.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e"))
+    often = mention.join(entities, "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("of"))
+    pair = texts.join(often, "h").select("copies", "of", F.explode("words").alias("term")).select("copies", "term", F.explode("of").alias("entity"))
     pairs = checkpoint(pair.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), r"\P{L}+"))).alias("term")).where(F.length("term") >= 3)
+    words = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     known = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))  # one row
@@ -119,15 +119,30 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", suppor
     return known.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).where(F.col("share") >= least).select("entity", "term", "share")
 
 
-def added_spans(docs: DataFrame, analysed: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(h, added): the spans (kind term; `more` is what becomes of it) of the texts that have disclosing terms."""
-    texts = checkpoint(analysed.where(F.size("base") > 0).groupBy("h").agg(F.count("*").alias("copies"), F.first("near").alias("near")))
-    told = disclosing(docs, texts, text_col, support, generalise)
-    place = texts.select("h", F.explode("near").alias("m")).select("h", F.col("m.entity").alias("entity"), F.explode("m.words").alias("w"))
-    hits = place.select("h", "entity", "w", F.col("w.more").alias("term")).join(told, ["entity", "term"])
-    one = hits.groupBy("h", F.col("w.start").alias("start"), F.col("w.end").alias("end")).agg(F.max("share").alias("share"))
-    span = F.struct(F.col("start"), F.lit(4).alias("k"), F.col("end"), F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("something")).alias("more"))
-    return one.groupBy("h").agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("added"))
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST + 1).count() <= BROADCAST
+
+
+def with_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """`docs` with base and added (array<SPAN>): the identifiers, and the terms (`more` is what becomes of them) that tell of an entity.
+
+    A learnt term counts in every document. Equal texts get equal spans; null counts as empty.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    shares = disclosing(docs, checkpoint(analyse(docs, text_col)), text_col, support, generalise)
+    told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share")))
+    word = docs.select(F.xxhash64(text).alias("h"), F.explode(_words(text)).alias("term"))
+    hits = checkpoint(word.join(F.broadcast(told) if _few(told) else told, "term").distinct())
+    become = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("something"))
+    terms = hits.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", become.alias("what")))).alias("_terms"))
+    keyed = docs.withColumn("_h", F.xxhash64(text))
+    parts = terms.select(F.col("h").alias("_h"), "_terms", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    joined = keyed.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
+    based = joined.withColumn("base", base_spans(text))
+    free = lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
+    found = F.filter(_matches(text, WORD, 4, lambda m: F.col("_terms")[F.lower(m)].isNotNull()), free)
+    named = F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), F.col("_terms")[F.lower(w["more"])].alias("more")))
+    return based.withColumn("added", F.when(F.col("_terms").isNotNull(), named.cast(f"array<{SPAN}>")).otherwise(_none())).drop("_h", "_terms")
 
 
 def listed(spans: Column) -> Column:
@@ -138,11 +153,7 @@ def listed(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added of every document. Null counts as empty; equal texts get equal spans; ids play no part."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    analysed = checkpoint(analyse(df, keep=["doc_id"]))
-    some = analysed.where(F.size("base") > 0).join(added_spans(df, analysed), "h", "left")
-    none = analysed.where(F.size("base") == 0).withColumn("added", F.lit(None).cast(f"array<{SPAN}>"))
-    return some.select("doc_id", "base", "added").union(none.select("doc_id", "base", "added")).withColumn("added", F.coalesce("added", _none()))
+    return with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "base", "added")
 
 
 def report(docs: DataFrame, **options: str) -> DataFrame:
@@ -156,13 +167,13 @@ def report(docs: DataFrame, **options: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span (sorted) replaced: identifiers by their kind in brackets, terms by what becomes of them."""
+def redact(text: Column, spans: Column, mark: Column | None = None) -> Column:
+    """The text with each span (sorted) replaced: identifiers by their kind in brackets or `mark`, terms by what becomes of them."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        put = F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"]))
+        put = F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"]) if mark is None else mark)
         ahead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.coalesce(put, F.lit("")))
         fresh = s["start"] >= acc["at"]  # a span inside the last one is covered by it
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, ahead).otherwise(acc["out"]).alias("out"))
@@ -174,15 +185,13 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns of `docs` with their texts redacted; `count_col`, if there, is set anew where a text changed.
 
-    Only texts with identifiers are joined to their added spans; all others pass through untouched. Null stays null.
+    All other texts pass through untouched. Null stays null.
     """
     cols = docs.columns
     renamed = docs.select(F.struct(*[F.col(c) for c in cols if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"))
-    added = added_spans(renamed, checkpoint(analyse(renamed)))
-    based = renamed.withColumn("base", base_spans(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("h", F.xxhash64("text"))
-    some = based.where(F.size("base") > 0).join(added, "h", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", _none()))))
-    new = some.select("row", redact(F.col("text"), F.col("spans")).alias("text"), F.lit(True).alias("changed"))
-    both = new.union(based.where(F.size("base") == 0).select("row", "text", F.lit(False)))
+    found = with_spans(renamed).withColumn("spans", F.array_sort(F.concat("base", "added")))
+    changed = F.size("spans") > 0
+    both = found.select("row", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
     out = {c: F.col("row")[c] for c in cols if c != text_col} | {text_col: F.col("text")}
     if count_col in cols:
         out[count_col] = F.when(F.col("changed"), F.length("text")).otherwise(out[count_col]).cast(docs.schema[count_col].dataType)

@@ -84,6 +84,22 @@ def test_shares_match_brute_force(told):
     assert {w for w, s in share.items() if s >= pii.GENERALISE} == words & set(share)
 
 
+def test_terms_count_wherever_they_stand(spark, monkeypatch):
+    far = " ".join(["the team says that"] * 20)
+    rows = [(i, f"{i} Zebulon R2D2 {far} mail z@q.org {far} asks Zebulon, zebulon R2D2 xZebulon{i}") for i in range(4)]
+    rows += [(10 + i, f"{far} number {i}") for i in range(2000)] + [(5000, "no address but Zebulon here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (pii.BROADCAST, 0):
+        monkeypatch.setattr(pii, "BROADCAST", few)
+        got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+        assert len(got) == len(rows)
+        for i in range(4):
+            words = got[i].replace(",", "").split()
+            assert not {"Zebulon", "zebulon", "R2D2"} & set(words) and f"xZebulon{i}" in words and words.count("team") == 40
+        assert "Zebulon" not in got[5000] and got[5000].startswith("no address but ")
+        assert all(got[i] == t for i, t in rows if 10 <= i < 5000)
+
+
 def test_tricky_rows(tricky, no_documents):
     out = pii.sanitise(tricky)
     assert out.columns == tricky.columns and sorted(map(str, out.collect())) == sorted(map(str, tricky.collect()))
