@@ -116,9 +116,17 @@ class Vocabulary:
         self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(pieces)]
         self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
         self.newline_apart = not any("\n" in p for p in pieces)
+        self.digits = [str(i) for i in range(n)]
+        self.spelled = [x.replace(MARK.encode(), b" ") for x in self.bytes]
 
     def segment(self, units: list[str]) -> list[np.ndarray]:
-        """The ids of each stretch: the path of the highest score; among equals the one with the longest last piece, at each place."""
+        """The ids of each stretch."""
+        ids, edges = self.search(units)
+        return [ids[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
+
+    def search(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches, where each starts and the last ends): the path of the highest score; among equals the
+        one with the longest last piece, at each place."""
         raw = [u.encode() for u in units]
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
         size = np.array([len(r) for r in raw], np.int64)
@@ -154,18 +162,33 @@ class Vocabulary:
             tie = np.where(total == np.repeat(top, np.diff(np.append(group, hi - lo))), np.arange(lo, hi), len(depth))
             best[to[group]] = top
             back[to[group]] = np.minimum.reduceat(tie, group)
-        out = []
-        for u in range(len(raw)):
-            ids, at, origin = [], stop[u] + u, first[u] + u
-            while at > origin:
-                e = back[at]
-                if key[e] >= 0:
-                    ids.append(int(key[e]))
-                else:
-                    ids.extend(self.byte_id[data[begin[e] : end[e]]][::-1].tolist())
-                at = begin[e] + u
-            out.append(np.array(ids[::-1], np.int32))
-        return out
+        own, e = self._walk_back(back, begin, stop, size)
+        many = np.where(key[e] >= 0, 1, end[e] - begin[e])
+        ids = np.repeat(key[e], many)
+        within = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many)
+        spelled = ids < 0
+        ids[spelled] = self.byte_id[data[(np.repeat(begin[e], many) + within)[spelled]]]
+        return ids.astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(own, many, len(raw)).astype(np.int64))))
+
+    @staticmethod
+    def _walk_back(back: np.ndarray, begin: np.ndarray, stop: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, edge) of the best paths in order; a step goes back one edge in all units at once."""
+        units, edges, steps = [], [], []
+        on = np.flatnonzero(size)
+        at = stop[on] + on
+        while len(on):
+            e = back[at]
+            units.append(on)
+            edges.append(e)
+            steps.append(np.full(len(on), -len(steps)))
+            at = begin[e] + on
+            going = at > (stop - size)[on] + on
+            on, at = on[going], at[going]
+        if not units:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        unit, edge, step = (np.concatenate(x) for x in (units, edges, steps))
+        order = np.lexsort((step, unit))
+        return unit[order], edge[order]
 
     def units(self, text: str) -> list[str]:
         """The stretches of a text, with markers for blanks and one before it; an empty text has none."""
@@ -186,7 +209,11 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD, and the first marker, which encoding put there, goes."""
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
+        return self.spell(b"".join(map(self.spelled.__getitem__, ids.tolist())))
+
+    @staticmethod
+    def spell(raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -201,21 +228,44 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _encoded(v: Vocabulary, batch: list[str | None], memo: dict[str, np.ndarray]):
-    """(from, to, ids of each text) of runs of texts; every distinct stretch of a run is searched at most once."""
-    lo = size = 0
-    for i, t in enumerate(batch):
-        size += len(t or "")
-        if size < BLOCK_CHARS and i + 1 < len(batch):
-            continue
-        cut = [v.units(t or "") for t in batch[lo : i + 1]]
-        fresh = list({u for us in cut for u in us} - memo.keys())
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({u for us in cut for u in us})
-        memo.update(zip(fresh, v.segment(fresh), strict=True))
-        yield lo, i + 1, [np.concatenate([memo[u] for u in us]) if us else np.zeros(0, np.int32) for us in cut]
-        lo, size = i + 1, 0
+class Stretches:
+    """What is known of the stretches met so far: ids (as bytes of int32), the ids as text, and the bytes that they spell.
+
+    A character's bytes never cross a stretch, so a text's ids and its decoded text are those of its stretches, joined.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.known, self.older = v, {}, {}
+
+    def learn(self, units: list[str]) -> None:
+        v = self.v
+        ids, edges = v.search(units)
+        listed, raw, at = ids.tolist(), ids.tobytes(), edges.tolist()
+        digits, spelled = list(map(v.digits.__getitem__, listed)), list(map(v.spelled.__getitem__, listed))
+        for u, lo, hi in zip(units, at, at[1:], strict=False):
+            self.known[u] = (raw[4 * lo : 4 * hi], ",".join(digits[lo:hi]), b"".join(spelled[lo:hi]))
+
+    def of(self, batch: list[str | None]):
+        """(from, to, the known stretches of each text) of runs of texts; each stretch that isn't known is searched once a run."""
+        lo = size = 0
+        for i, t in enumerate(batch):
+            size += len(t or "")
+            if size < BLOCK_CHARS and i + 1 < len(batch):
+                continue
+            cut = [self.v.units(t or "") for t in batch[lo : i + 1]]
+            if len(self.known) > MEMO:  # what isn't met again before as many others is forgotten
+                self.known, self.older = {}, self.known
+            fresh = set().union(*cut).difference(self.known)
+            for u in fresh & self.older.keys():
+                self.known[u] = self.older[u]
+            self.learn(list(fresh.difference(self.known)))
+            get = self.known.__getitem__
+            yield lo, i + 1, [list(map(get, us)) for us in cut]
+            lo, size = i + 1, 0
+
+
+def _ids(parts: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
 
 
 def _lists(ids: list[np.ndarray], null: list[bool]) -> pa.Array:
@@ -237,11 +287,11 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
     at = keep.index(text_col)
 
     def run(batches):
-        v, memo = vocabulary(path), {}
+        known = Stretches(vocabulary(path))
         for b in batches:
             text = b.column(at).to_pylist()
-            for lo, hi, ids in _encoded(v, text, memo):
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), _lists(ids, [t is None for t in text[lo:hi]])], names=[*keep, ids_col])
+            for lo, hi, parts in known.of(text):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), _lists([_ids(x) for x in parts], [t is None for t in text[lo:hi]])], names=[*keep, ids_col])
 
     return docs.select(*keep).mapInArrow(released(run), f"{_kinds(docs, keep)}`{ids_col}` array<int>")
 
@@ -274,15 +324,17 @@ def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_
     names = [*carry, "n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "lossless", *["ids"] * with_ids]
 
     def run(batches):
-        v, memo = vocabulary(path), {}
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        v = vocabulary(path)
+        known = Stretches(v)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             text = strings(b.column(len(carry)))
-            for lo, hi, ids in _encoded(v, text, memo):
-                back = [v.decode(x) for x in ids]
+            for lo, hi, parts in known.of(text):
+                ids = [_ids(x) for x in parts]
+                back = [v.spell(b"".join([p[2] for p in x])) for x in parts]
                 out = [
-                    pa.array([len(x) for x in ids], pa.int64()), pa.array([int(v.is_byte[x].sum()) for x in ids], pa.int64()), pa.array([sha(",".join(map(str, x.tolist()))) for x in ids]),
-                    pa.array([sha(x) for x in back]), pa.array([x == y for x, y in zip(back, text[lo:hi], strict=True)]), *[_lists(ids, [False] * len(ids))] * with_ids,
+                    pa.array([len(x) for x in ids], pa.int64()), pa.array([int(np.count_nonzero(v.is_byte[x])) for x in ids], pa.int64()), pa.array([sha(",".join([p[1] for p in x]).encode()) for x in parts]),
+                    pa.array([sha(x.encode()) for x in back]), pa.array([x == y for x, y in zip(back, text[lo:hi], strict=True)]), *[_lists(ids, [False] * len(ids))] * with_ids,
                 ]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), *out], names=names)
 
