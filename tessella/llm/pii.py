@@ -1,11 +1,17 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Identifiers (e-mail addresses, IP addresses, card and phone numbers) are the protected entities. A term in the texts of an
-entity reveals it as far as the corpus shows: with document frequencies n(t), n(e), n(t, e) over all N documents,
-pointwise mutual information PMI = log(n(t,e) N / (n(t) n(e))) measures what t tells about e, and the entity's
-information content IC = log(N / n(e)) is all there is to tell. Terms whose share PMI / IC exceeds
-REMOVE are removed, those beyond GENERALISE are replaced by a general word, wherever they stand in any document. A pair
-needs SUPPORT different texts, so that copies of one text prove nothing. Terms are runs of letters and digits.
+Identifiers (e-mail addresses, IP addresses, card and phone numbers) name the protected entities, at three levels: the
+identifier itself; its owner's group, which recurs where single identifiers don't (mail domain, network, issuer, number
+prefix); and its kind. A term in the texts of an entity reveals it as far as the corpus shows: of all N documents n(t)
+have the term, n(e) the entity, n(t, e) both. P(e) = n(e) / N, and P(e | t) = (n(t,e) + P(e)) / (n(t) + 1) is smoothed
+towards it. PMI = log(P(e | t) / P(e)) is what t tells about e, the entity's information content IC = -log P(e) all there
+is to tell. A term discloses an entity if the share PMI / IC reaches GENERALISE and P(e | t) reaches CERTAIN; it is then
+replaced by a general word, and from the share REMOVE on removed, wherever it stands in any document. A pair needs
+SUPPORT different texts, so that copies of one text prove nothing (near copies count: drop them before). Terms are runs of letters and
+digits that touch no identifier.
+
+Work on a text grows with its length and the number of its spans: spans are built in chunks of CHUNK, as appending
+to one growing array would cost the square of their number.
 """
 
 from __future__ import annotations
@@ -18,8 +24,12 @@ from .common import checkpoint
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shares of an entity's information that a term may tell before it is generalised or removed.
 GENERALISE, REMOVE = 0.75, 0.9
+#: Probability that a document with the term is one of the entity's, below which other documents give cover.
+CERTAIN = 0.5
 #: Different texts in which a term must stand with an entity.
 SUPPORT = 3
+#: Spans of a text that are appended one by one.
+CHUNK = 64
 #: Learnt terms up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
 BROADCAST, SALTS = 50_000, 16
 
@@ -42,13 +52,22 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, where x is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _chunks(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), lambda lo: F.slice(x, lo + 1, CHUNK))).otherwise(F.array())
+
+
 def _matches(text: Column, pattern: str, k: int, keep) -> Column:
     """Spans (array<SPAN>) of the matches for which `keep` holds; `more` is the match. Places are code points from 0.
 
-    Matches and the stretches between them come from two calls; running lengths give the places.
+    Matches and the stretches between them come from two calls; running lengths give the places, inside each chunk
+    from the chunk's start, which the lengths of the chunks before it give.
     """
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    first = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + F.length(x["gap"])
@@ -57,7 +76,17 @@ def _matches(text: Column, pattern: str, k: int, keep) -> Column:
         span = F.array(F.struct(lo.alias("start"), F.lit(k).alias("k"), hi.alias("end"), hit.alias("more")))
         return F.struct(hi.alias("at"), F.when((hit != "") & keep(hit), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(zipped, first, step)["out"]
+    def inside(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), _none().alias("out")), step)
+
+    def placed(parts: Column) -> Column:
+        first = F.array(F.lit(0))
+        starts = F.aggregate(parts, first, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        moved = lambda lo: lambda s: F.struct((s["start"] + lo).alias("start"), s["k"].alias("k"), (s["end"] + lo).alias("end"), s["more"].alias("more"))
+        pairs = F.arrays_zip(parts.alias("part"), starts.alias("lo"))
+        return F.flatten(F.transform(F.filter(pairs, lambda p: p["part"].isNotNull()), lambda p: F.transform(p["part"]["out"], moved(p["lo"]))))
+
+    return _let(zipped, lambda z: _let(F.transform(_chunks(z), inside), placed))
 
 
 def _ip_ok(m: Column) -> Column:
@@ -83,24 +112,47 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """The text with identifiers overwritten by marks, so that places stay, and marks of its own blanked."""
+    return redact(F.translate(text, MARK, " "), base, lambda s: F.repeat(F.lit(MARK), s["end"] - s["start"]))
+
+
+#: Words, with the marks that touch them.
+MARKED_WORD = WORD.replace("[", f"[{MARK}")
+
+
 def _around(text: Column, base: Column) -> Column:
     """The different words of a text that no identifier touches."""
-    rest = redact(F.translate(text, MARK, " "), base, F.lit(MARK))
-    whole = F.regexp_extract_all(rest, F.lit(WORD.replace("[", f"[{MARK}")), F.lit(0))
+    whole = F.regexp_extract_all(_masked(text, base), F.lit(MARKED_WORD), F.lit(0))
     return F.array_distinct(F.transform(F.filter(whole, lambda w: ~w.contains(MARK)), lambda w: F.lower(w)))
 
 
+def _entities(base: Column) -> Column:
+    """Hashes of what a text's identifiers name: each itself, its group and its kind."""
+    digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
+
+    def named(b: Column) -> Column:
+        group = (
+            F.when(b["k"] == 0, F.lower(F.substring_index(b["more"], "@", -1)))
+            .when(b["k"] == 1, F.substring_index(b["more"], ".", 2))
+            .when(b["k"] == 2, F.substring(digits(b["more"]), 1, 6))
+            .otherwise(F.substring(digits(b["more"]), 1, 4))
+        )
+        return F.array(F.xxhash64(b["k"], b["more"]), F.xxhash64(b["k"], F.lit("group"), group), F.xxhash64(b["k"], F.lit("kind")))
+
+    return F.array_distinct(F.flatten(F.transform(base, named)))
+
+
 def analyse(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row for each different text with identifiers: h (a hash of it), copies, entities, words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     some = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    entities = F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["k"], b["more"])))
-    found = some.select(F.xxhash64("text").alias("h"), entities.alias("entities"), _around(F.col("text"), F.col("base")).alias("words"))
+    found = some.select(F.xxhash64("text").alias("h"), _entities(F.col("base")).alias("entities"), _around(F.col("text"), F.col("base")).alias("words"))
     return found.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
 
 
-def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms that tell at least the share `least` of an entity's information.
+def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE, certain: float = CERTAIN) -> DataFrame:
+    """(entity, term, share) of the terms that disclose an entity: see the module's text.
 
     `texts` is what `analyse` gives. Document frequencies of terms are counted over all documents; every count is a
     map-side-combined aggregate. Entities of fewer than `support` texts have no pair with that many.
@@ -110,19 +162,38 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", suppor
     often = mention.join(entities, "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("of"))
     pair = texts.join(often, "h").select("copies", "of", F.explode("words").alias("term")).select("copies", "term", F.explode("of").alias("entity"))
     pairs = checkpoint(pair.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support))
+    asked = checkpoint(pairs.select("term").distinct())
     words = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = docs.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
-    known = pairs.join(terms, "term").join(entities, "entity").join(F.broadcast(total))  # one row
-    information = F.log(F.col("n") / F.col("n_e"))
-    pmi = F.log(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    return known.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).where(F.col("share") >= least).select("entity", "term", "share")
+    few = _few(asked)  # then the words are told apart before they are counted, else after
+    if few:
+        words = words.join(F.broadcast(asked), "term", "left_semi")
+    terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    if not few:
+        terms = terms.join(asked, "term", "left_semi")
+    n = F.lit(max(2, docs.count()))
+    known = pairs.join(terms, "term").join(entities, "entity")
+    before = F.col("n_e") / n
+    told = (F.col("n_te") + before) / (F.greatest("n_t", "n_te") + 1)
+    share = F.when(before < 1, F.log(told / before) / -F.log(before)).otherwise(0.0)
+    return known.withColumn("share", share).where((F.col("share") >= least) & (told >= certain)).select("entity", "term", "share")
 
 
 def _few(df: DataFrame) -> bool:
     return df.limit(BROADCAST + 1).count() <= BROADCAST
 
 
+def _table(terms: Column) -> Column:
+    """Terms (structs of term and what) dealt by hash to as many lists as the root of their number, so that a look-up is short."""
+    many = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(terms))).cast("int"))
+    return _let(F.struct(terms.alias("t"), many.alias("n")), lambda v: F.transform(F.sequence(F.lit(0), v["n"] - 1), lambda i: F.filter(v["t"], lambda e: F.pmod(F.hash(e["term"]), v["n"]) == i)))
+
+
+def _become(table: Column, word: Column) -> Column:
+    """What becomes of a word; null if the table doesn't have it."""
+    lot = F.get(table, F.pmod(F.hash(word), F.size(table)))
+    return F.get(F.filter(lot, lambda e: e["term"] == word), 0)["what"]
+
+
 def with_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """`docs` with base and added (array<SPAN>): the identifiers, and the terms (`more` is what becomes of them) that tell of an entity.
 
@@ -134,15 +205,17 @@ def with_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     word = docs.select(F.xxhash64(text).alias("h"), F.explode(_words(text)).alias("term"))
     hits = checkpoint(word.join(F.broadcast(told) if _few(told) else told, "term").distinct())
     become = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("something"))
-    terms = hits.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("term", become.alias("what")))).alias("_terms"))
-    keyed = docs.withColumn("_h", F.xxhash64(text))
+    terms = hits.groupBy("h").agg(_table(F.collect_list(F.struct("term", become.alias("what")))).alias("_terms"))
+    based = docs.withColumn("_h", F.xxhash64(text)).withColumn("base", base_spans(text))
     parts = terms.select(F.col("h").alias("_h"), "_terms", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    joined = keyed.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
-    based = joined.withColumn("base", base_spans(text))
-    free = lambda w: ~F.exists("base", lambda b: (w["start"] < b["end"]) & (b["start"] < w["end"]))
-    found = F.filter(_matches(text, WORD, 4, lambda m: F.col("_terms")[F.lower(m)].isNotNull()), free)
-    named = F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), F.col("_terms")[F.lower(w["more"])].alias("more")))
-    return based.withColumn("added", F.when(F.col("_terms").isNotNull(), named.cast(f"array<{SPAN}>")).otherwise(_none())).drop("_h", "_terms")
+    joined = based.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
+
+    def added(table: Column) -> Column:
+        found = _matches(_masked(text, F.col("base")), MARKED_WORD, 4, lambda m: ~m.contains(MARK) & _become(table, F.lower(m)).isNotNull())
+        return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), _become(table, F.lower(w["more"])).alias("more")))
+
+    named = F.when(F.col("_terms").isNotNull(), added(F.col("_terms")).cast(f"array<{SPAN}>")).otherwise(_none())
+    return joined.withColumn("added", named).drop("_h", "_terms")
 
 
 def listed(spans: Column) -> Column:
@@ -152,12 +225,16 @@ def listed(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base, added of every document. Null counts as empty; equal texts get equal spans; ids play no part."""
+    """doc_id, base, added of every document. Null counts as empty; equal texts get equal spans; ids play no part; an
+    empty table gives no rows. Only id and text are read, so other columns can't clash."""
     return with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "base", "added")
 
 
 def report(docs: DataFrame, **options: str) -> DataFrame:
-    """doc_id, counts of identifiers by kind, base_sha256, spans (all, with the added ones)."""
+    """doc_id, counts of identifiers by kind, base_sha256, spans (all, with the added ones), one row for each document.
+
+    Null and empty texts have no spans; repeated rows and null ids stay rows of their own; spans that start together go by kind.
+    """
     out = find(docs, **options)
 
     def count(k: int) -> Column:
@@ -167,19 +244,27 @@ def report(docs: DataFrame, **options: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
-def redact(text: Column, spans: Column, mark: Column | None = None) -> Column:
-    """The text with each span (sorted) replaced: identifiers by their kind in brackets or `mark`, terms by what becomes of them."""
+def redact(text: Column, spans: Column, put=None) -> Column:
+    """The text with each span (sorted) replaced by `put` of it: by default identifiers by their kind in brackets, terms by
+    what becomes of them. A span that starts inside the one before is covered by it."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    put = put or (lambda s: F.coalesce(F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"])), F.lit("")))
+
+    def cut(v: Column) -> Column:
+        """Pieces of text, one a chunk of spans; a chunk starts where those before it end."""
+        ends = lambda x: F.aggregate(x, F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
+        starts = F.aggregate(v["c"], F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), ends(x)))))
+        return _let(starts, lambda at: F.concat(F.transform(v["c"], lambda x, i: piece(v["t"], x, F.get(at, i), F.get(at, i + 1))), F.array(F.substring(v["t"], F.element_at(at, -1) + 1, F.length(v["t"])))))
+
+    def piece(t: Column, x: Column, lo: Column, hi: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            ahead = F.concat(acc["out"], F.substring(acc["own"], acc["at"] - lo + 1, s["start"] - acc["at"]), put(s))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"), acc["own"].alias("own"))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"]) if mark is None else mark)
-        ahead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.coalesce(put, F.lit("")))
-        fresh = s["start"] >= acc["at"]  # a span inside the last one is covered by it
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, ahead).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(x, F.struct(lo.alias("at"), F.lit("").alias("out"), F.substring(t, lo + 1, hi - lo).alias("own")), step)["out"]
 
-    done = F.aggregate(spans, first, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    done = _let(F.struct(text.alias("t"), _let(spans, _chunks).alias("c")), lambda v: F.array_join(cut(v), ""))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
