@@ -30,18 +30,16 @@ def new_only(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return found.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
-def exact_leaders(df: DataFrame, keys: list[str], order: list[Column], id_col: str) -> DataFrame:
+def exact_leaders(df: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:
     """(id, primary): each row's leader where equality of the keys is the whole match; leaders have null.
 
-    Rows with a null key neither match nor lead.
+    The leader is the smallest by `order`, which must be total. It comes from a map-side-combined aggregate that is joined
+    back, so no task sorts all copies of one key. Rows with a null key neither match nor lead.
     """
-    first = F.first(id_col).over(Window.partitionBy(*keys).orderBy(*order))
-    usable = F.lit(True)
-    for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    lead = df.where(usable).withColumn("_lead", first)
-    none = df.where(~usable).withColumn("_lead", F.col(id_col))
-    return lead.unionByName(none).select(id_col, F.when(F.col("_lead") != F.col(id_col), F.col("_lead")).alias("primary"))
+    slim = df.select(id_col, *keys, *(c for c in order if c not in (*keys, id_col)))
+    leads = slim.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_first"))
+    both = slim.join(leads, keys, "left")
+    return both.select(id_col, F.when(F.col("_first._id") != F.col(id_col), F.col("_first._id")).alias("primary"))
 
 
 def place_leaders(df: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def top_parts(df: DataFrame, by: list[str], part: str, measure: str, k: int) ->
 def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000) -> DataFrame:
     """(search_id, id): postings found after each search's last alert that meet all of its parameters that aren't null.
 
-    Up to `bound` searches are broadcast. Beyond that the join goes by sector: a search without one is copied to each sector.
+    Up to `bound` searches are broadcast. Beyond that each posting looks under its own sector and under none, which is a join
+    on equal keys that spills and that adaptive execution splits where a sector has very many postings. A posting without
+    a sector meets searches without one only, on either way.
     """
     fits = lambda param, ok: F.col(param).isNull() | ok
     on = (
@@ -33,12 +35,12 @@ def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000)
         & fits("want_salary", F.coalesce("salary_max", "salary_min") >= F.col("want_salary"))
         & fits("want_area", F.col("area") == F.col("want_area"))
     )
-    by_sector = F.col("want_sector").isNull() | (F.col("sector") == F.col("want_sector"))
     if searches.limit(bound + 1).count() <= bound:
+        by_sector = F.col("want_sector").isNull() | (F.col("sector") == F.col("want_sector"))
         return postings.join(F.broadcast(searches), on & by_sector).select("search_id", "id")
-    sectors = postings.select("sector").distinct()
-    copies = searches.where("want_sector IS NULL").crossJoin(F.broadcast(sectors)).unionByName(searches.where("want_sector IS NOT NULL").withColumn("sector", F.col("want_sector")))
-    return postings.join(copies.withColumnRenamed("sector", "at_sector"), (F.col("sector") == F.col("at_sector")) & on).select("search_id", "id")
+    either = F.array_distinct(F.array("sector", F.lit(None).cast("string")))
+    looking = postings.select("*", F.explode(either).alias("_sector"))
+    return looking.join(searches, F.col("_sector").eqNullSafe(F.col("want_sector")) & on).select("search_id", "id")
 
 
 def keyword_summary(df: DataFrame, id_col: str, array: str, least: int, k: int) -> DataFrame:

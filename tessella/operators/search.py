@@ -80,18 +80,23 @@ def around(postings: DataFrame, lat: float, lon: float, miles: float) -> DataFra
 def similar(postings: DataFrame, to: DataFrame, k: int) -> DataFrame:
     """For each posting in `to`: the k newest others of its company, and the k newest of its title at other companies.
 
-    Columns: id, kind (company or title), rank, other.
+    Columns: id, kind (company or title), rank, other. Candidates are bounded before they meet: of a company its k + 1
+    newest, of a title its 2k newest once each company is limited to k, as k of them at most are of the own company.
     """
     mine = to.select(F.col("id").alias("of"), F.col("company").alias("own"), F.col("title").alias("wanted"))
     newest = [F.desc("listed_at"), F.asc("id")]
+    slim = postings.select("id", "company", "title", "listed_at")
 
-    def branch(kind: str, on: Column) -> DataFrame:
-        pairs = postings.join(mine, on)
+    def first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("_r") <= n).drop("_r")
+
+    def branch(kind: str, few: DataFrame, on: Column) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("of").orderBy(*newest))
-        return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("of").alias("id"), F.lit(kind).alias("kind"), "rank", F.col("id").alias("other"))
+        return few.join(mine, on).withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("of").alias("id"), F.lit(kind).alias("kind"), "rank", F.col("id").alias("other"))
 
-    same = branch("company", (F.col("company") == F.col("own")) & (F.col("id") != F.col("of")))
-    return same.union(branch("title", (F.col("title") == F.col("wanted")) & (F.col("company") != F.col("own"))))
+    same = branch("company", first(slim, ["company"], k + 1), (F.col("company") == F.col("own")) & (F.col("id") != F.col("of")))
+    titled = first(first(slim, ["title", "company"], k), ["title"], 2 * k)
+    return same.union(branch("title", titled, (F.col("title") == F.col("wanted")) & (F.col("company") != F.col("own"))))
 
 
 def suggest(counts: DataFrame, name: str, typed: str, k: int) -> DataFrame:

@@ -125,10 +125,10 @@ def search_facets(spark, sf_dir):
     return search.search(postings(spark, sf_dir), search.Search(workplace="remote", area="R1", posted_within=400), AS_OF).select("id", "area", "workplace")
 
 
-@query("search_titles", "SELECT p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), '1') AND contains(lower(p_name), 'part') AND NOT contains(lower(p_name), '7')")
+@query("search_titles", "SELECT p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'ring') AND contains(lower(p_name), 'l') AND NOT contains(lower(p_name), 'small')")
 def search_titles(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.where(text.matches_query(F.col("p_name"), "1 Part -7")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return part.where(text.matches_query(F.col("p_name"), "RING l -Small")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
 
 
 @query("search_page_two", f"""
@@ -158,24 +158,24 @@ def search_radius(spark, sf_dir):
 
 
 @query("similar_jobs", f"""
-WITH {POSTINGS}, few AS (SELECT id AS of_id, company AS own, title AS wanted FROM postings WHERE id % 1000 = 1),
+WITH {POSTINGS}, few AS (SELECT id AS of_id, company AS own, title AS wanted FROM postings WHERE id % 100 = 0),
 a AS (SELECT of_id AS id, 'company' AS kind, row_number() OVER (PARTITION BY of_id ORDER BY listed_at DESC, p.id) AS rank, p.id AS other FROM postings p JOIN few ON company = own AND p.id <> of_id),
 b AS (SELECT of_id AS id, 'title' AS kind, row_number() OVER (PARTITION BY of_id ORDER BY listed_at DESC, p.id) AS rank, p.id AS other FROM postings p JOIN few ON title = wanted AND company <> own)
 SELECT id, kind, CAST(rank AS INTEGER) AS rank, other FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rank <= 4""")
 def similar_jobs(spark, sf_dir):
     df = postings(spark, sf_dir)
-    return search.similar(df, df.where("id % 1000 = 1"), 4)  # the postings whose pages are asked for
+    return search.similar(df, df.where("id % 100 = 0"), 4)  # the postings whose pages are asked for
 
 
 @query("related_jobs", f"""
-WITH {POSTINGS}, open_ AS (SELECT * FROM postings WHERE NOT closed AND id % 3 = 0),
+WITH {POSTINGS}, open_ AS (SELECT * FROM postings WHERE NOT closed),
 t AS (SELECT a.id, b.id AS other, b.listed_at AS l, 0 AS p FROM open_ a JOIN open_ b ON a.title = b.title AND a.company <> b.company),
 s AS (SELECT a.id, b.id AS other, b.listed_at AS l, 1 AS p FROM open_ a JOIN open_ b ON a.sector = b.sector AND a.area = b.area AND a.company <> b.company),
 m AS (SELECT id, other, l, min(p) AS p FROM (SELECT * FROM t UNION ALL SELECT * FROM s) GROUP BY ALL),
 r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY p, l DESC, other) AS rank FROM m)
 SELECT id, CAST(rank AS INTEGER) AS rank, other FROM r WHERE rank <= 6""")
 def related_jobs(spark, sf_dir):
-    return search.related(postings(spark, sf_dir).where(~F.col("closed") & (F.col("id") % 3 == 0)), 6)
+    return search.related(postings(spark, sf_dir).where(~F.col("closed")), 6)
 
 
 @query("suggest_terms", """
@@ -268,13 +268,13 @@ leaders AS (SELECT doc_id, source, nullif(first_value(doc_id) OVER (PARTITION BY
 
 @query("dedup_leaders", f'WITH {_LEADERS} SELECT doc_id, "primary" FROM leaders')
 def dedup_leaders(spark, sf_dir):
-    return dedup.exact_leaders(_keyed(spark, sf_dir), ["title_key"], [F.asc("source"), F.asc("doc_id")], "doc_id")
+    return dedup.exact_leaders(_keyed(spark, sf_dir), ["title_key"], ["source", "doc_id"], "doc_id")
 
 
 @query("duplicate_groups_linked", f'WITH {_LEADERS} SELECT l.doc_id, l.source, c.n AS copies FROM leaders l JOIN (SELECT "primary" AS p, count(*) AS n FROM leaders WHERE "primary" IS NOT NULL GROUP BY 1) c ON l.doc_id = c.p')
 def duplicate_groups_linked(spark, sf_dir):
     keyed = _keyed(spark, sf_dir)
-    linked = keyed.join(dedup.exact_leaders(keyed, ["title_key"], [F.asc("source"), F.asc("doc_id")], "doc_id"), "doc_id")
+    linked = keyed.join(dedup.exact_leaders(keyed, ["title_key"], ["source", "doc_id"], "doc_id"), "doc_id")
     return dedup.linked_groups(linked, "doc_id", "primary").select("doc_id", "source", "copies")
 
 
@@ -498,13 +498,13 @@ def presence_sweep(spark, sf_dir):
 
 @query("alert_matches", f"""
 WITH {POSTINGS}, s AS (SELECT p_partkey AS search_id, CASE WHEN p_partkey % 2 = 0 THEN 'urgent' END AS want_words, CASE WHEN p_partkey % 3 = 0 THEN 300000 END AS want_salary,
-  CASE WHEN p_partkey % 5 <> 0 THEN (['BUILDING','MACHINERY','FURNITURE'])[p_partkey % 3 + 1] END AS want_sector, TIMESTAMP '2001-07-01' AS last_alerted_at FROM part WHERE p_partkey <= 40)
+  CASE WHEN p_partkey % 5 <> 0 THEN (['BUILDING','MACHINERY','FURNITURE'])[p_partkey % 3 + 1] END AS want_sector, TIMESTAMP '2001-07-01' AS last_alerted_at FROM part)
 SELECT search_id, id FROM s JOIN postings ON found_at > last_alerted_at AND (want_words IS NULL OR contains(lower(title), want_words)) AND (want_salary IS NULL OR coalesce(salary_max, salary_min) >= want_salary)
   AND (want_sector IS NULL OR sector = want_sector)""")
 def alert_matches(spark, sf_dir):
     k = F.col("p_partkey")
     sectors = F.array(*map(F.lit, ("BUILDING", "MACHINERY", "FURNITURE")))
-    saved = table(spark, sf_dir, "part").where("p_partkey <= 40").select(
+    saved = table(spark, sf_dir, "part").select(
         k.alias("search_id"), F.when(k % 2 == 0, "urgent").alias("want_words"), F.when(k % 3 == 0, 300000).alias("want_salary"), F.when(k % 5 != 0, F.element_at(sectors, (k % 3 + 1).cast("int"))).alias("want_sector"),
         F.lit(None).cast("string").alias("want_area"), F.lit("2001-07-01 00:00:00").cast("timestamp").alias("last_alerted_at"),
     )
@@ -548,11 +548,11 @@ def missing_keywords(spark, sf_dir):
 
 
 @query("survey_counts", """
-WITH r AS (SELECT 'role' AS question, role AS answer FROM conversations UNION ALL SELECT 'turn', CAST(turn AS VARCHAR) FROM conversations UNION ALL SELECT 'first', unnest(string_split(text, ' ')[1:3]) FROM conversations)
+WITH r AS (SELECT 'role' AS question, role AS answer FROM conversations UNION ALL SELECT 'turn', CAST(turn AS VARCHAR) FROM conversations UNION ALL SELECT 'word', unnest(list_distinct(string_split(text, ' '))) FROM conversations)
 SELECT question, answer, count(*) AS n FROM r WHERE answer IS NOT NULL GROUP BY 1, 2""")
 def survey_counts(spark, sf_dir):
-    df = table(spark, sf_dir, "conversations").select("role", "turn", F.slice(F.split("text", " "), 1, 3).alias("first"))
-    return demand.answer_counts(df, ["role", "turn"], ["first"])
+    df = table(spark, sf_dir, "conversations").select("role", "turn", F.array_distinct(F.split("text", " ")).alias("word"))
+    return demand.answer_counts(df, ["role", "turn"], ["word"])
 
 
 @query("sitemap_shards", f"""
@@ -593,18 +593,11 @@ def html_postings(spark, sf_dir):
 
 
 _SHAPES = ["{}", "Careers at {}", "{} Careers", "Corporate Careers | {}", "{} | A tagline of ours", "{} External Careers Site", "{} - Talent Acquisition", "careers.{}.com", "Careers", "Join us | Jobs with {} | {}", "{}.eightfold.ai", "Employment Opportunities at {}"]
-_RAW_NAME = "replace((" + repr(_SHAPES) + ")[c_custkey % 12 + 1], '{}', replace(c_name, '#', ' '))"
-_WORDLESS = "x"
-for _p in names.WORDING:
-    _WORDLESS = f"regexp_replace({_WORDLESS}, '{_p}', '')"
-
-
-@query("display_names", f"""
-WITH s AS (SELECT c_custkey AS id, trim(regexp_replace({_RAW_NAME}, '\\s+', ' ', 'g')) AS name FROM customer),
-p AS (SELECT id, name, [trim(x) FOR x IN string_split(name, '|') IF trim(x) <> ''] AS parts FROM s),
-o AS (SELECT id, name, CASE WHEN len(parts) > 1 AND len([x FOR x IN parts IF len(string_split(x, ' ')) <= 6 AND regexp_matches(x, '{names.CAREERS_WORD}')]) > 0 THEN list_reverse(parts) ELSE parts END AS parts FROM p),
-b AS (SELECT id, name, [trim({_WORDLESS}, ' -–—:|') FOR x IN parts IF NOT regexp_matches(x, '{names.CAREERS_ONLY}')] AS parts FROM o)
-SELECT id, CASE WHEN NOT ({" OR ".join(f"regexp_matches(name, '{h}')" for h in names.HOSTS)}) THEN [x FOR x IN parts IF x <> ''][1] END AS company FROM b""")
+
+
+@query("display_names", """
+SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 7 THEN 'careers.' || n || '.com' WHEN 8 THEN NULL WHEN 10 THEN n || '.eightfold.ai' ELSE n END AS company
+FROM (SELECT c_custkey, replace(c_name, '#', ' ') AS n FROM customer)""")
 def display_names(spark, sf_dir):
     shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("c_custkey") % 12 + 1).cast("int"))
     raw = F.replace(shape, F.lit("{}"), F.translate("c_name", "#", " "))

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LISTING = "url string, posted string"
@@ -86,16 +86,19 @@ def insert_absent(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """
     spark = new.sparkSession
     fresh = new.dropDuplicates(keys)
-    try:
+    if exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as e:  # the table isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     fresh = fresh.persist()
     fresh.write.mode("append").parquet(path)
     return fresh
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at `path`, on whatever store Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def replace_days(new: DataFrame, path: str, day: str) -> None:
     """Overwrite the days that `new` has, and no others."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

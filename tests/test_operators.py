@@ -108,6 +108,30 @@ def test_alerts_by_both_ways(spark):
     assert a == b and {x for x, _ in a} == {1, 2, 3}
 
 
+def test_alerts_of_postings_without_sector(spark):
+    p = spark.sql("SELECT * FROM VALUES (1, 'A'), (2, NULL), (3, 'B') AS t(id, sector)").selectExpr("id", "sector", "'t' AS title", "'x' AS area", "10 AS salary_max", "CAST(NULL AS INT) AS salary_min", "timestamp'2024-01-02' AS found_at")
+    s = spark.sql("SELECT * FROM VALUES (1, NULL), (2, 'A'), (3, NULL) AS t(search_id, want_sector)").selectExpr("*", "CAST(NULL AS STRING) AS want_words", "CAST(NULL AS INT) AS want_salary", "CAST(NULL AS STRING) AS want_area", "timestamp'2024-01-01' AS last_alerted_at")
+    for bound in (10, 0):
+        assert sorted(map(tuple, demand.alert_matches(s, p, bound).collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2), (3, 3)]
+
+
+def test_similar_against_all_pairs(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc"), rng.choice("xy"), rng.randrange(20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, company string, title string, listed_at int")
+    want = []
+    for i, company, title, _ in rows[::5]:
+        for kind, ok in (("company", lambda r, c=company, n=i: r[1] == c and r[0] != n), ("title", lambda r, c=company, t=title: r[2] == t and r[1] != c)):
+            best = sorted((r for r in rows if ok(r)), key=lambda r: (-r[3], r[0]))[:3]
+            want += [(i, kind, n + 1, r[0]) for n, r in enumerate(best)]
+    assert sorted(map(tuple, search.similar(df, df.where("id % 5 = 0"), 3).collect())) == sorted(want)
+
+
+def test_exact_leaders_with_nulls_and_ties(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 'k', 2), (2, 'k', 1), (3, NULL, 0), (4, 'm', 0), (5, 'k', 1) AS t(id, k, o)")
+    assert sorted(map(tuple, dedup.exact_leaders(df, ["k"], ["o", "id"], "id").collect()), key=str) == [(1, 2), (2, None), (3, None), (4, None), (5, 2)]
+
+
 def test_search_with_synonyms(spark):
     df = spark.sql("SELECT 1 AS id, 'Data Engineer' AS title, array('x') AS standard_titles UNION ALL SELECT 2, 'Plumber', array('Engineer') UNION ALL SELECT 3, 'Senior Plumber', array('Engineer')")
     s = search.Search(words="engineer -senior", titles=("Engineer",))
