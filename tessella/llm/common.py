@@ -40,19 +40,54 @@ def released(run):
     return wrapped
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """`base`, with underscores added until no column of `taken` is called so (upper and lower case count as one)."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
+#: Lists that take down the folders made while they are open.
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the shared folders that were made inside. What was made of them must be written by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for uri in made:
+            delete(spark, uri)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name below `spark.checkpoint.dir`, which driver and executors share.
 
-    Where the setting is missing (tests, a laptop) one local folder is made for the session.
+    Where the setting is missing one local folder is made for the session, on a local master only: other machines can't see it.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    out = f"{root.rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append(out)
+    return out
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

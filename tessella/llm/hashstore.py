@@ -35,10 +35,11 @@ def write_shard(folder: str, shard: int, keys: np.ndarray, values: list[np.ndarr
 
 
 class HashStore:
-    """Reader of a store. `dtypes` are those of the value columns; `sizes` maps each shard to its number of keys."""
+    """Reader of a store. `dtypes` are those of the value columns; `sizes` maps each shard to its number of keys. The
+    shards in `wide` have 64-bit values throughout, because theirs don't fit the usual types."""
 
-    def __init__(self, folder: str, bits: int, dtypes: list[str], sizes: dict[int, int]):
-        self.folder, self.bits, self.dtypes, self.sizes = folder, bits, dtypes, sizes
+    def __init__(self, folder: str, bits: int, dtypes: list[str], sizes: dict[int, int], wide: frozenset[int] = frozenset()):
+        self.folder, self.bits, self.dtypes, self.sizes, self.wide = folder, bits, dtypes, sizes, wide
         self._open: dict[int, list[np.ndarray]] = {}
 
     def __getstate__(self):
@@ -47,7 +48,7 @@ class HashStore:
     def shard(self, k: int) -> list[np.ndarray] | None:
         if k not in self._open and self.sizes.get(k):
             n, at, out = self.sizes[k], 0, []
-            for d in ("<u8", *self.dtypes):
+            for d in ("<u8", *(["<i8"] * len(self.dtypes) if k in self.wide else self.dtypes)):
                 out.append(np.memmap(f"{local_path(self.folder)}/{k}.bin", dtype=d, mode="r", offset=at, shape=(n,)))
                 at += n * np.dtype(d).itemsize
             self._open[k] = out
@@ -56,7 +57,7 @@ class HashStore:
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(found, values) of ascending keys; values of missing keys are 0."""
         found = np.zeros(len(keys), dtype=bool)
-        values = [np.zeros(len(keys), dtype=d) for d in self.dtypes]
+        values = [np.zeros(len(keys), dtype="<i8" if self.wide else d) for d in self.dtypes]
         shards = shard_of(keys, self.bits)
         edges = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
         for k in np.unique(shards):
