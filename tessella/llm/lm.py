@@ -18,7 +18,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, texts
+from .common import free_name, released, shared_dir, texts
 from .hashstore import HashStore, write_shard
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -79,6 +79,11 @@ def runs(pairs: tuple[np.ndarray, np.ndarray], bits: int):
         yield int(k), int(n), len(names), pack([names, np.diff(a[order], prepend=0).astype(kind), b[order].astype(kind), count[lo:hi][order]])
 
 
+def narrow(arrays: list[np.ndarray]) -> str:
+    """The type that holds all counts of some arrays: 4 bytes, or 8 where one is beyond them."""
+    return "<u4" if max((int(x.max(initial=0)) for x in arrays), default=0) < 1 << 32 else "<i8"
+
+
 def ref_type(names: int) -> str:
     return "<u2" if names <= 1 << 16 else "<u4"
 
@@ -213,36 +218,38 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         c = np.add.reduceat(c[order].astype(np.int64), first)
         ctx, word, g = ctx[order[first]], word[order[first]], g[first]
-        write_shard(pairs_at, k, g, [c.astype("<u4")])
+        write_shard(pairs_at, k, g, [c.astype(narrow([c]))])
         zero, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
         h, sums = sum_by(np.concatenate((ctx, word)), [np.concatenate(x) for x in ((c, zero), (c == 1, zero), (c == 2, zero), (c > 2, zero), (zero, one))])
-        # 4-byte sums: a shard's share of a word's uses stays far below 2^32.
         edges = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         at = np.flatnonzero(np.diff(edges))
-        blobs = [pack([h[edges[i] : edges[i + 1]], *(s[edges[i] : edges[i + 1]].astype("<u4") for s in sums)]) for i in at]
+        kind = narrow(sums)
+        blobs = [pack([h[edges[i] : edges[i + 1]], *(s[edges[i] : edges[i + 1]].astype(kind) for s in sums)]) for i in at]
         of = _sum_of_counts(c)
         return pa.table({
-            "shard": pa.array(at, pa.int32()), "n": pa.array(np.diff(edges)[at], pa.int32()), "blob": pa.array(blobs, pa.binary()), "of_shard": pa.array([k] * len(at), pa.int32()),
+            "shard": pa.array(at, pa.int32()), "n": pa.array(np.diff(edges)[at], pa.int32()), "blob": pa.array(blobs, pa.binary()), "of_shard": pa.array([k] * len(at), pa.int32()), "kind": pa.array([kind] * len(at)),
             # The shard's own sums go along with its first row only.
-            "pairs": pa.array([len(g), *[None] * (len(at) - 1)], pa.int64()), "seen": pa.array([of, *[None] * (len(at) - 1)], pa.list_(pa.int64())),
+            "pairs": pa.array([len(g), *[None] * (len(at) - 1)], pa.int64()), "wide": pa.array([narrow([c]) == "<i8", *[None] * (len(at) - 1)], pa.bool_()), "seen": pa.array([of, *[None] * (len(at) - 1)], pa.list_(pa.int64())),
         })
 
     def merge_words(t: pa.Table) -> pa.Table:
         k = t.column("shard")[0].as_py()
-        rows = [unpack(r["blob"], [r["n"]] * 6, ["<u8"] + ["<u4"] * 5) for r in t.select(["n", "blob"]).to_pylist()]
+        rows = [unpack(r["blob"], [r["n"]] * 6, ["<u8"] + [r["kind"]] * 5) for r in t.select(["n", "blob", "kind"]).to_pylist()]
         h, (uses, once, twice, often, before) = sum_by(np.concatenate([r[0] for r in rows]), [np.concatenate([r[i] for r in rows]).astype(np.int64) for i in range(1, 6)])
-        write_shard(words_at, k, h, [uses.astype("<i8"), *(x.astype("<u4") for x in (once, twice, often, before))])
+        kind = narrow([once, twice, often, before])
+        write_shard(words_at, k, h, [uses.astype("<i8"), *(x.astype(kind) for x in (once, twice, often, before))])
         begin = int(uses[h == BEGIN].sum())
-        sizes = {r["of_shard"]: (r["pairs"], r["seen"]) for r in t.select(["of_shard", "pairs", "seen"]).to_pylist() if r["pairs"] is not None}
+        sizes = {r["of_shard"]: (r["pairs"], r["seen"], r["wide"]) for r in t.select(["of_shard", "pairs", "seen", "wide"]).to_pylist() if r["pairs"] is not None}
         return pa.table({
             "shard": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64()), "uses": pa.array([int(uses.sum()) - begin]), "documents": pa.array([begin]), "types": pa.array([int((before > 0).sum())]),
             "kinds": pa.array([int(before.sum())]), "seen": pa.array([_sum_of_counts(before)], pa.list_(pa.int64())), "thrice": pa.array([int((before > 2).sum())]),
-            "of": pa.array([list(sizes)], pa.list_(pa.int32())), "pairs": pa.array([[a for a, _ in sizes.values()]], pa.list_(pa.int64())), "pair_seen": pa.array([[b for _, b in sizes.values()]], pa.list_(pa.list_(pa.int64()))),
+            "of": pa.array([list(sizes)], pa.list_(pa.int32())), "pairs": pa.array([[a for a, _, _ in sizes.values()]], pa.list_(pa.int64())), "pair_seen": pa.array([[b for _, b, _ in sizes.values()]], pa.list_(pa.list_(pa.int64()))),
+            "wide": pa.array([kind == "<i8"]), "wide_pairs": pa.array([[i for i, x in sizes.items() if x[2]]], pa.list_(pa.int32())),
         })
 
     counted = df.mapInArrow(released(count), "shard int, n int, m int, blob binary")
-    by_word = counted.groupBy("shard").applyInArrow(merge, "shard int, n int, blob binary, of_shard int, pairs long, seen array<long>")
-    kinds = "shard int, n long, uses long, documents long, types long, kinds long, seen array<long>, thrice long, of array<int>, pairs array<long>, pair_seen array<array<long>>"
+    by_word = counted.groupBy("shard").applyInArrow(merge, "shard int, n int, blob binary, of_shard int, kind string, pairs long, wide boolean, seen array<long>")
+    kinds = "shard int, n long, uses long, documents long, types long, kinds long, seen array<long>, thrice long, of array<int>, pairs array<long>, pair_seen array<array<long>>, wide boolean, wide_pairs array<int>"
     rows = by_word.groupBy("shard").applyInArrow(merge_words, kinds).collect()  # a row for each shard, with the shards' sizes
     pair_sizes = {k: (n, s) for r in rows for k, n, s in zip(r["of"], r["pairs"], r["pair_seen"], strict=True)}
     total = lambda name: sum(r[name] for r in rows)
@@ -251,8 +258,8 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     lower = Discounts.of(lower_seen)
     d = lower.by_count
     return Model(
-        words=HashStore(words_at, bits, ["<i8"] + ["<u4"] * 4, {r["shard"]: r["n"] for r in rows}),
-        bigrams=HashStore(pairs_at, bits, ["<u4"], {k: n for k, (n, _) in pair_sizes.items()}),
+        words=HashStore(words_at, bits, ["<i8"] + ["<u4"] * 4, {r["shard"]: r["n"] for r in rows}, frozenset(r["shard"] for r in rows if r["wide"])),
+        bigrams=HashStore(pairs_at, bits, ["<u4"], {k: n for k, (n, _) in pair_sizes.items()}, frozenset(k for r in rows for k in r["wide_pairs"])),
         documents=documents, total=total("uses") + documents, types=total("types"), kinds=kinds_,
         upper=Discounts.of([sum(s[i] for _, s in pair_sizes.values()) for i in range(4)]), lower=lower,
         lower_rest=(d[1] * lower_seen[0] + d[2] * lower_seen[1] + d[3] * total("thrice")) / kinds_ if kinds_ else 1.0,
@@ -264,7 +271,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
 
     base_score is the add-one-half unigram model over the same counts. Null counts as empty: one end.
     """
-    df = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
+    df = docs.select(*carry, F.col(text_col).cast("string").alias(free_name("_text", carry)))
 
     def run(batches):
         for b in batches:
@@ -287,6 +294,10 @@ def fold(col: str, n: int = 5):
 
 
 def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
-    """Train on the documents outside the held fold and score all: doc_id, held_out, and the columns of `score`."""
+    """Train on the documents outside the held fold and score all: doc_id, held_out, and the columns of `score`.
+
+    Null and empty texts are one end token; a null id is hashed as the empty text; repeated rows each count and are each
+    scored; an empty table gives none. Only id and text are read, so other columns can't clash.
+    """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, folds) == held).alias("held_out"))
     return score(df, train(df.where("NOT held_out")), ["doc_id", "held_out"])
