@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, local_path, shared_dir
+from .common import checkpoint, local_path, partitions, shared_dir
 
 #: Neighbours of a node above the base layer (twice as many on it), width of the search while building and searching.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 12, 72, 96
-#: Vectors of a shard at most, and those below which a shard isn't split to keep more cores busy.
-SHARD_MOST, SHARD_LEAST = 250_000, 4096
+#: A shard has this share of the vectors, within these bounds; the shards depend on the vectors alone, not on the cluster.
+SHARD_SHARE, SHARD_LEAST, SHARD_MOST = 16, 4096, 250_000
 #: Queries of one search task.
 QUERY_BLOCK = 4096
 
@@ -214,37 +214,44 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return sized.where(F.col("size") == (common["size"] if common else 0)).select("vec_id", "v")
 
 
-def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def shard_count(n: int, size: int | None = None) -> int:
+    """Shards for n vectors, of about `size` each."""
+    return max(1, -(-n // (size or min(SHARD_MOST, max(SHARD_LEAST, n // SHARD_SHARE)))))
+
+
+def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`, among all other rows.
 
     Score is the Euclidean distance in double precision on the original vectors; ties go to the smaller vec_id. Every
     vector is indexed. Equal vectors are one node that keeps its k + 1 smallest ids, which is all that k results can
     use, so copies neither distort the graph nor pile up. Exactly repeated rows count once. Vectors that take no part
-    are those of `usable`.
+    are those of `usable`. An empty table, or one without queries, gives no rows; other columns aren't read.
+
+    A shard's nodes are put in the order of their smallest ids, and each attempt of a task writes to a folder of its own, whose name is
+    its result: a repeated task gives the same graph, and files of two attempts never mix.
     """
     spark = df.sparkSession
     rows = checkpoint(usable(df, id_col, vec_col))
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     nodes = checkpoint(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    n = nodes.count()
-    shards = max(1, -(-n // SHARD_MOST), min(spark.sparkContext.defaultParallelism, -(-n // SHARD_LEAST)))
+    shards = shard_count(nodes.count(), shard_size)
     folder = shared_dir(spark)
 
     def index(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        x = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
-        g = build(x)
-        g.save(f"{folder}/{s}")
         ids = t.column("ids").combine_chunks()
-        path = local_path(f"{folder}/{s}")
-        for name, a in (("exact", x), ("ids", ids.flatten().to_numpy()), ("offsets", ids.offsets.to_numpy() - ids.offsets[0].as_py())):
-            np.save(f"{path}/.{name}.npy", a)
-            os.replace(f"{path}/.{name}.npy", f"{path}/{name}.npy")
-        return pa.table({"shard": pa.array([s], pa.int32()), "layers": pa.array([len(g.links)], pa.int32()), "entry": pa.array([g.entry], pa.int32())})
+        starts = ids.offsets.to_numpy()
+        order = np.argsort(ids.values.to_numpy()[starts[:-1]])
+        x = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)[order]
+        g, at = build(x), f"{folder}/{uuid.uuid4().hex}"
+        g.save(at)
+        sorted_ids = ids.take(pa.array(order))
+        for name, a in (("exact", x), ("ids", sorted_ids.flatten().to_numpy()), ("offsets", sorted_ids.offsets.to_numpy() - sorted_ids.offsets[0].as_py())):
+            np.save(f"{local_path(at)}/{name}.npy", a)
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "layers": pa.array([len(g.links)], pa.int32()), "entry": pa.array([g.entry], pa.int32()), "at": pa.array([at])})
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    graphs = dealt.groupBy("shard").applyInArrow(index, "shard int, layers int, entry int").collect()
+    graphs = checkpoint(dealt.groupBy("shard").applyInArrow(index, "shard int, layers int, entry int, at string"))
 
     def keep(batches):
         path = local_path(f"{folder}/queries")
@@ -257,41 +264,45 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id"
                 np.save(f"{name}-v.npy", np.array(part.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(part.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).distinct().coalesce(max(1, shards))
-    blocks = [r.name for r in asked.mapInArrow(keep, "name string").collect()]  # a name for each block of queries
-    out = "query_id long, vec_id long, score double"
-    if not graphs or not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).distinct()
+    blocks = checkpoint(asked.coalesce(max(1, asked.count() // QUERY_BLOCK)).mapInArrow(keep, "name string"))
 
     def look(batches):
+        last, g, exact, ids, offsets = None, None, None, None, None
         for b in batches:
             for r in b.to_pylist():
-                path = f"{folder}/{r['shard']}"
-                g = Graph.load(path, r["layers"], r["entry"])
-                g = Graph(np.array(g.vectors), g.level, g.links, g.entry)
-                exact, ids, offsets = (np.load(f"{local_path(path)}/{x}.npy", mmap_mode="r") for x in ("exact", "ids", "offsets"))
+                if r["at"] != last:
+                    last = r["at"]
+                    g = Graph.load(last, r["layers"], r["entry"])
+                    g = Graph(np.array(g.vectors), g.level, g.links, g.entry)
+                    exact, ids, offsets = (np.load(f"{local_path(last)}/{x}.npy", mmap_mode="r") for x in ("exact", "ids", "offsets"))
                 qid, q = np.load(f"{r['name']}-id.npy"), np.load(f"{r['name']}-v.npy")
                 for lo in range(0, len(q), 512):
-                    got = g.search(q[lo : lo + 512], k + 1)
-                    query, at = np.nonzero(got >= 0)
-                    node = got[query, at]
-                    d = np.sqrt(((exact[node] - q[lo + query]) ** 2).sum(1))
-                    copies = offsets[node + 1] - offsets[node]
-                    which = np.repeat(np.arange(len(node)), copies)
-                    inner = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    vec = ids[offsets[node[which]] + inner]
-                    a, s = qid[lo + query[which]], d[which]
-                    other = vec != a
-                    a, s, vec = a[other], s[other], vec[other]
-                    order = np.lexsort((vec, s, a))
-                    a, s, vec = a[order], s[order], vec[order]
-                    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, int)
-                    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-                    a, s, vec = a[rank < k], s[rank < k], vec[rank < k]
+                    a, vec, s = best_of(g.search(q[lo : lo + 512], k + 1), qid[lo : lo + 512], q[lo : lo + 512], exact, ids, offsets, k)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(vec, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    tasks = spark.createDataFrame([(g.shard, g.layers, g.entry, name) for g in graphs for name in blocks], "shard int, layers int, entry int, name string")
-    found = tasks.repartition(min(len(graphs) * len(blocks), 4096)).mapInArrow(look, out)
+    # Each block of queries meets each shard: a row of names a task, made and dealt by Spark.
+    tasks = blocks.select("name", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(graphs, "shard").select("shard", "layers", "entry", "at", "name")
+    found = tasks.repartition(partitions(spark), "shard", "name").sortWithinPartitions("shard").mapInArrow(look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(got: np.ndarray, qid: np.ndarray, q: np.ndarray, exact: np.ndarray, ids: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, distance) of the k nearest other rows of each query among the nodes `got`, all ids of a node included."""
+    query, at = np.nonzero(got >= 0)
+    node = got[query, at]
+    d = np.sqrt(((exact[node] - q[query]) ** 2).sum(1))
+    copies = offsets[node + 1] - offsets[node]
+    which = np.repeat(np.arange(len(node)), copies)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies)
+    vec = ids[offsets[node[which]] + inner]
+    a, s = qid[query[which]], d[which]
+    other = vec != a
+    a, s, vec = a[other], s[other], vec[other]
+    order = np.lexsort((vec, s, a))
+    a, s, vec = a[order], s[order], vec[order]
+    start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, int)
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    return a[rank < k], vec[rank < k], s[rank < k]
