@@ -17,6 +17,8 @@ from .common import checkpoint
 
 #: Row numbers are counted within this many hash ranges, so that no task sorts more than a sliver of the rows.
 BUCKETS = 4096
+#: Parts that equal rows are counted in, so that none gives more than a sliver of them back at once.
+PARTS = 4096
 
 
 class Feistel:
@@ -58,22 +60,26 @@ class Feistel:
         return self._walk(np.asarray(x), True)
 
 
-def number_rows(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """(df with `row_number` 0..N-1, N). The number depends on the keys only; rows with equal keys may swap theirs.
+def number_rows(df: DataFrame, buckets: int = BUCKETS, parts: int = PARTS) -> tuple[DataFrame, int]:
+    """(df with `row_number` 0..N-1, N). The number depends on the rows' content only.
 
-    Rows are dealt to hash ranges of their keys and numbered inside each; the ranges' counts, at most
-    `buckets` rows, give the offsets.
+    Equal rows are counted before anything is sorted, in `parts` parts, and come back as that many rows with numbers
+    in turn: all copies of one row cost `parts` rows at most. The different rows are dealt to hash ranges and placed inside each
+    by running sums; the ranges' counts, at most `buckets` rows, give the offsets.
     """
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("_b").agg(F.count("*").alias("_n")).collect()
+    keys = df.columns
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))
+    counted = df.withColumn("_p", part).groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    dealt = checkpoint(counted.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
     offsets, total = [0] * buckets, 0
-    for r in sorted(counts, key=lambda r: r["_b"]):
+    for r in sorted(dealt.groupBy("_b").agg(F.sum("_n").alias("_n")).collect(), key=lambda r: r["_b"]):
         offsets[r["_b"]] = total
         total += r["_n"]
     start = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(offsets)), "_b int, _o long"))
-    within = Window.partitionBy("_b").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    numbered = dealt.withColumn("_r", F.row_number().over(within)).join(start, "_b")
-    return numbered.withColumn("row_number", F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o"), total
+    before = Window.partitionBy("_b").orderBy(*[F.col(k).asc_nulls_first() for k in keys], "_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_o") + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    placed = dealt.join(start, "_b").withColumn("_first", first)
+    return placed.select(*keys, F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("row_number")), total
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +91,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    numbered, total = number_rows(checkpoint(base), ["doc_id", "text_crc32", "size"])
+    numbered, total = number_rows(base.select("doc_id", "text_crc32", "size"))
     perm = Feistel(total, seed)
 
     def deal(batches):
