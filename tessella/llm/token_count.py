@@ -43,6 +43,11 @@ def _rules(pattern: str):
     return regex.compile(pattern), regex.compile(r"\s | \s")
 
 
+@cache
+def _special(strings_: tuple[str, ...]):
+    return regex.compile("|".join(map(regex.escape, strings_)))
+
+
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -60,14 +65,11 @@ def stretches(text: str, pattern: str) -> list[str]:
 
 
 def segments(text: str, special: list[str]) -> tuple[list[str], int]:
-    """The text between special strings, and how many of those there are (each is one token)."""
-    parts, n = [text], 0
-    for s in special:
-        if s in text:
-            parts = [y for x in parts for y in x.split(s)]
-    for s in special:
-        n += text.count(s)
-    return parts, n
+    """The text between special strings, and how many of those there are (each is one token): the leftmost, and of those the longest."""
+    if not any(s in text for s in special):
+        return [text], 0
+    parts = _special(tuple(special)).split(text)
+    return parts, len(parts) - 1
 
 
 def pieces(batch: list[str], path: str) -> list[int]:
