@@ -12,11 +12,13 @@ import hashlib
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hashstore
 from .common import checkpoint, filesystem, shared_dir
 
 DICT_MAGIC = 0x184D2A5D
@@ -142,38 +144,32 @@ def read_archive(stream) -> iter:
             one = None
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """page_id, url, payload, payload_digest, refers_to: which records revisit which.
+def winners(pages: DataFrame, id_col: str = "page_id", body_col: str = "html") -> DataFrame:
+    """(h, best): of the payloads of REVISIT_BYTES or more that several pages have, a hash of the digest and the largest page_id.
 
-    Among equal payloads of REVISIT_BYTES or more the largest page_id is the response. The groups' winners come
-    from a map-side-combined aggregate; only groups of two or more are joined back, each winner
-    copied to eight salts so that a large group isn't one task's.
+    A map-side-combined aggregate over digests; no payload is shuffled.
     """
     body = F.coalesce(F.col(body_col), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("payload_digest"))
-    winners = (
-        base.where(F.octet_length("payload") >= REVISIT_BYTES)
-        .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
-        .where("n > 1 AND best IS NOT NULL")
-        .select(F.col("payload_digest"), "best", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
-    )
-    salted = base.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(8)))
-    return salted.join(winners, ["payload_digest", "salt"], "left").select("page_id", "url", "payload", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
-
-
-def write(pages: DataFrame, folder: str | None = None, date: str = "2026-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> DataFrame:
+    large = pages.where(F.octet_length(body) >= REVISIT_BYTES)
+    groups = large.groupBy(F.xxhash64(F.sha1(body.cast("binary"))).alias("h")).agg(F.max(F.col(id_col).cast("long")).alias("best"), F.count("*").alias("n"))
+    return groups.where("n > 1 AND best IS NOT NULL").select("h", "best")
+
+
+def write(pages: DataFrame, folder: str | None = None, date: str = "2026-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Write every page to archives below a shared folder; returns the manifest (path, records, bytes), checkpointed.
 
-    A null html is an empty payload; null ids and urls are allowed. A task that is run again writes archives of
+    Tasks look the responses of repeated payloads up in a store of sorted hashes, so that pages are written where they are
+    read. Repeated rows of a response's id are responses too. A null html is an empty payload; null ids and urls are allowed. A task that is run again writes archives of
     its own, and only those of the attempt that succeeded are in the manifest.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
-    body = columns.get("body_col", "html")
+    body = body_col
     every = max(1, pages.count() // (2 * SAMPLE_ROWS))
     sample = pages.where(F.octet_length(F.col(body)).between(1, SAMPLE_BYTES) & (F.pmod(F.xxhash64(body), F.lit(every)) == 0)).limit(SAMPLE_ROWS).select(body)
     dictionary = train_dictionary([r[0].encode() for r in sample.collect()])
+    bits = max(4, min(16, pages.rdd.getNumPartitions().bit_length()))
+    known = hashstore.build(winners(pages, id_col, body_col), shared_dir(spark), bits, ["best"], ["<i8"])
 
     def save(batches):
         store, root = filesystem(folder)
@@ -186,13 +182,20 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2026-01-01T0
             done.append((f"{root}/{name}", n, size))
 
         for b in batches:
-            for r in b.to_pylist():
+            h = b.column("h").to_numpy().view(np.uint64)
+            order = np.argsort(h)
+            found, (best,) = known.lookup(h[order])
+            other: list[int | None] = [None] * len(h)
+            for i, ok, k in zip(order.tolist(), found.tolist(), best.tolist(), strict=True):
+                other[i] = k if ok else None
+            for r, response in zip(b.to_pylist(), other, strict=True):
+                refers_to = None if len(r["payload"]) < REVISIT_BYTES or response == r["page_id"] else response
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
                     out = store.open_output_stream(f"{root}/{name}")
                     if dictionary:
                         out.write(leading_frame(dictionary))
-                data = record(r["page_id"], r["url"], r["payload"].encode(), r["payload_digest"], r["refers_to"], date)
+                data = record(r["page_id"], r["url"], r["payload"], r["payload_digest"], refers_to, date)
                 out.write(packer.compress(data))
                 n, size = n + 1, size + len(data)
                 if size >= archive_bytes:
@@ -203,12 +206,19 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2026-01-01T0
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "records", "bytes"])
 
-    manifest = decide(pages, **columns).mapInArrow(save, "path string, records long, bytes long")
+    payload = F.coalesce(F.col(body), F.lit("")).cast("binary")
+    digest = F.sha1(payload)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), digest.alias("payload_digest"), F.xxhash64(digest).alias("h"))
+    manifest = rows.mapInArrow(save, "path string, records long, bytes long")
     return checkpoint(manifest.withColumn("folder", F.lit(folder)))
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Read archives back, a task for each: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to."""
+    """Read archives back, a task for each: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
+
+    One row for each record, repeated ones too; an empty payload has 0 bytes, a null id stays null, a null url reads about:blank; an
+    empty manifest gives no rows. What is cut short or doesn't fit its lengths and digests raises WarcError.
+    """
 
     def load(batches):
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
