@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, texts
+from .common import free_name, released, texts
 
 #: Items are put into automata of at most about this many words, whose size is thereby bounded; there is a pass for each.
 AUTOMATON_WORDS = 400_000
@@ -164,7 +164,7 @@ def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, t
     Null and empty texts have no words; items without words are ignored; an empty benchmark hits nothing. Repeated
     rows and null ids stay rows of their own, null item ids are ignored as names but their words count as hits.
     """
-    row = F.struct(*[F.col(c) for c in carry], F.lit(0).alias("_"))
+    row = F.struct(*[F.col(c) for c in carry], F.lit(0).alias(free_name("_", carry)))
     out = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest"))
     sc, schema = docs.sparkSession.sparkContext, out.schema
     for a in automata(bench, width, item_col, item_text, limit):
@@ -201,7 +201,11 @@ def merge(spans: list) -> list[tuple[int, int]]:
 
 
 def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
+
+    Null and empty texts have no words; repeated rows and null ids stay rows of their own; an empty table gives none, an
+    empty benchmark no hits. Only id and text are read, so other columns can't clash.
+    """
 
     def digest(batches):
         for b in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, strings
+from .common import free_name, released, strings
 
 MARK = "▁"
 #: A character without a piece scores this much less than the worst piece, as in the public library.
@@ -320,7 +320,7 @@ def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_
     A text that has U+2581 itself decodes with a blank there, so it isn't lossless.
     """
     path = path or default_path()
-    df = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
+    df = docs.select(*carry, F.col(text_col).cast("string").alias(free_name("_text", carry)))
     names = [*carry, "n_ids", "n_byte_ids", "ids_sha256", "decoded_sha256", "lossless", *["ids"] * with_ids]
 
     def run(batches):

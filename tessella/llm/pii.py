@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_name
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shares of an entity's information that a term may tell before it is generalised or removed.
@@ -273,7 +273,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
     All other texts pass through untouched. Null stays null.
     """
     cols = docs.columns
-    renamed = docs.select(F.struct(*[F.col(c) for c in cols if c != text_col], F.lit(0).alias("_")).alias("row"), F.col(text_col).alias("text"))
+    renamed = docs.select(F.struct(*[F.col(c) for c in cols if c != text_col], F.lit(0).alias(free_name("_", cols))).alias("row"), F.col(text_col).alias("text"))
     found = with_spans(renamed).withColumn("spans", F.array_sort(F.concat("base", "added")))
     changed = F.size("spans") > 0
     both = found.select("row", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"), changed.alias("changed"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashstore
-from .common import checkpoint, local_path, partitions, released, shared_dir, texts
+from .common import checkpoint, free_name, local_path, partitions, released, shared_dir, texts
 from .components import components
 
 #: Fingerprints under one key beyond which the key is refined.
@@ -551,8 +551,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
         return run
 
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    key = free_name("_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
     out = keyed.mapInArrow(released(choose(0)), keyed.schema).select(*docs.columns)
     if told.where("what = 2").isEmpty():
         return out
-    return out.union(keyed.mapInArrow(released(choose(2)), keyed.schema).dropDuplicates(["_key"]).select(*docs.columns))
+    return out.union(keyed.mapInArrow(released(choose(2)), keyed.schema).dropDuplicates([key]).select(*docs.columns))

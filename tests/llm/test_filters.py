@@ -193,3 +193,20 @@ def test_broken_archives():
     for bad in (archive[:-3], archive[:20], archive[: len(warc.leading_frame(words))] + b"junk here"):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(io.BytesIO(bad)))
+
+
+def test_many_copies_of_one_row_are_numbered_in_parts(spark):
+    df = spark.range(5000).selectExpr("CAST(NULL AS BIGINT) AS a", "'x' AS b").union(spark.range(300).selectExpr("id AS a", "'y' AS b"))
+    for parts in (1, 7, sharding.PARTS):
+        out, total = sharding.number_rows(df, parts=parts)
+        rows = out.collect()
+        assert total == 5300 and sorted(r.row_number for r in rows) == list(range(5300))
+        assert sorted(r.row_number for r in rows if r.b == "x") == list(range(min(r.row_number for r in rows if r.b == "x"), min(r.row_number for r in rows if r.b == "x") + 5000))
+
+
+def test_long_disguised_words_are_restored(documents):
+    logp = toxicity.char_model(sum(toxicity.trigram_counts([r.text or ""]) for r in documents.select("text").collect()))
+    long = "w" + "o" * 200 + "rd"
+    assert toxicity.restore(long, logp) in ("word", "woord")
+    run = " ".join("the and that " * 20).replace("   ", " ")
+    assert len(toxicity.set_apart(run, logp)) >= 1 and max(map(len, toxicity.set_apart(run, logp))) <= 260

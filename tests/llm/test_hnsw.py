@@ -38,6 +38,24 @@ def test_query(spark):
     assert same >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize("size", [300, 2000])
+def test_recall_over_several_shards(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32)) * 0.3 + rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)]
+    rows = dict(enumerate(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    assert hnsw.shard_count(len(x), size) == 6000 // size
+    found: dict = {}
+    for r in hnsw.nearest(df, shard_size=size).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    same = sum(len(found[q] & {i for _, i in exact(rows, q, 10)}) for q in range(0, 6000, 100))
+    assert len(found) == 60 and same >= 0.9 * 600
+
+
+def test_shards_depend_on_the_vectors_only():
+    assert [hnsw.shard_count(n) for n in (0, 1, 4096, 4097, 1_000_000, 10**9)] == [1, 1, 1, 2, 16, 4000]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     one, two = [1.0, 0.0], [0.0, 2.0]
     rows = [(i, one) for i in range(0, 300)] + [(400, two), (401, two), (402, [0.0, 0.0]), (500, None), (501, [1.0, None]), (502, [float("nan"), 1.0]), (503, [float("inf"), 1.0]), (504, [1.0]), (None, one), (0, one)]

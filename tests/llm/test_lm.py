@@ -83,3 +83,14 @@ def test_tricky_rows(tricky, no_documents):
 def test_untrained_model_is_uniform(spark, no_documents, tricky):
     model = lm.train(no_documents)
     assert lm.score(tricky.where("doc_id = 3"), model, ["doc_id"]).first().score == 0
+
+
+def test_counts_beyond_four_bytes(tmp_path):
+    from tessella.llm import hashstore
+
+    assert lm.narrow([np.array([2**32 - 1])]) == "<u4" and lm.narrow([np.array([1]), np.array([2**32])]) == "<i8" and lm.narrow([]) == "<u4"
+    keys, big = np.array([1, 2], np.uint64), np.array([5, 2**40])
+    hashstore.write_shard(str(tmp_path), 0, keys, [big.astype(lm.narrow([big]))])
+    store = hashstore.HashStore(str(tmp_path), 1, ["<u4"], {0: 2}, frozenset([0]))
+    found, (got,) = store.lookup(np.array([2, 3], np.uint64))
+    assert found.tolist() == [True, False] and got.tolist() == [2**40, 0]

@@ -100,6 +100,56 @@ def test_terms_count_wherever_they_stand(spark, monkeypatch):
         assert all(got[i] == t for i, t in rows if 10 <= i < 5000)
 
 
+def names_of(kind: int, hit: str) -> set:
+    digits = re.sub("[^0-9]", "", hit)
+    group = (hit.split("@")[-1].lower(), ".".join(hit.split(".")[:2]), digits[:6], digits[:4])[kind]
+    return {(kind, hit), (kind, "group", group), (kind, "kind")}
+
+
+def test_learnt_terms_of_real_documents_match_brute_force(spark, documents):
+    """Every pair of entity and term over whole texts, at a low support so that there are some."""
+    import math
+    from collections import Counter, defaultdict
+
+    made = [(10**6 + i, f"note {i} from Zorblatt of Quux corp at u{i}@quux.org {'and so on ' * (i % 3)}") for i in range(6)]
+    rows = [(r.doc_id, r.text or "") for r in documents.select("doc_id", "text").collect()] + made
+    n, n_e, n_t = len(rows), Counter(), Counter()
+    n_te, texts_te, texts_e = Counter(), defaultdict(set), defaultdict(set)
+    for _, t in rows:
+        base, masked = plain(t), list(t.replace("\u0001", " "))
+        for lo, _, hi in base:
+            masked[lo:hi] = "\u0001" * (hi - lo)
+        words = {w.lower() for w in re.findall(r"[^\W_]+", t)}
+        n_t.update(words)
+        own = set().union(*(names_of(k, t[lo:hi]) for lo, k, hi in base)) if base else set()
+        n_e.update(own)
+        around = {w.lower() for w in re.findall(r"(?:\x01|[^\W_])+", "".join(masked)) if "\u0001" not in w}
+        for e in own:
+            texts_e[e].add(t)
+            for w in around:
+                n_te[e, w] += 1
+                texts_te[e, w].add(t)
+    for support in (2, 3):
+        want = Counter()
+        for (e, w), k in n_te.items():
+            before = n_e[e] / n
+            told = (k + before) / (max(n_t[w], k) + 1)
+            share = math.log(told / before) / -math.log(before)
+            if len(texts_te[e, w]) >= support and len(texts_e[e]) >= support and share >= pii.GENERALISE and told >= pii.CERTAIN:
+                want[w, round(share, 9)] += 1
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter((r.term, round(r.share, 9)) for r in pii.disclosing(df, pii.analyse(df), support=support).collect())
+        assert got == want and {"zorblatt", "quux"} <= {w for w, _ in got}
+
+
+def test_very_many_identifiers_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i % 7}.org w{i % 50}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.report(df).first()
+    assert r.n_email == 100_000 and r.base_sha256 == hashlib.sha256(",".join(f"email:{lo}:{hi}" for lo, _, hi in plain(text)).encode()).hexdigest()
+    assert pii.sanitise(df).first().text == EMAIL.sub("[EMAIL]", text)
+
+
 def test_tricky_rows(tricky, no_documents):
     out = pii.sanitise(tricky)
     assert out.columns == tricky.columns and sorted(map(str, out.collect())) == sorted(map(str, tricky.collect()))

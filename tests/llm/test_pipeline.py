@@ -141,3 +141,34 @@ def test_pipeline_on_tricky_rows(spark, tricky, no_documents):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_pipeline_with_clashing_names(spark, tricky, no_documents):
+    odd = ["_key", "_", "base", "added", "h", "label", "predicted", "_text", "Score_", "spans"]
+    rows = tricky.selectExpr("*", *(f"'{c}' AS `{c}`" for c in odd))
+    for docs in (rows, no_documents.selectExpr("*", *(f"'{c}' AS `{c}`" for c in odd))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs.columns
+            docs = stage(spark, docs, SF)
+            if k < 4:
+                assert docs.columns == before
+                assert all(r[c] == c for r in docs.collect() for c in odd)
+        docs.collect()
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_recall_at_the_threshold(spark, size):
+    """Pairs of a similarity of 0.80 to 0.82 are linked, 9 of 10 at least."""
+    rng = random.Random(size)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(10**7))
+    rows = []
+    while len(rows) < 160:
+        base = [word() for _ in range(size)]
+        near = list(base)
+        while jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(near))) > 0.82:
+            near[rng.randrange(size)] = word()
+        if jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(near))) >= 0.8:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    label = {r.doc_id: r.label for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(label[i] == label[i + 1] for i in range(0, len(rows), 2))
+    assert linked >= 0.9 * len(rows) / 2
