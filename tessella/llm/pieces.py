@@ -22,8 +22,8 @@ from .common import free_name, released, strings
 MARK = "▁"
 #: A character without a piece scores this much less than the worst piece, as in the public library.
 UNKNOWN_PENALTY = 10.0
-#: Stretches whose ids a task remembers, and characters of text that are encoded at once.
-MEMO, BLOCK_CHARS = 150_000, 1_500_000
+#: Stretches that a task remembers, and as many older ones, and characters of text that are encoded at once.
+MEMO, BLOCK_CHARS = 60_000, 300_000
 
 
 class DoubleArray:
