@@ -433,6 +433,8 @@ WIDE, WORDS, ANCHORS = 16, 5, 8
 #: Differing bits of 1024 up to which two sets of shingles are compared: a Jaccard similarity of 0.8 gives 155 on average,
 #: give or take 11. Few shingles give more, 4 against 5 gives 192: sets of up to SHORT have a radius of their own.
 WIDE_RADIUS, SHORT, SHORT_RADIUS = 210, 12, 288
+#: Shingles beyond which a text under a full key is keyed again, and full keys up to which they are broadcast.
+PAIRED, FEW = 50, 50_000
 #: Hashes of sets that a task holds, and pairs that are looked at before those joined by then are left out.
 HELD, PAIRS = 1 << 22, 1 << 16
 
@@ -477,6 +479,13 @@ def wide_fingerprints(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     return df.mapInArrow(released(make), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, h long, node long, fp binary, anchors array<long>, file string, at long, size long")
 
 
+def full_keys(keyed: DataFrame, limit: int) -> tuple[DataFrame | None, Callable[[DataFrame], DataFrame]]:
+    """(the keys of more than `limit` rows or None, how to hand them to a join: broadcast where they are few)."""
+    full = checkpoint(keyed.groupBy("key").count().where(F.col("count") > limit).select("key"))
+    n = full.limit(FEW + 1).count()
+    return (full if n else None), (F.broadcast if n <= FEW else lambda df: df)
+
+
 def in_blocks(keyed: DataFrame, limit: int = BUCKET) -> DataFrame:
     """`keyed` with the rows under each key of more than `limit` dealt to blocks; each new key has two blocks that may be similar.
 
@@ -484,10 +493,10 @@ def in_blocks(keyed: DataFrame, limit: int = BUCKET) -> DataFrame:
     A class is dealt to its blocks by hash. No link of the old key is lost, and no new key has many more rows than `limit`.
     """
     columns = keyed.columns
-    full = checkpoint(keyed.groupBy("key").count().where(F.col("count") > limit).select("key"))
-    if full.isEmpty():
+    full, hand = full_keys(keyed, limit)
+    if full is None:
         return keyed
-    rows = keyed.join(full, "key", "left_semi").withColumn("rung", F.floor(F.log("size") / F.log(F.lit(1.26))))
+    rows = keyed.join(hand(full), "key", "left_semi").withColumn("rung", F.floor(F.log("size") / F.log(F.lit(1.26))))
     n = checkpoint(rows.groupBy("key", "rung").agg(F.ceil(F.count("*") / F.lit(max(1, limit // 2))).alias("n")))
     beside = [n.select("key", (F.col("rung") + by).alias("rung"), F.col("n").alias(name)) for by, name in ((1, "below"), (-1, "above"))]
     cut = n.join(beside[0], ["key", "rung"], "left").join(beside[1], ["key", "rung"], "left")
@@ -503,7 +512,28 @@ def in_blocks(keyed: DataFrame, limit: int = BUCKET) -> DataFrame:
     below = meet("below", lambda j: (rung - 1, j), lambda j: (rung, block))
     above = meet("above", lambda j: (rung, block), lambda j: (rung + 1, j))
     dealt = mine.withColumn("key", F.explode(F.concat(own, below, above))).select(*columns)
-    return keyed.join(full, "key", "left_anti").select(*columns).union(dealt)
+    return keyed.join(hand(full), "key", "left_anti").select(*columns).union(dealt)
+
+
+def bounded_keys(nodes: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """key, node, fp, file, at, size of every node (with its `anchors`), under keys of about `limit` rows.
+
+    A passage that very many texts share makes full keys. There a text of more than PAIRED shingles is keyed again by the
+    full key together with each other anchor: a pair of similarity 0.8 has but the full one in common with probability 0.00008,
+    while texts that only share the passage part. Shorter texts, which have few anchors, and what is still full then are cut
+    into blocks that all meet. Any similar pair lies on one side whole: their sizes differ by a quarter at most.
+    """
+    columns = ["key", "node", "fp", "file", "at", "size"]
+    keyed = nodes.select(F.explode("anchors").alias("key"), *columns[1:], "anchors")
+    full, hand = full_keys(nodes.select(F.explode("anchors").alias("key")), limit)
+    if full is None:
+        return keyed.select(*columns)
+    crowded = keyed.join(hand(full), "key", "left_semi")
+    both = F.transform(F.array_remove("anchors", F.col("key")), lambda a: F.xxhash64(F.least(a, F.col("key")), F.greatest(a, F.col("key"))))
+    paired = crowded.where(F.col("size") > PAIRED).withColumn("key", F.explode(both)).select(*columns)
+    short = crowded.where(5 * F.col("size") <= 5 * PAIRED + 2 * PAIRED).select(*columns)
+    rest = keyed.join(hand(full), "key", "left_anti").select(*columns)
+    return rest.union(in_blocks(paired.dropDuplicates(["key", "node"]), limit)).union(in_blocks(short, limit))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET) -> DataFrame:
@@ -511,15 +541,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Near-duplicates are texts whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-    Texts are compared that share a key; where more than `limit` different ones share it, block by block. Equal sets of shingles are one node, so copies cost nothing here.
+    Texts are compared that share a key; where more than `limit` different ones share it, as `bounded_keys` says. Equal sets of shingles are one node, so copies cost nothing here.
     """
     folder = local_path(shared_dir(docs.sparkSession))
     os.makedirs(folder)
     base = checkpoint(wide_fingerprints(docs, folder, id_col, text_col))
     one = base.groupBy("node").agg(F.first(F.struct("fp", "anchors", "file", "at", "size")).alias("one"))
     nodes = checkpoint(one.select("node", "one.*"))
-    keyed = nodes.select(F.explode("anchors").alias("key"), "node", "fp", "file", "at", "size")
-    labels = components(set_links(in_blocks(checkpoint(keyed), limit), folder))
+    labels = components(set_links(bounded_keys(nodes, limit), folder))
     return base.select("doc_id", "h", "node").join(labels, "node", "left").select("doc_id", "h", F.coalesce("label", "node").alias("label"))
 
 
