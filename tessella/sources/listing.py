@@ -99,6 +99,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """A table of comma- or tab-separated lines with a header; lines that don't fit the schema fail the read."""
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, mode="FAILFAST", enforceSchema=False)
+
+
 def replace_days(new: DataFrame, path: str, day: str) -> None:
     """Overwrite the days that `new` has, and no others."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

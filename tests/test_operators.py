@@ -6,8 +6,9 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessella.operators import dedup, demand, maintenance, places, search, stats, timeseries
+from tessella.operators import dedup, demand, gates, links, maintenance, places, search, stats, timeseries
 from tessella.sources import listing
+from tessella.sources.tables import AS_OF
 from tessella.streaming import incremental
 
 
@@ -197,3 +198,29 @@ def test_places_within_lose_nothing(spark):
         want = {(p[0], q[0]) for p in a for q in b if miles(p, q) <= most}
         got = [(r.id, r.place) for r in places.within(points, gazetteer, most).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_updates_and_reports(spark, tmp_path):
+    df = spark.sql("SELECT * FROM VALUES (1, 'a', 'x'), (2, 'b', 'y'), (NULL, 'c', 'z') AS t(id, v, w)")
+    new = spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS STRING)), (9, 'q'), (NULL, 'n') AS t(id, v)")
+    out = links.keyed_update(df, new, ["id"])
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == [(1, None, "x"), (2, "b", "y"), (None, "c", "z")]
+    links.csv_report(df, f"{tmp_path}/r")
+    back = listing.read_delimited(spark, f"{tmp_path}/r", "id int, v string, w string")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    for rows in (df, df.where("id = 1")):
+        links.replace_all(rows, f"{tmp_path}/t")
+        assert spark.read.parquet(f"{tmp_path}/t").count() == rows.count()
+
+
+def test_takeover_by_official_copies(spark):
+    kind = "g string, id int, official boolean, created_at int"
+    old = spark.createDataFrame([("a", 1, False, 0), ("b", 2, True, 0), ("c", 3, False, 0)], kind)
+    new = spark.createDataFrame([("a", 11, False, 1), ("a", 12, True, 9), ("b", 13, True, 1), ("c", 14, False, 1), ("d", 15, False, 2), ("d", 16, False, 1)], kind)
+    assert {r.id: r.primary for r in links.takeover(old, new, ["g"]).collect()} == {1: 12, 11: 12, 12: None, 2: None, 13: 2, 3: None, 14: 3, 15: 16, 16: None}
+
+
+def test_days_of_clock_changes():
+    first, today = gates._days("2026-03-10 03:59:00", 7)
+    assert (str(first), str(today)) == ("2026-03-03", "2026-03-09")  # before midnight in New York
+    assert gates.freshness("found-yesterday", AS_OF) is None and gates.salary_floor("60k-plus") is None
