@@ -56,4 +56,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries rest on seeded hashes, trained models or searches that SQL can't express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, ws FROM w),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i + 1:i + least(len(ws), 10)], ' ') AS k FROM (SELECT item_id, ws, unnest(range(0, greatest(len(ws) - 9, 1))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+spots AS (SELECT row_id, n, unnest(range(0, len(ws) - n + 1)) AS i, ws FROM d, sizes WHERE len(ws) >= n),
+hit AS (SELECT row_id, i, spots.n, item_id FROM spots JOIN win ON win.n = spots.n AND win.k = array_to_string(ws[i + 1:i + spots.n], ' ')),
+words AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)""",
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best, payload_bytes >= {warc.REVISIT_BYTES} AS large FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN large AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN large AND page_id <> best THEN best END AS refers_to FROM g""",
+}
