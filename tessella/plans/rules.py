@@ -41,7 +41,14 @@ _gate("located_by_text", "len([x FOR x IN locations IF contains(lower(x), 'furn'
 _gate("located_in_state", "list_contains(areas, 'R2') OR list_contains(areas, 'CHINA') OR len([x FOR x IN locations IF contains(lower(x), 'asia')]) > 0", lambda: gates.located("Asia", {}, {"asia": ["R2", "CHINA"]}))
 _gate("located_by_label", "list_contains(areas, 'R1')", lambda: gates.located("Americas (metro area)", {"americas (metro area)": "R1"}, {}))
 _gate("located_in_country", "country = 'US' OR len(areas) > 0 OR len([x FOR x IN locations IF contains(lower(x), 'usa')]) > 0", lambda: gates.located("USA", {}, {}))
-_gate("unknown_metro", "false", lambda: gates.in_metro("nowhere", {"americas": "R1"}) | F.lit(False))
+
+
+@query("metro_slugs", f"WITH {POSTINGS} SELECT count(*) FILTER (list_contains(areas, 'R1')) AS known, CAST(0 AS BIGINT) AS unknown FROM postings")
+def metro_slugs(spark, sf_dir):
+    areas = {"americas": "R1"}
+    return postings(spark, sf_dir).agg(F.count_if(gates.in_metro("americas", areas)).alias("known"), F.count_if(gates.in_metro("nowhere", areas)).alias("unknown"))
+
+
 
 _NAMES = {"category": {"building": "BUILDING"}, "role": {"urgent": "1-URGENT"}, "location": {"asia": "R2"}}
 _MONEY = "coalesce(salary_min, salary_max) BETWEEN {} AND 2000000 AND (salary_currency IS NULL OR salary_currency = 'USD')"
