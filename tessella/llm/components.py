@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     follows the label's own label, so the rounds grow with the logarithm of the longest path. State is cut by
     checkpoint() each round; nothing but one count comes to the driver.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # a union would find all edges twice
+    both = checkpoint(edges.where("a <> b").select(F.inline(ways)).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
