@@ -2,22 +2,28 @@
 
 The automaton accepts every run of words inside any test item. Training words are streamed through it; the
 current state gives the longest match that ends at each word, so every occurrence of a window, at
-any place of an item, is found in one pass. Documents are never shuffled.
+any place of an item, is found in one pass. Documents are never shuffled; automata are built in tasks and lie in the shared folder.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, released, texts
+from .common import filesystem, free_name, released, shared_dir, texts
 
-#: Items are put into automata of at most about this many words, whose size is thereby bounded; there is a pass for each.
+#: Items are put into automata of about this many words, whose size is thereby bounded.
 AUTOMATON_WORDS = 400_000
+#: A task holds about this much text while all automata are run over it, one after another.
+GROUP_BYTES = 32 << 20
 #: Lower-cases A-Z and blanks every ASCII byte that isn't a digit or letter.
 NORMALISE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -144,18 +150,47 @@ class SuffixAutomaton:
         return spans, hit, longest
 
 
-def automata(bench: DataFrame, width: int, id_col: str, text_col: str, limit: int):
-    """Automata over all items, each of at most about `limit` words. Items stream through the driver a chunk at a time."""
-    chunk, size = [], 0
-    for r in bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
-        ws = words((r.t or "").encode())
-        if ws:
-            chunk.append((r.i, ws))
-            size += len(ws)
-        if size >= limit:
-            yield SuffixAutomaton(chunk, width)
-            chunk, size = [], 0
-    yield SuffixAutomaton(chunk, width)
+def automata(bench: DataFrame, width: int, id_col: str, text_col: str, limit: int) -> list[str]:
+    """Files of automata over all items, each of about `limit` words, built by tasks in the shared folder.
+
+    Items are cut into pieces that overlap by `width - 1` words, so that no window is lost and a long item can't overfill an
+    automaton; equal rows collapse; pieces are dealt by hash. Only file names come back to the driver.
+    """
+    size = max(limit // 8, 2 * width)
+
+    def split(batches):
+        for b in batches:
+            rows = [(i, words(t)) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True)]
+            cut = [(i, ws[k : k + size + width - 1]) for i, ws in rows for k in range(0, max(len(ws) - width + 1, min(len(ws), 1)), size)]
+            columns = [pa.array([i for i, _ in cut], pa.string()), pa.array([b" ".join(ws) for _, ws in cut], pa.binary()), pa.array([len(ws) for _, ws in cut], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "words", "n"])
+
+    spark = bench.sparkSession
+    pieces = bench.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(released(split), "item string, words binary, n long").distinct()
+    many = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // limit))
+    folder = shared_dir(spark)
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["item"].to_pylist(), group["words"].to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1]))
+        raw = pickle.dumps(SuffixAutomaton([(i, ws.split()) for i, ws in rows], width), pickle.HIGHEST_PROTOCOL)
+        fs, root = filesystem(folder)
+        fs.create_dir(root)
+        name = f"{uuid.uuid4().hex}.automaton"  # an attempt's own: one that is repeated leaves the other's file unused
+        with fs.open_output_stream(f"{root}/{name}") as f:
+            f.write(raw)
+        return pa.table({"file": [f"{folder}/{name}"]})
+
+    chunk = F.pmod(F.xxhash64("item", "words"), F.lit(many)).alias("chunk")
+    built = pieces.select("item", "words", chunk).repartition(many, "chunk").groupBy("chunk").applyInArrow(build, "file string")
+    return [r.file for r in built.collect()]  # a name for each `limit` words
+
+
+@functools.lru_cache(maxsize=1)
+def load(file: str) -> SuffixAutomaton:
+    """The automaton of a file. A worker keeps one, so that with a single one it is read once."""
+    fs, at = filesystem(file)
+    with fs.open_input_file(at) as f:
+        return pickle.loads(f.read())
 
 
 def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
@@ -163,27 +198,44 @@ def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, t
 
     Null and empty texts have no words; items without words are ignored; an empty benchmark hits nothing. Repeated
     rows and null ids stay rows of their own, null item ids are ignored as names but their words count as hits.
+    `longest` is the longest match, in words, within one piece of an item (an eighth of `limit` and more).
     """
     row = F.struct(*[F.col(c) for c in carry], F.lit(0).alias(free_name("_", carry)))
-    out = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest"))
-    sc, schema = docs.sparkSession.sparkContext, out.schema
-    for a in automata(bench, width, item_col, item_text, limit):
-        shared = sc.broadcast(a)  # bounded: at most two states a word of AUTOMATON_WORDS
-
-        def scan(batches, shared=shared):
-            auto = shared.value
-            for b in batches:
-                spans, items, longest = [], [], []
-                for text, old, names, far in zip(texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    new, hit, n = auto.scan(words(text))
-                    had = unpack(old)
-                    spans.append(np.array(merge([*had, *new]) if had else new, np.int32).tobytes())
-                    items.append(sorted({*names, *(auto.names[k] for k in hit if auto.names[k] is not None)}))
-                    longest.append(max(far, n))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int32())], names=b.schema.names)
-
-        out = out.mapInArrow(released(scan), schema)
-    return out
+    out = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+    files = automata(bench, width, item_col, item_text, limit)
+
+    def scan(batches):
+        for group in grouped(batches, GROUP_BYTES):
+            spans = [[[] for _ in range(b.num_rows)] for b in group]
+            items = [[set() for _ in range(b.num_rows)] for b in group]
+            longest = [[0] * b.num_rows for b in group]
+            for file in files:
+                auto = load(file)
+                for b, span, item, far in zip(group, spans, items, longest, strict=True):
+                    for k, text in enumerate(texts(b.column(1))):
+                        new, hit, n = auto.scan(words(text))
+                        span[k] = merge([*span[k], *new]) if span[k] else new
+                        item[k].update(auto.names[x] for x in hit if auto.names[x] is not None)
+                        far[k] = max(far[k], n)
+            for b, span, item, far in zip(group, spans, items, longest, strict=True):
+                flat = [np.array(x, np.int32).tobytes() for x in span]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flat, pa.binary()), pa.array([sorted(x) for x in item], pa.list_(pa.string())), pa.array(far, pa.int32())], names=["row", "text", "spans", "items", "longest"])
+
+    schema = T.StructType([*out.schema.fields, T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.IntegerType())])
+    return out.mapInArrow(released(scan), schema)
+
+
+def grouped(batches, limit: int):
+    """Lists of batches, each complete as soon as it holds `limit` bytes: what is in memory while the automata take turns."""
+    group, size = [], 0
+    for b in batches:
+        group.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def unpack(spans: bytes | None) -> list[list[int]]:
@@ -245,7 +297,7 @@ def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float =
     """
     others = [c for c in docs.columns if c != text_col]
     found = find(docs, bench, others, width=width, text_col=text_col, **options)
-    row = found.schema["row"].dataType.simpleString()
+    schema = T.StructType([*found.schema.fields[:2], T.StructField("cut", T.BooleanType())])
 
     def edit(batches):
         for b in batches:
@@ -258,7 +310,7 @@ def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float =
                 text.append(cut(t, spans) if spans and stays else t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(was_cut, pa.bool_())], names=["row", "text", "cut"]).filter(pa.array(keep, pa.bool_()))
 
-    edited = found.select("row", "text", "spans").mapInArrow(released(edit), f"row {row}, text string, cut boolean")
+    edited = found.select("row", "text", "spans").mapInArrow(released(edit), schema)
     columns = {c: F.col("row")[c] for c in others} | {text_col: F.col("text")}
     if count_col in others:
         columns[count_col] = F.when(F.col("cut"), F.length("text")).otherwise(columns[count_col]).cast(docs.schema[count_col].dataType)

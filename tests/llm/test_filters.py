@@ -64,6 +64,16 @@ def test_report(spark, documents):
             assert g.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
+def test_long_items_are_cut_without_losing_windows(spark):
+    words = [f"w{i}" for i in range(500)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("long", " ".join(words)), (None, "so short"), ("few", "w1 w2 w3")], "item_id string, text string")
+    docs = spark.createDataFrame([(k, "x " + " ".join(words[k : k + 10]) + " y so short") for k in range(0, 491)] + [(1000, " ".join(words)), (1001, " ".join(words[7:16]))], "doc_id long, text string")
+    for limit in (400_000, 240, 8):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.report(docs, bench, limit=limit).collect()}
+        assert got[0] == (12, 2) and got[1] == (12, 2) and all(got[k] == (12, 1) for k in range(2, 491))
+        assert got[1000] == (500, 2) and got[1001] == (0, 0)
+
+
 def test_clean(spark, tricky, no_documents):
     passage = " ".join(f"w{i}" for i in range(30))
     bench = spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string")
