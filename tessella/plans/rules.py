@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, names, times
+from ..functions import geo, html, names, times
 from ..operators import gates, links
 from ..sources.tables import AS_OF, postings, table
 from .catalogue import POSTINGS, query
@@ -267,3 +267,17 @@ _SHOWN = ["Acme", "12-3456789 Acme Bank", "Acme", "12 Acme", "Summit / CityMD"]
 def companies_shown(spark, sf_dir):
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), names.company_shown(pick(_PAGES), pick(_LABELS)).alias("company"), names.strip_entity_code(pick(_PAGES)).alias("bare"))
+
+
+@query("microdata_postings", """
+SELECT p_partkey AS id, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS company, p_brand || ', US' AS location, CASE WHEN p_partkey % 2 = 0 THEN '2024-03-01' END AS posted
+FROM part""")
+def microdata_postings(spark, sf_dir):
+    k, c, t = F.col("p_partkey"), F.col, F.lit
+    company = F.concat(t("<p itemprop='hiringOrganization' itemscope>by <b itemprop='name'> "), c("p_type"), t("</b></p>"))
+    place = F.concat(t('<div itemprop="jobLocation" itemscope><br><div itemprop="address"><span itemprop="addressLocality">'), c("p_brand"), t('</span><meta itemprop="addressCountry" content="US"></div></div>'))
+    page = F.concat(
+        t('<h1 itemprop="title">Not here</h1><div itemscope itemtype="https://schema.org/JobPosting"><h1 itemprop="title">'), c("p_name"), t("</h1>"), F.when(k % 3 == 0, "").otherwise(company),
+        place, F.when(k % 2 == 0, '<meta itemprop="datePosted" content="2024-03-01T10:00">').otherwise(""), t('</div><i itemprop="datePosted">2020-01-01</i>'),
+    )
+    return table(spark, sf_dir, "part").select(k.alias("id"), html.ld_posting(page).alias("x")).select("id", "x.title", "x.company", "x.location", "x.posted")
