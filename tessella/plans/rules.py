@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, html, names, times
-from ..operators import gates, links
+from ..operators import gates, intent, links
 from ..sources.tables import AS_OF, postings, table
 from .catalogue import POSTINGS, query
 
@@ -281,3 +281,16 @@ def microdata_postings(spark, sf_dir):
         place, F.when(k % 2 == 0, '<meta itemprop="datePosted" content="2024-03-01T10:00">').otherwise(""), t('</div><i itemprop="datePosted">2020-01-01</i>'),
     )
     return table(spark, sf_dir, "part").select(k.alias("id"), html.ld_posting(page).alias("x")).select("id", "x.title", "x.company", "x.location", "x.posted")
+
+
+_PHRASES = ["Registered Nurses jobs near Austin", "nurse work from home", "Acme careers", "jobs in Austin", "Remote jobs", "best résumé tips", "remote acme", None]
+_INTENT = {"kind": ["role", "role", "company", "location", "location", "other", "location", "other"], "role": ["rn", "nurse", *[None] * 6], "location": ["austin-tx", "remote", None, "austin-tx", "remote", None, "remote", None], "company": [None, None, "acme-key", *[None] * 5]}
+
+
+@query("search_intents", "SELECT c_custkey AS id, " + ", ".join(f"CAST({_listed(v)}[c_custkey % 8 + 1] AS VARCHAR) AS {k}" for k, v in _INTENT.items()) + " FROM customer")
+def search_intents(spark, sf_dir):
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    named = lambda rows, value: spark.createDataFrame(rows, f"name string, {value} string")
+    tables = named([("Registered Nurse", "rn"), ("Nurse", "nurse")], "role"), named([("Austin", "austin-tx"), ("Acme", "acme-ok")], "location"), named([("ACME", "acme-key")], "company")
+    out = intent.search_intents(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), phrase.alias("phrase")), *tables)
+    return out.select("id", *_INTENT)
