@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -220,3 +222,28 @@ def test_long_disguised_words_are_restored(documents):
     assert toxicity.restore(long, logp) in ("word", "woord")
     run = " ".join("the and that " * 20).replace("   ", " ")
     assert len(toxicity.set_apart(run, logp)) >= 1 and max(map(len, toxicity.set_apart(run, logp))) <= 260
+
+
+def test_signs_at_the_ends_of_a_word():
+    """As the patterns say it: a repeated sign at either end goes, with the punctuation around it."""
+    adorned = re.compile(r"^(\W)\1+|(\W)\2+$")
+    for n in range(1, 6):
+        for t in itertools.product("a!@_.", repeat=n):
+            word = "".join(t)
+            assert toxicity.core(word) == adorned.sub("", word.strip(toxicity.EDGE)).strip(toxicity.EDGE), word
+
+
+def test_long_tokens_take_linear_time(documents):
+    logp = toxicity.char_model(sum(toxicity.trigram_counts([r.text or ""]) for r in documents.limit(20).select("text").collect()))
+    n = 1 << 20
+    for token in ("a" + "!" * n + "a", "ab" * (n // 2) + "-x", "@" * n, "a" + "-" * n, "x" * n + "1", "<" * n + "a", "!" * n):
+        began = time.monotonic()
+        toxicity.restore(token, logp)
+        assert time.monotonic() - began < 20, token[:3]
+
+
+def test_letters_of_other_scripts_that_look_latin(taught):
+    model = toxicity.train(*taught)
+    for word in ("b\u0430d", "\u0441ode", "t\u0435xt"):
+        assert toxicity.restore(word, model.logp) == word.translate(toxicity.HOMOGLYPHS)
+    assert toxicity.restore("\u0441\u043e\u0431\u0430\u043a\u0430", model.logp) == "\u0441\u043e\u0431\u0430\u043a\u0430"
