@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hnsw, lm, pieces, pii, sharding, simhash, token_count, toxicity, warc
+from . import decontam, hnsw, lm, pieces, pii, sharding, simhash, token_count, toxicity, vafile, warc, whitening
 from .common import table
 
 
@@ -54,9 +54,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii, op12_whitening, op13_vector_codes)}
 
 #: The other queries rest on seeded hashes, trained models or searches that SQL can't express; tests hold them against brute force.
+_NEAREST = """SELECT r, part, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
+  FROM (SELECT r, p.part, CAST(e AS BIGINT) AS e, CAST((q[1] - c[1]) ** 2 + (q[2] - c[2]) ** 2 + (q[3] - c[3]) ** 2 + (q[4] - c[4]) ** 2 AS BIGINT) AS d FROM p JOIN {books} AS b ON b.part = p.part) GROUP BY r, part"""
+_MOVED = """SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM {books} AS b LEFT JOIN
+  (SELECT part, e, [floor(sum(q[1]) / count(*)), floor(sum(q[2]) / count(*)), floor(sum(q[3]) / count(*)), floor(sum(q[4]) / count(*))] AS c FROM p JOIN {found} USING (r, part) GROUP BY part, e) AS m ON m.part = b.part AND m.e = b.e"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
@@ -74,4 +87,15 @@ FROM d LEFT JOIN words USING (row_id) LEFT JOIN items USING (row_id)""",
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best, payload_bytes >= {warc.REVISIT_BYTES} AS large FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN large AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN large AND page_id <> best THEN best END AS refers_to FROM g""",
+    "op13_vector_codes": f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT r, vec_id, part, x[4 * part + 1 : 4 * part + 4] AS q FROM v, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, n - 1 AS e, q AS c FROM (SELECT part, q, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS n FROM p) WHERE n <= 64),
+a0 AS ({_NEAREST.format(books="b0")}), b1 AS ({_MOVED.format(books="b0", found="a0")}),
+a1 AS ({_NEAREST.format(books="b1")}), b2 AS ({_MOVED.format(books="b1", found="a1")}),
+a2 AS ({_NEAREST.format(books="b2")}),
+codes AS (SELECT r, string_agg(lower(lpad(hex(CAST(e AS BIGINT)), 2, '0')), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN v USING (r), digest""",
 }
