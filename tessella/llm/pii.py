@@ -9,9 +9,6 @@ is to tell. A term discloses an entity if the share PMI / IC reaches GENERALISE
 replaced by a general word, and from the share REMOVE on removed, wherever it stands in any document. A pair needs
 SUPPORT different texts, so that copies of one text prove nothing (near copies count: drop them before). Terms are runs of letters and
 digits that touch no identifier.
-
-Work on a text grows with its length and the number of its spans: spans are built in chunks of CHUNK, as appending
-to one growing array would cost the square of their number.
 """
 
 from __future__ import annotations
@@ -20,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, free_name
+from .spans import MARK, SPAN, count, let, listed, masked, matches, none, redact
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shares of an entity's information that a term may tell before it is generalised or removed.
@@ -28,8 +26,6 @@ GENERALISE, REMOVE = 0.75, 0.9
 CERTAIN = 0.5
 #: Different texts in which a term must stand with an entity.
 SUPPORT = 3
-#: Spans of a text that are appended one by one.
-CHUNK = 64
 #: Learnt terms up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
 BROADCAST, SALTS = 50_000, 16
 
@@ -42,53 +38,6 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[\p{L}\p{M}\p{N}]++"
-#: Stands for an identifier while words are split, so that a word it cuts isn't taken for a whole one.
-MARK = "\u0001"
-
-SPAN = "struct<start:int,k:int,end:int,more:string>"
-
-
-def _none() -> Column:
-    return F.array().cast(f"array<{SPAN}>")
-
-
-def _let(x: Column, f) -> Column:
-    """f of x, where x is worked out once however often f uses it."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
-def _chunks(x: Column) -> Column:
-    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(CHUNK)), lambda lo: F.slice(x, lo + 1, CHUNK))).otherwise(F.array())
-
-
-def _matches(text: Column, pattern: str, k: int, keep) -> Column:
-    """Spans (array<SPAN>) of the matches for which `keep` holds; `more` is the match. Places are code points from 0.
-
-    Matches and the stretches between them come from two calls; running lengths give the places, inside each chunk
-    from the chunk's start, which the lengths of the chunks before it give.
-    """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["gap"])
-        hit = F.coalesce(x["hit"], F.lit(""))
-        hi = lo + F.length(hit)
-        span = F.array(F.struct(lo.alias("start"), F.lit(k).alias("k"), hi.alias("end"), hit.alias("more")))
-        return F.struct(hi.alias("at"), F.when((hit != "") & keep(hit), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    def inside(chunk: Column) -> Column:
-        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), _none().alias("out")), step)
-
-    def placed(parts: Column) -> Column:
-        first = F.array(F.lit(0))
-        starts = F.aggregate(parts, first, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
-        moved = lambda lo: lambda s: F.struct((s["start"] + lo).alias("start"), s["k"].alias("k"), (s["end"] + lo).alias("end"), s["more"].alias("more"))
-        pairs = F.arrays_zip(parts.alias("part"), starts.alias("lo"))
-        return F.flatten(F.transform(F.filter(pairs, lambda p: p["part"].isNotNull()), lambda p: F.transform(p["part"]["out"], moved(p["lo"]))))
-
-    return _let(zipped, lambda z: _let(F.transform(_chunks(z), inside), placed))
-
-
 def _ip_ok(m: Column) -> Column:
     plain = F.transform(F.split(m, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
     return F.forall(plain, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
@@ -99,12 +48,12 @@ def base_spans(text: Column) -> Column:
     digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
     always = lambda m: F.lit(True)
     parts = [
-        F.when(text.contains("@"), _matches(text, EMAIL, 0, always)).otherwise(_none()),
-        F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), _matches(text, IP, 1, _ip_ok)).otherwise(_none()),
-        F.when(text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), _matches(text, CARD, 2, lambda m: F.call_function("luhn_check", digits(m)))).otherwise(_none()),
-        F.when(text.contains("+"), _matches(text, PHONE, 3, lambda m: F.length(digits(m)).between(9, 15))).otherwise(_none()),
+        F.when(text.contains("@"), matches(text, EMAIL, 0, always)).otherwise(none()),
+        F.when(text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), matches(text, IP, 1, _ip_ok)).otherwise(none()),
+        F.when(text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), matches(text, CARD, 2, lambda m: F.call_function("luhn_check", digits(m)))).otherwise(none()),
+        F.when(text.contains("+"), matches(text, PHONE, 3, lambda m: F.length(digits(m)).between(9, 15))).otherwise(none()),
     ]
-    return F.coalesce(F.array_sort(F.concat(*parts)), _none())
+    return F.coalesce(F.array_sort(F.concat(*parts)), none())
 
 
 def _words(text: Column) -> Column:
@@ -112,18 +61,13 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with identifiers overwritten by marks, so that places stay, and marks of its own blanked."""
-    return redact(F.translate(text, MARK, " "), base, lambda s: F.repeat(F.lit(MARK), s["end"] - s["start"]))
-
-
 #: Words, with the marks that touch them.
 MARKED_WORD = WORD.replace("[", f"[{MARK}")
 
 
 def _around(text: Column, base: Column) -> Column:
     """The different words of a text that no identifier touches."""
-    whole = F.regexp_extract_all(_masked(text, base), F.lit(MARKED_WORD), F.lit(0))
+    whole = F.regexp_extract_all(masked(text, base), F.lit(MARKED_WORD), F.lit(0))
     return F.array_distinct(F.transform(F.filter(whole, lambda w: ~w.contains(MARK)), lambda w: F.lower(w)))
 
 
@@ -185,7 +129,7 @@ def _few(df: DataFrame) -> bool:
 def _table(terms: Column) -> Column:
     """Terms (structs of term and what) dealt by hash to as many lists as the root of their number, so that a look-up is short."""
     many = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(terms))).cast("int"))
-    return _let(F.struct(terms.alias("t"), many.alias("n")), lambda v: F.transform(F.sequence(F.lit(0), v["n"] - 1), lambda i: F.filter(v["t"], lambda e: F.pmod(F.hash(e["term"]), v["n"]) == i)))
+    return let(F.struct(terms.alias("t"), many.alias("n")), lambda v: F.transform(F.sequence(F.lit(0), v["n"] - 1), lambda i: F.filter(v["t"], lambda e: F.pmod(F.hash(e["term"]), v["n"]) == i)))
 
 
 def _become(table: Column, word: Column) -> Column:
@@ -211,19 +155,13 @@ def with_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT,
     joined = based.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
 
     def added(table: Column) -> Column:
-        found = _matches(_masked(text, F.col("base")), MARKED_WORD, 4, lambda m: ~m.contains(MARK) & _become(table, F.lower(m)).isNotNull())
+        found = matches(masked(text, F.col("base")), MARKED_WORD, 4, lambda m: ~m.contains(MARK) & _become(table, F.lower(m)).isNotNull())
         return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), _become(table, F.lower(w["more"])).alias("more")))
 
-    named = F.when(F.col("_terms").isNotNull(), added(F.col("_terms")).cast(f"array<{SPAN}>")).otherwise(_none())
+    named = F.when(F.col("_terms").isNotNull(), added(F.col("_terms")).cast(f"array<{SPAN}>")).otherwise(none())
     return joined.withColumn("added", named).drop("_h", "_terms")
 
 
-def listed(spans: Column) -> Column:
-    """kind:start:end of spans, comma-joined."""
-    kinds = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["k"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added of every document. Null counts as empty; equal texts get equal spans; ids play no part; an
     empty table gives no rows. Only id and text are read, so other columns can't clash."""
@@ -236,35 +174,14 @@ def report(docs: DataFrame, **options: str) -> DataFrame:
     Null and empty texts have no spans; repeated rows and null ids stay rows of their own; spans that start together go by kind.
     """
     out = find(docs, **options)
+    counts = [count(F.col("base"), k).alias(f"n_{KINDS[k]}") for k in range(4)]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base"), KINDS).cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added")), KINDS).alias("spans"))
 
-    def count(k: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-
-    counts = [count(k) for k in range(4)]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
-
-def redact(text: Column, spans: Column, put=None) -> Column:
-    """The text with each span (sorted) replaced by `put` of it: by default identifiers by their kind in brackets, terms by
-    what becomes of them. A span that starts inside the one before is covered by it."""
+def replaced(s: Column) -> Column:
+    """What stands for a span: the kind in brackets for an identifier, what becomes of it for a term."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:4]))
-    put = put or (lambda s: F.coalesce(F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"])), F.lit("")))
-
-    def cut(v: Column) -> Column:
-        """Pieces of text, one a chunk of spans; a chunk starts where those before it end."""
-        ends = lambda x: F.aggregate(x, F.lit(0), lambda acc, s: F.greatest(acc, s["end"]))
-        starts = F.aggregate(v["c"], F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), ends(x)))))
-        return _let(starts, lambda at: F.concat(F.transform(v["c"], lambda x, i: piece(v["t"], x, F.get(at, i), F.get(at, i + 1))), F.array(F.substring(v["t"], F.element_at(at, -1) + 1, F.length(v["t"])))))
-
-    def piece(t: Column, x: Column, lo: Column, hi: Column) -> Column:
-        def step(acc: Column, s: Column) -> Column:
-            ahead = F.concat(acc["out"], F.substring(acc["own"], acc["at"] - lo + 1, s["start"] - acc["at"]), put(s))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], ahead).otherwise(acc["out"]).alias("out"), acc["own"].alias("own"))
-
-        return F.aggregate(x, F.struct(lo.alias("at"), F.lit("").alias("out"), F.substring(t, lo + 1, hi - lo).alias("own")), step)["out"]
-
-    done = _let(F.struct(text.alias("t"), _let(spans, _chunks).alias("c")), lambda v: F.array_join(cut(v), ""))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.coalesce(F.when(s["k"] == 4, s["more"]).otherwise(F.get(names, s["k"])), F.lit(""))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
@@ -276,7 +193,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", count_col: str | None = "n
     renamed = docs.select(F.struct(*[F.col(c) for c in cols if c != text_col], F.lit(0).alias(free_name("_", cols))).alias("row"), F.col(text_col).alias("text"))
     found = with_spans(renamed).withColumn("spans", F.array_sort(F.concat("base", "added")))
     changed = F.size("spans") > 0
-    both = found.select("row", F.when(changed, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
+    both = found.select("row", F.when(changed, redact(F.col("text"), F.col("spans"), replaced)).otherwise(F.col("text")).alias("text"), changed.alias("changed"))
     out = {c: F.col("row")[c] for c in cols if c != text_col} | {text_col: F.col("text")}
     if count_col in cols:
         out[count_col] = F.when(F.col("changed"), F.length("text")).otherwise(out[count_col]).cast(docs.schema[count_col].dataType)

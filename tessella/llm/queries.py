@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hnsw, lm, pieces, pii, sharding, simhash, token_count, toxicity, vafile, warc, whitening
+from . import decontam, hnsw, lm, pieces, pii, secret_scan, sharding, simhash, token_count, toxicity, vafile, warc, whitening
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii, op12_whitening, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_toxicity, op4_decontaminate, op5_sentencepiece, op6_nearest, op7_token_counts, op8_sharding, op9_warc, op10_pii, op11_secrets, op12_whitening, op13_vector_codes)}
 
 #: The other queries rest on seeded hashes, trained models or searches that SQL can't express; tests hold them against brute force.
 _NEAREST = """SELECT r, part, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
