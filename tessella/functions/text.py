@@ -34,6 +34,12 @@ def title_key(title: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), F.lit(""))
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of letters and digits without marks, joined by blanks: "D.C." is "dc", "A&B" is "a and b"."""
+    plain = F.regexp_replace(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), "&", " and ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[.'\u2019`\\p{M}]", ""), "[^a-z0-9]", " "), " +", " "))
+
+
 def slug(text: Column, most: int | None = None) -> Column:
     """Lower-case ASCII words joined by hyphens, cut at a hyphen when longer than `most`; null gives an empty slug."""
     plain = F.lower(F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO))
