@@ -12,11 +12,13 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.times import EASTERN
 
-# Days that a page lives after its posting and after it was last seen; plausible salaries; what ages ask for a new logo look-up.
+# Days that a page lives after its posting and after it was last seen; plausible salaries; miles around a city; what ages ask for a new logo look-up.
 LIVE_DAYS, SEEN_DAYS = 60, 14
 SALARY_FLOORS, MOST_SALARY = (50_000, 75_000, 100_000, 150_000, 200_000), 2_000_000
+RADIUS_MILES = 25.0
 LOGO_DAYS = {"ok": 90, "error": 1, "miss": 30}
 #: Freshness: what it goes by, and how many local days back including today.
 FRESH = {"posted-today": ("posted_at", 1), "posted-this-week": ("posted_at", 7), "found-today": ("found_at", 1), "found-this-week": ("found_at", 7), "verified-today": ("last_seen_at", 1)}
@@ -128,11 +130,19 @@ def location_like(text: str) -> Column:
     return F.exists("locations", lambda x: F.lower(x).contains(text.lower()))
 
 
-def located(text: str, labels: dict[str, str], states: dict[str, list[str]], countries: tuple[str, ...] = ("united states", "usa", "us")) -> Column:
-    """The condition for a location that was typed: the area of that label, the whole country, else a state's areas or the text."""
+def near_city(lat: float, lon: float, miles: float = RADIUS_MILES) -> Column:
+    """One of the posting's points lies within so many miles. Column: points (array of lat, lon)."""
+    return F.coalesce(geo.nearest_point(F.col("points"), F.lit(lat), F.lit(lon)) <= miles, F.lit(False))
+
+
+def located(text: str, labels: dict[str, str], states: dict[str, list[str]], countries: tuple[str, ...] = ("united states", "usa", "us"), cities: dict[str, tuple[float, float]] | None = None, miles: float = RADIUS_MILES) -> Column:
+    """The condition for a location that was typed: the area of that label, a radius around that city, the whole country, else a
+    state's areas or the text."""
     low = text.strip().lower()
     if low in labels:
         return F.array_contains("areas", labels[low])
+    if low in (cities or {}):
+        return near_city(*cities[low], miles)
     if low in countries:
         return (F.col("country") == "US") | (F.size("areas") > 0) | location_like(low)
     return reduce(lambda a, b: a | b, (F.array_contains("areas", c) for c in states.get(low, [])), location_like(low))

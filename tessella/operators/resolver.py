@@ -146,7 +146,7 @@ def variants(entry: Column, stripped: Column, home: Column) -> Column:
     without = F.transform(first, lambda v: F.regexp_replace(v, r"(?i)\b(?:metropolitan|metro|area|greater)\b", " "))
     code = F.regexp_extract(entry, r"\b[0-9]{2,}[-_]([A-Z]{2})[-_]", 1)
     last = F.when(home & (code != ""), F.array(F.concat(code, F.lit(", United States")))).otherwise(F.array())
-    return F.array_distinct(F.filter(F.transform(F.concat(first, without, last), F.trim), lambda v: F.regexp_replace(v, r"[\s,\-–—/]", "") != ""))
+    return F.array_distinct(F.filter(F.transform(F.concat(first, without, last), lambda v: F.trim(v)), lambda v: F.regexp_replace(v, r"[\s,\-–—/]", "") != ""))
 
 
 def state_mark(token: Column, g: Gazetteer) -> Column:
