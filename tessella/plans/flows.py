@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..operators import alerts, claims
 from ..sources.tables import postings, table
 from .catalogue import POSTINGS, query
 
@@ -58,3 +58,37 @@ SELECT c_custkey AS search_id, strftime(CASE WHEN c_custkey IN (SELECT search_id
 def alert_marks(spark, sf_dir):
     out = alerts.advance(saved_searches(spark, sf_dir), _sweep(spark, sf_dir), _ALERTS_AT)
     return out.select("search_id", F.date_format("last_alerted_at", "yyyy-MM-dd HH:mm:ss").alias("last_alerted_at"))
+
+
+_CLAIMS_AT = "2001-08-02 00:00:00"
+_QUEUE = f"""
+queue AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 19 <> 0 THEN o_custkey % 40 END AS source, CASE o_orderstatus WHEN 'O' THEN 'success' ELSE 'pending' END AS status,
+    CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '{_CLAIMS_AT}' - to_seconds(o_orderkey % 1300) END AS claimed_at, o_orderdate AS created_at FROM orders),
+boards AS (SELECT s_suppkey AS source, 1 + CAST(floor(s_acctbal) AS BIGINT) % 400 AS cap, s_nationkey % 4 = 0 AS official FROM supplier WHERE s_suppkey < 45),
+flying AS (SELECT source, count(*) AS n FROM queue WHERE status = 'pending' AND claimed_at > TIMESTAMP '{_CLAIMS_AT}' - INTERVAL 600 second GROUP BY 1)"""
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(F.col("o_custkey") % 19 != 0, F.col("o_custkey") % 40).alias("source"), F.when(F.col("o_orderstatus") == "O", "success").otherwise("pending").alias("status"),
+        F.when(k % 5 == 0, F.lit(_CLAIMS_AT).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 1300).cast("double"))).alias("claimed_at"), F.col("o_orderdate").cast("timestamp").alias("created_at"),
+    )
+
+
+def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").where(k < 45).select(k.cast("long").alias("source"), (1 + F.floor("s_acctbal") % 400).alias("cap"), (F.col("s_nationkey") % 4 == 0).alias("official"))
+
+
+@query("scan_claims", f"""
+WITH {_QUEUE}
+SELECT q.id, q.source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at, id) AS r FROM queue WHERE status = 'pending' AND (claimed_at IS NULL OR claimed_at <= TIMESTAMP '{_CLAIMS_AT}' - INTERVAL 600 second)) q
+JOIN boards b ON b.source = q.source LEFT JOIN flying f ON f.source = q.source WHERE r <= cap - coalesce(n, 0)""")
+def scan_claims(spark, sf_dir):
+    return claims.allocate(_queue(spark, sf_dir), _boards(spark, sf_dir), _CLAIMS_AT)
+
+
+@query("sources_waiting", f"WITH {_QUEUE} SELECT source, cap, official FROM boards WHERE source IN (SELECT source FROM queue WHERE status = 'pending')")
+def sources_waiting(spark, sf_dir):
+    return claims.waiting(_queue(spark, sf_dir), _boards(spark, sf_dir))

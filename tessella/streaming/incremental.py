@@ -1,17 +1,12 @@
-"""Streams: registering URLs, activity by time, and the drop detector with state."""
+"""Streams without state of their own: registering URLs, activity by time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions import urls
-from ..operators.maintenance import ALPHA, DROP, STREAK, WARM_UP
 from ..sources.listing import insert_absent
 
 
@@ -25,29 +20,3 @@ def register_urls(stream: DataFrame, path: str, checkpoint: str, url: str = "url
 def activity(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by window and kind; rows later than the watermark are left out."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
-
-
-STATE = "samples int, baseline double, low int, flagged string"
-
-
-def coverage(stream: DataFrame, key: str = "source", at: str = "at", count: str = "n") -> DataFrame:
-    """The drop detector over a stream of (source, at, n): a row for each source and batch, with state kept between them."""
-
-    def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, base, low, flag = state.get if state.exists else (0, 0.0, 0, None)
-        rows = pd.concat(list(batches)).sort_values(at)
-        for t, c in zip(rows[at], rows[count], strict=True):
-            if n < WARM_UP:
-                base += (c - base) / (n + 1)
-                low, flag = 0, None
-            elif base > 0 and c < base * DROP:
-                low += 1
-                flag = flag or (str(t) if low >= STREAK else None)
-            else:
-                base, low, flag = base + ALPHA * (c - base), 0, None
-            n += 1
-        state.update((n, float(base), low, flag))
-        yield pd.DataFrame([(k[0], n, base, low, flag)], columns=[key, "samples", "baseline", "low", "flagged"])
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, at, count).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {STATE}", STATE, "update", "NoTimeout")

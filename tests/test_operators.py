@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella.operators import dedup, demand, gates, links, maintenance, places, search, stats, timeseries
 from tessella.sources import listing
 from tessella.sources.tables import AS_OF
-from tessella.streaming import incremental
+from tessella.streaming import incremental, state
 
 
 def fold(counts):
@@ -47,7 +47,8 @@ def test_coverage_stream(spark, tmp_path):
         rows = [(s, t, c) for s, h in histories().items() for t, c in enumerate(h) if (t >= 6) == bool(k)]
         spark.createDataFrame(rows, "source string, at int, n int").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
     stream = spark.readStream.schema("source string, at int, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
-    q = incremental.coverage(stream).writeStream.outputMode("update").format("memory").queryName("covered").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    state.use_state_store(spark)
+    q = state.coverage(stream).writeStream.outputMode("update").format("memory").queryName("covered").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     last = {}
     for r in spark.table("covered").collect():
