@@ -42,21 +42,21 @@ def exact_leaders(df: DataFrame, keys: list[str], order: list[str], id_col: str)
     return both.select(id_col, F.when(F.col("_first._id") != F.col(id_col), F.col("_first._id")).alias("primary"))
 
 
-def place_leaders(df: DataFrame) -> DataFrame:
-    """(id, primary) by greedy election among the rows of one (company_key, title_key).
+RANK = ("official", "closed", "linked", "created_at", "id")
 
-    Input: id, company_key, title_key, official, closed, linked (had a primary), created_at, domain, locations (sorted
-    array), places (array of rounded 'lat,lon'). In order - official first, open first, unlinked first, oldest,
-    id - each row joins the leader with its very locations, else one of another domain that shares a place, else
-    it leads. Rows without locations stand alone. The election is sequential by nature, but only within a group, and
-    rows with equal locations are settled beforehand, so a group holds one row for each different list of locations.
-    """
-    rank = [F.desc("official"), F.asc("closed"), F.asc("linked"), F.asc("created_at"), F.asc("id")]
-    keyed = df.where("company_key IS NOT NULL AND title_key IS NOT NULL AND size(locations) > 0")
-    same = Window.partitionBy("company_key", "title_key", "locations").orderBy(*rank)
-    settled = keyed.withColumn("leader", F.first("id").over(same)).withColumn("pos", F.row_number().over(same))
-    # A row may differ from its namesakes in domain and places only; the first of them decides for its locations.
-    heads = settled.where("pos = 1")
+
+def _rank() -> list[Column]:
+    """Official first, open first, unlinked first, oldest, id."""
+    return [F.desc("official"), *(F.asc(c) for c in RANK[1:])]
+
+
+def _places_known() -> Column:
+    return F.coalesce(F.col("company_key").isNotNull() & F.col("title_key").isNotNull() & (F.size("locations") > 0), F.lit(False))
+
+
+def _elect(heads: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """(id, top) of each head: the leader that it joins, null if it leads. `leaders` lead already, and go first."""
+    keys = ["company_key", "title_key"]
 
     def elect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, leads = None, {}
@@ -65,20 +65,61 @@ def place_leaders(df: DataFrame) -> DataFrame:
             for r in rows.itertuples(index=False):
                 if (r.company_key, r.title_key) != group:
                     group, leads = (r.company_key, r.title_key), {}
-                other = next((i for p in sorted(r.places) for i, d in leads.get(p, []) if d != r.domain), None)
-                out.append((r.id, other))
+                other = None if r.leads else next((i for p in sorted(r.places) for i, d in leads.get(p, []) if d != r.domain), None)
+                if not r.leads:
+                    out.append((r.id, other))
                 if other is None:
                     for p in r.places:
-                        leads.setdefault(p, []).append((r.id, r.domain))
-            yield pd.DataFrame(out, columns=["id", "top"]).astype({"top": "Int64"})
+                        # The first leader of a place, and the first of another domain, are all that any row can join.
+                        at = leads.setdefault(p, [])
+                        if len(at) < 2 and all(d != r.domain for _, d in at):
+                            at.append((r.id, r.domain))
+            yield pd.DataFrame(out, columns=["id", "top"]).astype({"id": "int64", "top": "Int64"})
 
-    keys = ["company_key", "title_key"]
-    dealt = heads.select("id", *keys, "domain", "places", "official", "closed", "linked", "created_at").repartition(*keys).sortWithinPartitions(*keys, *rank)
-    won = dealt.select("id", *keys, "domain", "places").mapInPandas(elect, "id long, top long")
+    columns = [*keys, "id", "domain", "places", *RANK[:-1]]
+    rows = heads.select(*columns, F.lit(False).alias("leads"))
+    if leaders is not None:
+        rows = rows.union(leaders.select(*columns, F.lit(True).alias("leads")))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("leads"), *_rank())
+    return dealt.select("id", *keys, "domain", "places", "leads").mapInPandas(elect, "id long, top long")
+
+
+def place_leaders(df: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """(id, primary) by greedy election among the rows of one (company_key, title_key).
+
+    Input: id, company_key, title_key, official, closed, linked (had a primary), created_at, domain, locations (sorted
+    array), places (array of rounded 'lat,lon'). In order - official first, open first, unlinked first, oldest,
+    id - each row joins the leader with its very locations, else one of another domain that shares a place, else
+    it leads. Rows without locations stand alone. The election is sequential by nature, but only within a group, and
+    rows with equal locations are settled beforehand, so a group holds one row for each different list of locations.
+    """
+    settled = df.where(_places_known())
+    same = Window.partitionBy("company_key", "title_key", "locations").orderBy(*_rank())
+    settled = settled.withColumn("leader", F.first("id").over(same)).withColumn("pos", F.row_number().over(same))
+    # A row may differ from its namesakes in domain and places only; the first of them decides for its locations.
+    won = _elect(settled.where("pos = 1"), leaders)
     joined = settled.join(won.withColumnRenamed("id", "leader"), "leader")
     primary = F.when(F.col("top").isNotNull(), F.col("top")).when(F.col("pos") > 1, F.col("leader"))
-    rest = df.where("NOT coalesce(company_key IS NOT NULL AND title_key IS NOT NULL AND size(locations) > 0, false)")
-    return joined.select("id", primary.alias("primary")).union(rest.select("id", F.lit(None).cast("long")))
+    return joined.select("id", primary.alias("primary")).union(df.where(~_places_known()).select("id", F.lit(None).cast("long")))
+
+
+def place_arrivals(arrivals: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, primary) of postings that come in after others were settled, which keep their leaders.
+
+    Both as in `place_leaders`; `stored` has its `primary` too, and closed ones take nobody. An arrival joins the group of the stored row
+    with its very locations; the others are elected among themselves, with the stored leaders going first. Only groups that have arrivals are
+    touched. The result is that of a whole election as long as no arrival outranks a stored row.
+    """
+    keys = ["company_key", "title_key"]
+    known = arrivals.where(_places_known())
+    open_ = stored.where(_places_known() & ~F.col("closed")).join(known.select(*keys).distinct(), keys, "left_semi")
+    order = F.struct((~F.col("official")).alias("o"), "linked", "created_at", "id", F.coalesce("primary", "id").alias("to"))
+    groups = open_.groupBy(*keys, "locations").agg(F.min(order)["to"].alias("to"))
+    met = known.join(groups, [*keys, "locations"], "left")
+    rest = met.where("to IS NULL").drop("to")
+    own = place_leaders(rest, open_.where("primary IS NULL"))
+    alone = arrivals.where(~_places_known()).select("id", F.lit(None).cast("long").alias("primary"))
+    return met.where("to IS NOT NULL").select("id", F.col("to").alias("primary")).union(own).union(alone)
 
 
 def manifest_diff(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

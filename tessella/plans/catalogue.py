@@ -278,14 +278,26 @@ def duplicate_groups_linked(spark, sf_dir):
     return dedup.linked_groups(linked, "doc_id", "primary").select("doc_id", "source", "copies")
 
 
-@query("dedup_by_place")
-def dedup_by_place(spark, sf_dir):
+def placed_postings(spark, sf_dir) -> DataFrame:
     p = postings(spark, sf_dir)
     place = F.concat(F.col("area"), F.lit("/"), (F.col("id") % 13).cast("string"))
-    return dedup.place_leaders(p.select(
+    return p.select(
         "id", F.col("company_key"), F.col("title").alias("title_key"), (F.col("id") % 5 == 0).alias("official"), "closed", F.lit(False).alias("linked"), F.col("found_at").alias("created_at"),
         F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("domain"), F.when(F.col("id") % 10 != 0, F.array(place)).otherwise(F.array().cast("array<string>")).alias("locations"), F.array(F.concat(F.col("area"), F.lit("@"), (F.col("id") % 4).cast("string"))).alias("places"),
-    ))
+    )
+
+
+@query("dedup_by_place")
+def dedup_by_place(spark, sf_dir):
+    return dedup.place_leaders(placed_postings(spark, sf_dir))
+
+
+@query("dedup_arrivals")
+def dedup_arrivals(spark, sf_dir):
+    df = placed_postings(spark, sf_dir)
+    young = F.col("created_at") >= F.lit("1998-06-01").cast("timestamp")
+    old = df.where(~young)
+    return dedup.place_arrivals(df.where(young), old.join(dedup.place_leaders(old), "id"))
 
 
 @query("latest_per_user", "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

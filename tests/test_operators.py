@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import dedup, demand, gates, links, maintenance, places, search, stats, timeseries
@@ -94,6 +95,38 @@ def test_place_leaders(spark):
     assert got == elect(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_arrivals_join_as_a_whole_election_would(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        {"id": i, "company_key": rng.choice(("a", "b", "c", None)), "title_key": rng.choice(("x", "y")), "official": i < 150 and rng.random() < 0.2, "closed": False, "linked": False, "created_at": rng.randrange(50) + 100 * (i >= 150),
+         "domain": (d := rng.choice("pqr")), "locations": [rng.choice("klmnotuv") + rng.choice(d + "z")] if rng.random() < 0.9 else [], "places": sorted({rng.choice("123456789") for _ in range(rng.randrange(3))})}
+        for i in range(260)
+    ]
+    kind = "id long, company_key string, title_key string, official boolean, closed boolean, linked boolean, created_at int, domain string, locations array<string>, places array<string>"
+    first, whole = elect(rows[:150]), elect(rows)
+    stored = spark.createDataFrame([r | {"primary": first[r["id"]]} for r in rows[:150] if r["company_key"] != "c"], kind + ", primary long")
+    got = {r.id: r.primary for r in dedup.place_arrivals(spark.createDataFrame(rows[150:], kind), stored).collect()}
+    unseen = elect([r for r in rows if r["company_key"] == "c" and r["id"] >= 150])
+    assert got == {r["id"]: unseen[r["id"]] if r["company_key"] == "c" else whole[r["id"]] for r in rows[150:]}
+    assert {whole[r["id"]] for r in rows[150:]} & {r["id"] for r in rows[150:]} and all(whole[i] == p for i, p in first.items())
+    closed = stored.withColumn("closed", F.lit(True))
+    assert {r.id: r.primary for r in dedup.place_arrivals(spark.createDataFrame(rows[150:], kind), closed).collect()} == elect(rows[150:])
+
+
+def test_arrivals_of_real_postings(spark, sf_dir):
+    """Half of all postings settled, the other half arriving, against one election of all."""
+    from tessella.plans import catalogue
+
+    df = catalogue.placed_postings(spark, sf_dir).withColumn("closed", F.lit(False)).withColumn("official", F.lit(False)).cache()
+    middle = df.approxQuantile("id", [0.5], 0.0)[0]
+    df = df.withColumn("created_at", F.when(F.col("id") > middle, F.col("created_at") + F.make_dt_interval(F.lit(40_000))).otherwise(F.col("created_at")))
+    old, new = df.where(F.col("id") <= middle), df.where(F.col("id") > middle)
+    stored = old.join(dedup.place_leaders(old), "id")
+    got = {(r.id, r.primary) for r in dedup.place_arrivals(new, stored).union(stored.select("id", "primary")).collect()}
+    assert got == {(r.id, r.primary) for r in dedup.place_leaders(df).collect()} and len(got) == df.count()
+
+
 def test_near_equal_sets_lose_nothing(spark):
     rng = random.Random(3)
     base = [f"i{k}" for k in range(30)]
