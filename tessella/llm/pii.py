@@ -6,7 +6,7 @@ prefix); and its kind. A term in the texts of an entity reveals it as far as the
 have the term, n(e) the entity, n(t, e) both. P(e) = n(e) / N, and P(e | t) = (n(t,e) + P(e)) / (n(t) + 1) is smoothed
 towards it. PMI = log(P(e | t) / P(e)) is what t tells about e, the entity's information content IC = -log P(e) all there
 is to tell. A term discloses an entity if the share PMI / IC reaches GENERALISE and P(e | t) reaches CERTAIN; it is then
-replaced by a general word, and from the share REMOVE on removed, wherever it stands in any document. A pair needs
+replaced by its class (a name, a number, a code, a word), and from the share REMOVE on removed, wherever it stands in any document. A pair needs
 SUPPORT different texts, so that copies of one text prove nothing (near copies count: drop them before). Terms are runs of letters and
 digits that touch no identifier.
 """
@@ -26,7 +26,7 @@ GENERALISE, REMOVE = 0.75, 0.9
 CERTAIN = 0.5
 #: Different texts in which a term must stand with an entity.
 SUPPORT = 3
-#: Learnt terms up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
+#: Learnt terms, or texts' words, up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
 BROADCAST, SALTS = 50_000, 16
 
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -95,16 +95,29 @@ def analyse(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("h").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
 
 
-def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE, certain: float = CERTAIN) -> DataFrame:
-    """(entity, term, share) of the terms that disclose an entity: see the module's text.
+def _classes(texts: DataFrame, support: int) -> DataFrame:
+    """entity, n_e, members of the entities that stand in `support` different texts, one for all that stand in the very same texts.
 
-    `texts` is what `analyse` gives. Document frequencies of terms are counted over all documents; every count is a
-    map-side-combined aggregate. Entities of fewer than `support` texts have no pair with that many.
+    Such entities have the same counts with every term, so one of them speaks for all: logs that share thousands of addresses pair
+    their words with a few classes. Equal sets of texts are told by their size and two 64-bit sums of hashes.
     """
     mention = texts.select("h", "copies", F.explode("entities").alias("entity"))
-    entities = checkpoint(mention.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("entity", "n_e"))
-    often = mention.join(entities, "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("of"))
-    pair = texts.join(often, "h").select("copies", "of", F.explode("words").alias("term")).select("copies", "term", F.explode("of").alias("entity"))
+    both = [F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h", F.lit("second"))).alias("y")]
+    each = mention.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts"), *both).where(F.col("texts") >= support)
+    first = each.groupBy("x", "y", "texts").agg(F.min("entity").alias("of"), F.first("n_e").alias("n_e"))
+    return checkpoint(each.select("entity", "x", "y", "texts").join(first, ["x", "y", "texts"]).select("entity", "of", "n_e"))
+
+
+def _told(docs: DataFrame, texts: DataFrame, classes: DataFrame, text_col: str, support: int, least: float, certain: float) -> DataFrame:
+    """(entity, term, share) for one entity of each class."""
+    leads = classes.where(F.col("entity") == F.col("of")).select("entity", "n_e")
+    often = texts.select("h", F.explode("entities").alias("entity")).join(leads.select("entity"), "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("of"))
+    # Words first, by how many texts have them, so that only those that can reach the support meet a text's entities.
+    known = checkpoint(texts.join(often, "h").select("copies", "of", "words"))
+    word = known.select("copies", "of", F.explode("words").alias("term"))
+    common = checkpoint(word.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("term"))
+    kept = word.join(F.broadcast(common) if _few(common) else common, "term", "left_semi")
+    pair = kept.select("copies", "term", F.explode("of").alias("entity"))
     pairs = checkpoint(pair.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support))
     asked = checkpoint(pairs.select("term").distinct())
     words = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term"))
@@ -115,11 +128,22 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", suppor
     if not few:
         terms = terms.join(asked, "term", "left_semi")
     n = F.lit(max(2, docs.count()))
-    known = pairs.join(terms, "term").join(entities, "entity")
+    counted = pairs.join(terms, "term").join(leads, "entity")
     before = F.col("n_e") / n
     told = (F.col("n_te") + before) / (F.greatest("n_t", "n_te") + 1)
     share = F.when(before < 1, F.log(told / before) / -F.log(before)).otherwise(0.0)
-    return known.withColumn("share", share).where((F.col("share") >= least) & (told >= certain)).select("entity", "term", "share")
+    return counted.withColumn("share", share).where((F.col("share") >= least) & (told >= certain)).select("entity", "term", "share")
+
+
+def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", support: int = SUPPORT, least: float = GENERALISE, certain: float = CERTAIN) -> DataFrame:
+    """(entity, term, share) of the terms that disclose an entity: see the module's text.
+
+    `texts` is what `analyse` gives. Document frequencies of terms are counted over all documents; every count is a
+    map-side-combined aggregate. Entities of fewer than `support` texts have no pair with that many.
+    """
+    classes = _classes(texts, support)
+    told = _told(docs, texts, classes, text_col, support, least, certain)
+    return told.withColumnRenamed("entity", "of").join(classes.select("entity", "of"), "of").select("entity", "term", "share")
 
 
 def _few(df: DataFrame) -> bool:
@@ -138,25 +162,35 @@ def _become(table: Column, word: Column) -> Column:
     return F.get(F.filter(lot, lambda e: e["term"] == word), 0)["what"]
 
 
+def _put(what: Column, word: Column) -> Column:
+    """Nothing for a word that is removed, else its class."""
+    kind = F.when(word.rlike(r"^\p{N}+$"), "[NUMBER]").when(word.rlike(r"\p{N}"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    return F.when(what == "", what).otherwise(kind)
+
+
 def with_spans(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """`docs` with base and added (array<SPAN>): the identifiers, and the terms (`more` is what becomes of them) that tell of an entity.
 
     A learnt term counts in every document. Equal texts get equal spans; null counts as empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    shares = disclosing(docs, checkpoint(analyse(docs, text_col)), text_col, support, generalise)
+    texts = checkpoint(analyse(docs, text_col))
+    shares = _told(docs, texts, _classes(texts, support), text_col, support, generalise, CERTAIN)
     told = checkpoint(shares.groupBy("term").agg(F.max("share").alias("share")))
     word = docs.select(F.xxhash64(text).alias("h"), F.explode(_words(text)).alias("term"))
     hits = checkpoint(word.join(F.broadcast(told) if _few(told) else told, "term").distinct())
-    become = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("something"))
+    become = F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("class"))
     terms = hits.groupBy("h").agg(_table(F.collect_list(F.struct("term", become.alias("what")))).alias("_terms"))
     based = docs.withColumn("_h", F.xxhash64(text)).withColumn("base", base_spans(text))
-    parts = terms.select(F.col("h").alias("_h"), "_terms", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-    joined = based.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
+    if _few(hits):  # no text moves
+        joined = based.join(F.broadcast(terms.withColumnRenamed("h", "_h")), "_h", "left")
+    else:
+        parts = terms.select(F.col("h").alias("_h"), "_terms", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+        joined = based.withColumn("_part", F.spark_partition_id() % SALTS).join(parts, ["_h", "_part"], "left").drop("_part")
 
     def added(table: Column) -> Column:
         found = matches(masked(text, F.col("base")), MARKED_WORD, 4, lambda m: ~m.contains(MARK) & _become(table, F.lower(m)).isNotNull())
-        return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), _become(table, F.lower(w["more"])).alias("more")))
+        return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["k"].alias("k"), w["end"].alias("end"), _put(_become(table, F.lower(w["more"])), w["more"]).alias("more")))
 
     named = F.when(F.col("_terms").isNotNull(), added(F.col("_terms")).cast(f"array<{SPAN}>")).otherwise(none())
     return joined.withColumn("added", named).drop("_h", "_terms")

@@ -150,6 +150,28 @@ def test_very_many_identifiers_in_one_text(spark):
     assert pii.sanitise(df).first().text == EMAIL.sub("[EMAIL]", text)
 
 
+def test_terms_are_generalised_to_their_class(spark):
+    """A share between the bounds: terms that most texts of an entity have, and some others."""
+    filler = [f"quiet text number {i} about nothing at all" for i in range(400)]
+    rows = [f"{w} says hello from m{i}@q.org today {i}" for i, w in enumerate(["Zebulon 8841 R2D2 zoltan"] * 4)] + ["Zebulon 8841 R2D2 zoltan without any address"] * 2 + filler
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert out[4].text == "[NAME] [NUMBER] [CODE] [WORD] without any address"
+    assert out[0].text.startswith("[NAME] [NUMBER] [CODE] [WORD]") and out[10].text == rows[10]
+
+
+def test_logs_that_share_thousands_of_addresses(spark):
+    """Three texts of 5,000 common identifiers and 3,000 words: the identifiers are one class, and the pairs stay few."""
+    ids = " ".join(f"u{i}@h{i}.org" for i in range(5000))
+    rows = [(i, f"{ids} " + " ".join(f"w{k}" for k in range(3000 + 100 * i))) for i in range(3)] + [(10 + i, f"plain text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = pii.checkpoint(pii.analyse(df))
+    classes = pii._classes(texts, 3)
+    assert classes.count() == 10_001 and classes.select("of").distinct().count() == 1
+    told = pii.disclosing(df, texts)
+    assert told.select("term").distinct().count() == 3000 and told.select("entity").distinct().count() == 10_001
+
+
 def test_tricky_rows(tricky, no_documents):
     out = pii.sanitise(tricky)
     assert out.columns == tricky.columns and sorted(map(str, out.collect())) == sorted(map(str, tricky.collect()))
