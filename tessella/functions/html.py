@@ -5,14 +5,16 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .markup import Scope, attributes, markdown, tokens
+
 #: A description of fewer characters is incomplete.
 COMPLETE_CHARS = 300
 
@@ -52,34 +54,6 @@ def unescaped(col: pd.Series) -> pd.Series:
     return col.map(one, na_action="ignore")
 
 
-_DROPPED = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>")
-_INLINE = re.compile(r"(?is)<(b|strong)\b[^>]*>\s*(.*?)\s*</\1\s*>")
-_SLANTED = re.compile(r"(?is)<(i|em)\b[^>]*>\s*(.*?)\s*</\1\s*>")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>\s*(.*?)\s*</a\s*>""")
-_HEADING = re.compile(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>")
-_ITEM, _BREAK = re.compile(r"(?i)<li\b[^>]*>"), re.compile(r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|li|tr|table|section|article|header|footer|nav|main)\b[^>]*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-
-
-def markdown(page: str | None) -> str | None:
-    """Readable text of a page: headings, list items, links, bold and slanted print marked, one blank line at most between paragraphs.
-
-    Entities come first, as pages hold markup that was escaped as a whole.
-    """
-    if page is None:
-        return None
-    text = _DROPPED.sub("", html.unescape(page))
-    text = re.sub(r"\s+", " ", text)
-    text = _HEADING.sub(lambda m: f"\n\n{'#' * int(m[1])} {_TAG.sub('', m[2]).strip()}\n\n", text)
-    text = _INLINE.sub(lambda m: f"**{m[2]}**" if m[2] else "", text)
-    text = _SLANTED.sub(lambda m: f"*{m[2]}*" if m[2] else "", text)
-    text = _LINK.sub(lambda m: f"[{m[2]}]({m[1]})" if m[2] else "", text)
-    text = _BREAK.sub("\n", _ITEM.sub("\n- ", text))
-    text = _TAG.sub("", text)
-    lines = [re.sub(r"[ \t]+", " ", x).strip() for x in text.split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for x in lines if x != "-")).strip()
-
-
 @F.pandas_udf(T.StringType())
 def html_to_text(col: pd.Series) -> pd.Series:
     return col.map(markdown, na_action="ignore")
@@ -87,76 +61,30 @@ def html_to_text(col: pd.Series) -> pd.Series:
 
 def ld_nodes(page: str | None) -> Iterator[dict]:
     """All objects of a page's JSON-LD blocks, lists and graphs unrolled; broken blocks are tried unescaped, then skipped."""
-    for m in re.finditer(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""", page or ""):
-        for text in (m[1], html.unescape(m[1])):
+    for kind, name, tag, lo, hi in tokens(page or ""):
+        if kind != "raw" or name != "script" or attributes(tag).get("type", "").strip().lower() != "application/ld+json":
+            continue
+        for text in (page[lo:hi], html.unescape(page[lo:hi])):
             try:
-                todo = [json.loads(text, strict=False)]
-            except ValueError:
+                todo = deque([json.loads(text, strict=False)])
+            except (ValueError, RecursionError):
                 continue
             while todo:
-                x = todo.pop(0)
+                x = todo.popleft()
                 if isinstance(x, list):
-                    todo = x + todo
+                    todo.extendleft(reversed(x))
                 elif isinstance(x, dict):
                     yield x
-                    todo = [v for k, v in x.items() if k == "@graph"] + todo
+                    if "@graph" in x:
+                        todo.appendleft(x["@graph"])
             break
 
 
-#: Elements without an end tag.
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-
-class _Microdata(HTMLParser):
-    """What the first schema.org JobPosting scope of a page says: values by their path of itemprop names, in page order."""
-
-    def __init__(self):
-        super().__init__()
-        self.open: list[tuple[str, tuple[str, ...], list[str] | None]] = []
-        self.values: list[tuple[tuple[str, ...], list[str]]] = []
-        self.over = False
-
-    def handle_starttag(self, tag, attrs):
-        told = {k: v or "" for k, v in attrs}
-        if self.over or not (self.open or "itemscope" in told and re.fullmatch(r"(?i)https?://schema\.org/JobPosting", told.get("itemtype", ""))):
-            return
-        path, text = self.open[-1][1] if self.open else (), None
-        if self.open and (name := told.get("itemprop")):
-            path = (*path, name)
-            text = None if "content" in told else []
-            self.values.append((path, [told["content"]] if text is None else text))
-        if tag not in _VOID:
-            self.open.append((tag, path, text))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        at = max((k for k, (t, *_) in enumerate(self.open) if t == tag), default=None)
-        if at is not None:
-            del self.open[at:]
-            self.over = not self.open
-
-    def handle_data(self, data):
-        for *_, text in self.open:
-            if text is not None:
-                text.append(data)
-
-    def value(self, name: str, within: str | None = None) -> str | None:
-        """The first value called `name`, below a property `within` if one is given; blanks squeezed, null if empty."""
-        found = (" ".join("".join(v).split()) for p, v in self.values if p[-1] == name and (within is None or within in p[:-1]))
-        return next(filter(None, found), None)
-
-
 def microdata(page: str | None) -> dict:
     """Title, company, place and dates of the first job posting in a page's microdata; empty without one."""
     if "JobPosting" not in (page or ""):
         return {}
-    x = _Microdata()
-    x.feed(page)
-    x.close()
+    x = Scope(page)
     where = ", ".join(filter(None, (x.value(k, "jobLocation") for k in ("addressLocality", "addressRegion", "addressCountry"))))
     out = {"title": x.value("title"), "company": x.value("name", "hiringOrganization"), "location": where[:255] or None, "posted": (x.value("datePosted") or "")[:10] or None, "expires": (x.value("validThrough") or "")[:10] or None}
     return out | {"workplace": "unknown"} if any(out.values()) else {}

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import time
+
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import geo, html, names, text, times, urls
+from tessella.functions import markup, geo, html, names, text, times, urls
 
 
 def values(spark, cases, column):
@@ -135,3 +137,29 @@ def test_microdata_and_inline_markup():
     assert html.microdata(None) == html.microdata("") == html.microdata("<p>JobPosting</p>") == html.microdata("<div itemscope itemtype='https://schema.org/JobPosting'>") == {}
     assert html.markdown('See <a class="x" href="https://a.b/c"><b>this</b></a>, <em> now </em><i></i>') == "See [**this**](https://a.b/c), *now*"
     assert html.markdown("&lt;p&gt;One&lt;/p&gt;&lt;p&gt;two &lt;b&gt;bold&lt;/b&gt;&lt;/p&gt;").split() == ["One", "two", "**bold**"]
+
+
+def test_pages_of_a_million_unclosed_tags_take_linear_time():
+    scope = "<div itemscope itemtype='https://schema.org/JobPosting'>"
+    for unit in ("<b>", "</b>", "<a href='x'>", "<script>", "<!--", "<h2>", "<", "<i></i>", "<b><i>", "<a x=\"", "<template><", "x<br", "<h1></h2>", "<p>- "):
+        page = unit * (1_000_000 // len(unit))
+        began = time.monotonic()
+        html.markdown(page)
+        list(html.ld_nodes(page))
+        assert time.monotonic() - began < 20, unit
+    for unit in ("<b itemprop='title'> ", "<b itemprop='jobLocation'></i>", "<p>text", "<meta itemprop=title content=' '>", "<b itemprop='hiringOrganization'><i itemprop=name></b>"):
+        began = time.monotonic()
+        html.microdata(scope + unit * (1_000_000 // len(unit)) + "JobPosting")
+        markup.links(unit * 20_000), markup.section(unit * 20_000, "class", "x")
+        assert time.monotonic() - began < 20, unit
+
+
+def test_links_and_sections():
+    page = """<div class="a b"><div>in<div></div></div>ner <!-- </div> --></div><a href="/x?a=1&amp;b=2">One <b>two</b><a href='/y'>three</a><a name=z>no</a><br id=v><script id="s">if (a < b) "</div>"</script><p id=open>"""
+    assert markup.section(page, "class", "b") == "<div>in<div></div></div>ner <!-- </div> -->"
+    assert markup.section(page, "id", "v") == "" and markup.section(page, "id", "s") == 'if (a < b) "</div>"'
+    assert markup.section(page, "id", "open") is None and markup.section(page, "class", "c") is None and markup.section(None, "id", "x") is None
+    assert markup.links(page) == [("/x?a=1&b=2", "One two"), ("/y", "three")] and markup.links(None) == []
+    assert html.microdata('<div itemscope itemtype="https://schema.org/JobPosting"><meta itemprop="title" content="a > b"></div>')["title"] == "a > b"
+    assert html.markdown("<h2>A <b>bold</b> <a href=x>link</a></h2><b>open <i>both</b> end</i> 1 < 2") == "## A bold link\n\n**open *both** end* 1 < 2"
+    assert html.markdown("<b> <i> </i> </b>x<b>y</b ><strong>z <br></strong>end") == "x**y****z**\nend" or html.markdown("<b> </b>x") == "x"
