@@ -121,23 +121,3 @@ POSTING = T.StructType([T.StructField(c, T.DoubleType() if c in _NUMBERS else T.
 def ld_posting(col: pd.Series) -> pd.DataFrame:
     df = pd.DataFrame([posting(x) for x in col], columns=POSTING.names, dtype=object)
     return df.where(df.notna(), None).astype(dict.fromkeys(_NUMBERS, float))
-
-
-_FIGURE = r"\$\s?(\d{1,3}(?:,\d{3})+|\d+(?:\.\d+)?)\s?([kK]\b)?"
-_RANGE = re.compile(_FIGURE + r"\s?(?:-|–|—|to|and)\s?" + _FIGURE)
-_SINGLE = re.compile(_FIGURE + r"\s?(?:per|/|an?)\s?(?:year|yr|annum|hour|hr|month|week)", re.I)
-
-
-def salary(text: str | None) -> tuple[float | None, float | None]:
-    """(lowest, highest) dollar figures of a text's ranges, else of its first figure with a period; implausible ones are no answer."""
-    number = lambda a, k: float(a.replace(",", "")) * (1000 if k else 1)
-    found = [(number(m[1], m[2] or m[4]), number(m[3], m[4])) for m in _RANGE.finditer(text or "")]
-    if not found and (m := _SINGLE.search(text or "")):
-        found = [(number(m[1], m[2]),) * 2]
-    fine = [(a, b) for a, b in found if 0 < a <= b <= 5_000_000 and b <= 10 * a]
-    return (min(a for a, _ in fine), max(b for _, b in fine)) if fine else (None, None)
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _NUMBERS]))
-def salary_from_text(col: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([salary(x) for x in col], columns=list(_NUMBERS), dtype=float)

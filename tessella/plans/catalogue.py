@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, names, text, times
+from ..functions import html, names, pay, text, times
 from ..operators import dedup, demand, maintenance, places, search, stats, timeseries
 from ..sources.tables import AS_OF, EVENTS_AS_OF, postings, registry, table
 
@@ -597,7 +597,7 @@ def html_text(spark, sf_dir):
 
 @query("html_postings")
 def html_postings(spark, sf_dir):
-    x = table(spark, sf_dir, "pages").select("page_id", html.ld_posting("html").alias("x"), html.page_title(F.col("html")).alias("t"), html.salary_from_text("html").alias("s"))
+    x = table(spark, sf_dir, "pages").select("page_id", html.ld_posting("html").alias("x"), html.page_title(F.col("html")).alias("t"), pay.salary_from_text("html").alias("s"))
     return x.select("page_id", F.coalesce("x.title", "t").alias("title"), "x.company", "x.location", F.coalesce("x.salary_min", "s.salary_min").alias("salary_min"), F.coalesce("x.salary_max", "s.salary_max").alias("salary_max"), "x.posted", "x.workplace")
 
 

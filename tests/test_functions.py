@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.functions import markup, geo, html, names, text, times, urls
+from tessella.functions import geo, html, markup, names, pay, text, times, urls
 
 
 def values(spark, cases, column):
@@ -106,12 +106,20 @@ def test_html_columns(spark):
 
 def test_salary():
     cases = {
-        "Pay: $50,000 - $60,000 a year, up to $70k - $80k": (50_000, 80_000), "$20 per hour": (20, 20), "$120-150k": (None, None), "from $90k to $100k": (90_000, 100_000),
-        "$5 - $9,000,000": (None, None), "no figure": (None, None), None: (None, None), "we raised $5 in 2020": (None, None),
+        "Pay: $50,000 - $60,000 a year, up to $70k - $80k": (50_000, 80_000, "USD", "year"), "$20 per hour": (20, 20, "USD", "hour"), "$50-60k": (50_000, 60_000, "USD", None), "from $90k to $100k": (90_000, 100_000, "USD", None),
+        "224,000 - 356,500 USD for Level 5, and 272,000 - 431,250 USD for Level 6": (224_000, 431_250, "USD", None), "Base Salary Range: $145k-$163k": (145_000, 163_000, "USD", None),
+        "$103750 - $174750 annually + bonus": (103_750, 174_750, "USD", "year"), "€50,000 - €60,000 per year": (50_000, 60_000, "EUR", "year"), "USD 50,000 to 60,000": (50_000, 60_000, "USD", None),
+        "base USD $124,000.00 - USD $329,200.00 /Yr.": (124_000, 329_200, "USD", "year"), "8-10 years, 26.25 - 29.75 USD hourly": (26, 30, "USD", "hour"), "$121, 720 - $143,200k": (121_720, 143_200, "USD", None),
+        "**Salary Minimum**\n\n$92,000.00\n\n**Salary Maximum**\n\n$120,750.00\n\nmore": (92_000, 120_750, "USD", None), "Pay Range Minimum: USD 25.50 per hour. Pay Range Maximum: USD 32.00 per hour.": (26, 32, "USD", "hour"),
+        "Minimum Salary: £40,000\nMaximum Salary: £52,000": (40_000, 52_000, "GBP", None), "Base pay min $85k, base pay max $110k": (85_000, 110_000, "USD", None), "Austin, TX, USA - 116,100.00 USD Annually": (116_100, 116_100, "USD", "year"),
     }
-    for k, v in cases.items():
-        if k != "$120-150k":
-            assert html.salary(k) == v, k
+    nothing = ["$5 - $9,000,000", "no figure", None, "", "we raised $5 in 2020", "We need 8-10 years of experience", "Minimum of 3 years of experience. Maximum 10 direct reports.", "Minimum order $50. Maximum order $500.", "Salary Minimum: $92,000", "$0 - $0", "4 per year"]
+    assert {k: pay.salary(k) for k in cases} == cases
+    assert {pay.salary(k) for k in nothing} == {(None, None, None, None)}
+    for unit in ("$1 - ", "minimum pay ", "USD ", "9", "1,000,", "$ 1, 000 ", "max salary $5 "):
+        began = time.monotonic()
+        pay.salary(unit * (500_000 // len(unit)))
+        assert time.monotonic() - began < 20, unit
 
 
 def test_completeness(spark):
