@@ -28,6 +28,8 @@ CERTAIN = 0.5
 SUPPORT = 3
 #: Learnt terms, or texts' words, up to which they are broadcast, and the parts that copies of one text are dealt to when it gets its terms.
 BROADCAST, SALTS = 50_000, 16
+#: Terms up to which their hashes are broadcast (8 MB).
+HASHES = 1_000_000
 
 LOCAL = "[A-Za-z0-9._%+-]"
 # The look-behinds start matches where runs of the leading class start (or the last match ended), as the plain
@@ -112,21 +114,14 @@ def _told(docs: DataFrame, texts: DataFrame, classes: DataFrame, text_col: str,
     """(entity, term, share) for one entity of each class."""
     leads = classes.where(F.col("entity") == F.col("of")).select("entity", "n_e")
     often = texts.select("h", F.explode("entities").alias("entity")).join(leads.select("entity"), "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("of"))
-    # Words first, by how many texts have them, so that only those that can reach the support meet a text's entities.
-    known = checkpoint(texts.join(often, "h").select("copies", "of", "words"))
-    word = known.select("copies", "of", F.explode("words").alias("term"))
-    common = checkpoint(word.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("term"))
-    kept = word.join(F.broadcast(common) if _few(common) else common, "term", "left_semi")
+    # Where the words that can reach the support are few enough to be at hand, only those meet a text's entities.
+    common = checkpoint(texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= support).select("term"))
+    kept = _among(texts.join(often, "h").select("copies", "of", F.explode("words").alias("term")), common)
     pair = kept.select("copies", "term", F.explode("of").alias("entity"))
     pairs = checkpoint(pair.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support))
     asked = checkpoint(pairs.select("term").distinct())
-    words = docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term"))
-    few = _few(asked)  # then the words are told apart before they are counted, else after
-    if few:
-        words = words.join(F.broadcast(asked), "term", "left_semi")
+    words = _among(docs.select(F.explode(_words(F.col(text_col).cast("string"))).alias("term")), asked)
     terms = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    if not few:
-        terms = terms.join(asked, "term", "left_semi")
     n = F.lit(max(2, docs.count()))
     counted = pairs.join(terms, "term").join(leads, "entity")
     before = F.col("n_e") / n
@@ -146,8 +141,20 @@ def disclosing(docs: DataFrame, texts: DataFrame, text_col: str = "text", suppor
     return told.withColumnRenamed("entity", "of").join(classes.select("entity", "of"), "of").select("entity", "term", "share")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST + 1).count() <= BROADCAST
+def _few(df: DataFrame, most: int | None = None) -> bool:
+    most = BROADCAST if most is None else most
+    return df.limit(most + 1).count() <= most
+
+
+def _among(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """`words` without most of those whose `term` isn't among `terms`, told by broadcast hashes, which are of one size whatever the terms.
+
+    A word may stay that only shares its hash; nothing that is wanted goes. Where there are too many terms all stay.
+    """
+    if not _few(terms, HASHES):
+        return words
+    hashes = terms.select(F.xxhash64("term").alias("_t")).distinct()
+    return words.withColumn("_t", F.xxhash64("term")).join(F.broadcast(hashes), "_t", "left_semi").drop("_t")
 
 
 def _table(terms: Column) -> Column:
