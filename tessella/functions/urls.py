@@ -21,6 +21,16 @@ def domain_of(url: Column) -> Column:
     return F.lower(_part(url, 2))
 
 
+def host_of(url: Column) -> Column:
+    """Host without user, port and a dot at its end, lower case; null where a URL has none."""
+    bare = F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]*)", 1)
+    return F.nullif(F.regexp_replace(F.lower(bare), r"\.+$", ""), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+
+
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, no trailing slash but the root's, no tracking parameters, the others sorted, no fragment.
 

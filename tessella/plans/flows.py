@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, claims
+from ..functions import pay, urls
+from ..operators import alerts, claims, hosts, publish
 from ..sources.tables import postings, table
 from .catalogue import POSTINGS, query
 
@@ -92,3 +93,107 @@ def scan_claims(spark, sf_dir):
 @query("sources_waiting", f"WITH {_QUEUE} SELECT source, cap, official FROM boards WHERE source IN (SELECT source FROM queue WHERE status = 'pending')")
 def sources_waiting(spark, sf_dir):
     return claims.waiting(_queue(spark, sf_dir), _boards(spark, sf_dir))
+
+
+# Fixed rules of the queries: suffixes that nobody can register, and boards by URL.
+SUFFIXES = ("com", "org", "*.example.net", "!m.example.net", "!thther.example.net", "example.org", "net", "*.nowhere")
+BOARDS = [
+    {"priority": 1, "kind": "farm", "host": "spam-farm.example.org", "key": "path:1"},
+    {"priority": 2, "kind": "blog", "host": "example.net", "key": "label", "path": "^/en/"},
+    {"priority": 3, "kind": "shop", "host": "example.com", "key": "page"},
+    {"priority": 4, "kind": "site", "host": "example.com", "key": "label"},
+    {"priority": 5, "kind": "page", "host": "", "key": "path:2", "path": r"\.html$"},
+]
+_HOSTS = r"hosts AS (SELECT DISTINCT url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)"
+
+
+@query("registrable_domains", f"""
+WITH {_HOSTS},
+rules AS (SELECT ltrim(rule, '*!.') AS suffix, CASE WHEN rule LIKE '!%' THEN -1 WHEN rule LIKE '*%' THEN 1 ELSE 0 END AS extra FROM (VALUES {", ".join(f"('{s}')" for s in SUFFIXES)}) AS t(rule)),
+labels AS (SELECT DISTINCT host, string_split(host, '.') AS l FROM hosts),
+tails AS (SELECT host, l, i, array_to_string(l[i:], '.') AS suffix, len(l) - i + 1 AS size FROM labels, unnest(range(1, len(l) + 1)) AS t(i)),
+met AS (SELECT host, l, extra, size + extra AS n FROM tails JOIN rules USING (suffix) WHERE extra <> 1 OR size < len(l)),
+best AS (SELECT host, l, coalesce(max(n) FILTER (extra = -1), max(n)) AS n FROM met GROUP BY 1, 2)
+SELECT url, CASE WHEN len(l) > n THEN array_to_string(l[len(l) - n:], '.') END AS domain FROM hosts LEFT JOIN best USING (host)""")
+def registrable_domains(spark, sf_dir):
+    rules = spark.createDataFrame([(s,) for s in SUFFIXES], "rule string")
+    return hosts.registrable(table(spark, sf_dir, "pages"), rules)
+
+
+@query("routed_urls", rf"""
+WITH {_HOSTS},
+r AS (SELECT url, CASE WHEN host = 'spam-farm.example.org' OR host LIKE '%.spam-farm.example.org' THEN nullif(string_split(ltrim(path, '/'), '/')[1], '') END AS farm,
+    CASE WHEN host LIKE '%.example.net' AND path LIKE '/en/%' THEN regexp_extract(host, '([^.]+)\.example\.net$', 1) END AS blog, CASE WHEN host LIKE '%example.com' THEN nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') END AS shop,
+    CASE WHEN host LIKE '%.example.com' THEN regexp_extract(host, '([^.]+)\.example\.com$', 1) END AS site, CASE WHEN path LIKE '%.html' THEN nullif(string_split(ltrim(path, '/'), '/')[2], '') END AS page FROM hosts)
+SELECT url, CASE WHEN farm IS NOT NULL THEN 'farm' WHEN blog IS NOT NULL THEN 'blog' WHEN shop IS NOT NULL THEN 'shop' WHEN site IS NOT NULL THEN 'site' WHEN page IS NOT NULL THEN 'page' END AS kind, coalesce(farm, blog, shop, site, page) AS board FROM r""")
+def routed_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("url").distinct().withColumn("to", hosts.route(F.col("url"), BOARDS)).select("url", "to.kind", "to.board")
+
+
+_TODAY = "2024-03-01"
+_DIGEST = lambda *cs: "substr(sha256(" + " || ',' || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in cs) + "), 1, 12)"
+_MANIFEST = f"""
+live AS (SELECT page_id, url, html, page_id // 40 AS shard, {_DIGEST("url", "html")} AS digest FROM pages WHERE page_id % 11 <> 0),
+former AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN html || ' edited' ELSE html END AS html, page_id // 40 AS shard, DATE '2024-01-01' + CAST(page_id % 50 AS INTEGER) AS date FROM pages WHERE page_id % 7 <> 0 AND page_id // 40 <> 2)"""
+
+
+def _former(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    page = F.when(k % 5 == 0, F.concat("html", F.lit(" edited"))).otherwise(F.col("html")).alias("html")
+    rows = table(spark, sf_dir, "pages").where((k % 7 != 0) & (F.floor(k / 40) != 2))
+    return rows.select("page_id", "url", page, F.floor(k / 40).alias("shard"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 50).cast("int")).alias("date"))
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(F.col("page_id") % 11 != 0).withColumn("shard", F.floor(F.col("page_id") / 40))
+
+
+@query("page_manifest", f"""
+WITH {_MANIFEST}, was AS (SELECT page_id, {_DIGEST("url", "html")} AS digest, date FROM former)
+SELECT coalesce(l.page_id, w.page_id) AS page_id, coalesce(l.digest, w.digest) AS digest, CASE WHEN l.page_id IS NULL OR l.digest = w.digest THEN w.date ELSE DATE '{_TODAY}' END AS date,
+  CASE WHEN l.page_id IS NULL THEN 'gone' WHEN w.page_id IS NULL THEN 'new' WHEN l.digest = w.digest THEN 'same' ELSE 'changed' END AS status FROM live l FULL JOIN was w ON l.page_id = w.page_id""")
+def page_manifest(spark, sf_dir):
+    told = publish.digest(F.col("url"), F.col("html")).alias("digest")
+    return publish.manifest(_live(spark, sf_dir).select("page_id", told), _former(spark, sf_dir).select("page_id", told, "date"), "page_id", _TODAY)
+
+
+@query("shard_manifest", f"""
+WITH {_MANIFEST}, a AS (SELECT shard, string_agg(digest, '' ORDER BY url, page_id) AS x FROM live GROUP BY 1), b AS (SELECT shard, string_agg(digest, '' ORDER BY url, page_id) AS x, max(date) AS date FROM (SELECT *, {_DIGEST("url", "html")} AS digest FROM former) GROUP BY 1),
+n AS (SELECT shard, {_DIGEST("x")} AS digest FROM a), w AS (SELECT shard, {_DIGEST("x")} AS digest, date FROM b)
+SELECT coalesce(n.shard, w.shard) AS shard, coalesce(n.digest, w.digest) AS digest, CASE WHEN n.shard IS NULL OR n.digest = w.digest THEN w.date ELSE DATE '{_TODAY}' END AS date,
+  CASE WHEN n.shard IS NULL THEN 'gone' WHEN w.shard IS NULL THEN 'new' WHEN n.digest = w.digest THEN 'same' ELSE 'changed' END AS status FROM n FULL JOIN w ON n.shard = w.shard""")
+def shard_manifest(spark, sf_dir):
+    former = _former(spark, sf_dir)
+    order, content = ["url", "page_id"], ["url", "html"]
+    was = publish.shard_digests(former, "shard", order, content).join(former.groupBy("shard").agg(F.max("date").alias("date")), "shard")
+    return publish.manifest(publish.shard_digests(_live(spark, sf_dir), "shard", order, content), was, "shard", _TODAY)
+
+
+@query("invalidated_paths", f"""
+WITH {_MANIFEST}, was AS (SELECT page_id, url, {_DIGEST("url", "html")} AS digest FROM former), p AS (SELECT regexp_extract(coalesce(l.url, w.url), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM live l FULL JOIN was w ON l.page_id = w.page_id WHERE l.digest IS DISTINCT FROM w.digest)
+SELECT DISTINCT CASE WHEN path LIKE '/en/%' THEN '/en/*' WHEN path LIKE '/es/%' THEN '/es/*' ELSE path END AS path FROM p""")
+def invalidated_paths(spark, sf_dir):
+    told = page_manifest(spark, sf_dir).where("status <> 'same'").select("page_id")
+    known = table(spark, sf_dir, "pages").join(told, "page_id", "left_semi").select(urls.path_of(F.col("url")).alias("path"))
+    return publish.families(known, "path", ["/en/", "/es/"])
+
+
+_OFFERS = """
+offers AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice / 10) AS BIGINT) + 20000 AS low, o_orderkey % 6 AS form FROM orders)"""
+
+
+@query("salaries_in_prose", f"""
+WITH {_OFFERS}
+SELECT id, CASE form WHEN 5 THEN NULL WHEN 3 THEN floor(low / 1000) * 1000 ELSE low END::DOUBLE AS salary_min, CASE form WHEN 5 THEN NULL WHEN 2 THEN low WHEN 3 THEN floor(low / 1000) * 1000 + 9000 ELSE low + 5000 END::DOUBLE AS salary_max,
+  CASE form WHEN 5 THEN NULL WHEN 1 THEN 'EUR' WHEN 4 THEN 'GBP' ELSE 'USD' END AS salary_currency, CASE form WHEN 0 THEN 'year' WHEN 2 THEN 'year' END AS salary_period FROM offers""")
+def salaries_in_prose(spark, sf_dir):
+    low, k = F.floor(F.col("o_totalprice") / 10) + 20_000, F.col("o_orderkey")
+    text = lambda x: F.format_number(x, 0)
+    short = F.floor(low / 1000)
+    forms = F.array(
+        F.concat(F.lit("We ask for 3-5 years of work. Base $"), text(low), F.lit(" - $"), text(low + 5000), F.lit(" per year, 401 plan")), F.concat(F.lit("between EUR "), low.cast("string"), F.lit(" and "), (low + 5000).cast("string")),
+        F.concat(text(low), F.lit(".00 USD Annually")), F.concat(F.lit("pay of $"), short.cast("string"), F.lit("-"), (short + 9).cast("string"), F.lit("k")),
+        F.concat(F.lit("**Minimum salary**\n\n£"), text(low), F.lit("\n\n**Maximum salary**\n\n£"), text(low + 5000)), F.concat(F.lit("Room for "), low.cast("string"), F.lit(" to "), (low + 5000).cast("string"), F.lit(" people")),
+    )
+    said = table(spark, sf_dir, "orders").select(k.alias("id"), pay.salary_from_text(F.get(forms, (k % 6).cast("int"))).alias("s"))
+    return said.select("id", "s.*")
