@@ -74,9 +74,12 @@ def presence(registry: DataFrame, listed: DataFrame, as_of: str, gap_hours: floa
     again = missed & F.coalesce(F.col("missing_since") <= now - hours(gap_hours), F.lit(False))
     per = df.groupBy("source").agg(F.count_if(open_).alias("open"), F.count_if(F.col("closed_at") >= now - hours(24)).alias("recent"))
     df = df.join(per, "source").withColumn("again", again)
-    order = Window.partitionBy("source").orderBy(F.desc("again"), "missing_since", "url")
+    # Only what was missed again is ranked, a small share of a board, and joined back.
+    order = Window.partitionBy("source").orderBy("missing_since", "url")
     limit = F.greatest(F.lit(CLOSE_LEAST), F.floor((F.col("open") + F.col("recent")) * CLOSE_SHARE)) - F.col("recent")
-    closes = F.col("again") & (F.row_number().over(order) <= F.greatest(F.lit(0), limit))
+    due = df.where("again").select("source", "url", limit.alias("limit"), F.row_number().over(order).alias("r")).where("r <= limit")
+    df = df.join(due.select("source", "url", F.lit(True).alias("_due")), ["source", "url"], "left")
+    closes = F.coalesce("_due", F.lit(False))
     stamp = F.col("last_seen_at").isNull() | (F.col("last_seen_at") < now - hours(refresh_hours)) | F.col("missing_since").isNotNull() | ~open_
     return df.withColumn("closes", closes).select(
         "source", "url",

@@ -126,11 +126,14 @@ def transition(status: Column, total: Column, issues: Column) -> Column:
 
 def sections(jobs: DataFrame, section: str, group: str, newest: list[Column], k: int, least: int) -> DataFrame:
     """(section, group, group_size, group_rank, rank, id): groups of at least `least`, largest first, with their k newest jobs."""
-    size = F.count("*").over(Window.partitionBy(section, group))
+    # Sizes are counted apart, so that no group is held whole and ranks are cut before the shuffle.
+    sizes = jobs.groupBy(section, group).agg(F.count("*").alias("group_size")).where(F.col("group_size") >= least)
+    order = F.row_number().over(Window.partitionBy(section).orderBy(F.desc("group_size"), F.asc(group)))
+    ranked = sizes.withColumn("group_rank", order).withColumnsRenamed({section: "_section", group: "_group"})
     rank = F.row_number().over(Window.partitionBy(section, group).orderBy(*newest))
-    few = jobs.withColumn("group_size", size).withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("group_size") >= least))
-    order = F.dense_rank().over(Window.partitionBy(section).orderBy(F.desc("group_size"), F.col(group)))
-    return few.withColumn("group_rank", order).select(section, group, "group_size", "group_rank", "rank", "id")
+    few = jobs.withColumn("rank", rank).where(F.col("rank") <= k)
+    same = F.col(section).eqNullSafe(F.col("_section")) & F.col(group).eqNullSafe(F.col("_group"))
+    return few.join(ranked, same).select(section, group, "group_size", "group_rank", "rank", "id")
 
 
 def mode_and_share(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -151,12 +154,14 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def stratified(df: DataFrame, stratum: str, id_col: str, limit: int, cap: int, seed: str) -> DataFrame:
     """At most `limit` rows: of each stratum its share, at least one and at most `cap`, topped up from the rest.
 
-    The order is that of SHA-256 over seed and id, so a sample can be drawn again anywhere.
+    The order is that of SHA-256 over seed and id, so a sample can be drawn again anywhere. Rows without a stratum are one of their own.
+    No stratum is sorted whole: ranks beyond the limit, which no sample has, are cut before the shuffle.
     """
     h = F.sha2(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary"), 256)
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
     total = df.agg(F.count("*").alias("total"))
     quota = F.least(F.lit(cap), F.greatest(F.lit(1), F.ceil(limit * F.col("size") / F.col("total")))).cast("int")
-    ranked = df.withColumn("h", h).withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("h", id_col)))
-    picked = ranked.join(F.broadcast(total)).join(sizes, stratum).withColumn("extra", (F.col("r") > quota).cast("int"))
+    ranked = df.withColumn("h", h).withColumn("r", F.row_number().over(Window.partitionBy(stratum).orderBy("h", id_col))).where(F.col("r") <= limit)
+    of = sizes.join(F.broadcast(total)).select(F.col(stratum).alias("_of"), quota.alias("_quota"))
+    picked = ranked.join(of, F.col(stratum).eqNullSafe(F.col("_of"))).withColumn("extra", (F.col("r") > F.col("_quota")).cast("int"))
     return picked.orderBy("extra", "h", id_col).limit(limit).select(*df.columns)

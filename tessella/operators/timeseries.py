@@ -33,7 +33,7 @@ def zero_filled(df: DataFrame, col: str, values: list[str]) -> DataFrame:
     """(value, n) for each value of an enumeration, in its order, with 0 for absent ones."""
     known = df.sparkSession.createDataFrame([(v,) for v in values], "value string")
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    return F.broadcast(known).join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return known.join(F.broadcast(counts.where(F.col("value").isin(values))), "value", "left").select("value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def returning_users(df: DataFrame, user: str, ts: str, unit: str, start: str, end: str, zone: str = "UTC") -> DataFrame:
