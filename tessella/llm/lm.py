@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney language model, counted in Spark and memory-mapped by workers.
-
-Tokens are 64-bit hashes of words. Tasks count the bigrams of their texts and hand on packed, sorted runs, one for
-each range of the bigram hash; ranges are even whatever the words are, so no word or word pair is one task's. Each
-range is merged and stored as sorted hash arrays (bigram, count); what a word is as a context (its total, and
-its followers seen once, twice, more often) and as a continuation (its distinct predecessors) adds up in a second
-exchange by word. Workers map both stores and look up the distinct words and bigrams of a block of texts.
+"""Interpolated modified Kneser-Ney language model of any order, counted in Spark and memory-mapped by workers.
+
+Tokens are 64-bit hashes of words. Tasks count the n-grams of their texts and hand on packed, sorted runs, one for
+each range of the n-gram's hash; ranges are even whatever the words are, so no word or word pair is one task's. Each
+range is merged and stored as sorted hash arrays; what each n-gram tells of the next shorter ones goes on to another exchange, by their
+hashes: of its beginning, as a context (its total, and its followers seen once, twice, more often), and of its end, as a
+continuation (its distinct predecessors, which are the counts of all orders but the highest). Workers map the stores of all
+orders and look up the distinct n-grams of a block of texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 RUN = 3_000_000
 #: Tokens that are scored at once.
 BLOCK = 400_000
-WORD_COLUMNS = ["uses", "once", "twice", "often", "before"]
+#: Words of an n-gram, and bits of its hash that deal n-grams to ranges, at most.
+ORDER, MOST_BITS = 2, 20
+#: A discount is this at least, so that no word's probability is nothing.
+LEAST = 0.01
+#: What is kept of an n-gram below the highest order: as a context its total and its followers seen once, twice, more often;
+#: its distinct predecessors; how often its last word was seen, however preceded.
+FIELDS = ("uses", "once", "twice", "often", "before", "raw")
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -39,6 +46,14 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def chain(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams; that of a single word is its own."""
+    out = words[0]
+    for w in words[1:]:
+        out = pair_hash(out, w)
+    return out
+
+
 def pack(arrays: list[np.ndarray]) -> bytes:
     return zstd.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
@@ -51,32 +66,40 @@ def unpack(blob: bytes, n: list[int], dtypes: list[str]) -> list[np.ndarray]:
     return out
 
 
-def sum_by(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(distinct keys ascending, sums of each value array)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], [np.add.reduceat(v[order], first) if len(keys) else v for v in values]
+def summed(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(hashes ascending, words, sums of the values) of the distinct n-grams."""
+    g = chain(words)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
+    return g[first], [w[order[first]] for w in words], [np.add.reduceat(v[order], first) if len(g) else v for v in values]
 
 
-def runs(pairs: tuple[np.ndarray, np.ndarray], bits: int):
-    """(shard, n, blob) of a run's bigrams, counted. A blob has its own list of words, to which the bigrams refer."""
-    ctx, word = pairs
-    g = pair_hash(ctx, word)
-    order = np.argsort(g)
-    g = g[order]
-    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    count = np.diff(np.append(first, len(g))).astype("<u4")
-    ctx, word, g = ctx[order[first]], word[order[first]], g[first]
+def ranges(g: np.ndarray, words: list[np.ndarray], values: list[np.ndarray], bits: int):
+    """(shard, n, names, kind, blob) of n-grams by ascending hash. A blob of pairs and longer ones has its own list of words, to which they refer."""
     edges = np.searchsorted(g >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for k in np.flatnonzero(np.diff(edges)):
-        lo, hi = edges[k], edges[k + 1]
-        names, refs = np.unique(np.concatenate((ctx[lo:hi], word[lo:hi])), return_inverse=True)
-        n = hi - lo
-        a, b = refs[:n], refs[n:]
-        order = np.lexsort((b, a))  # ascending contexts, whose steps pack into almost nothing
-        kind = ref_type(len(names))
-        yield int(k), int(n), len(names), pack([names, np.diff(a[order], prepend=0).astype(kind), b[order].astype(kind), count[lo:hi][order]])
+        own, held = [w[edges[k] : edges[k + 1]] for w in words], [v[edges[k] : edges[k + 1]] for v in values]
+        kind, n = narrow(held), len(own[0])
+        if len(words) == 1:
+            yield int(k), n, 0, kind, pack([own[0], *(v.astype(kind) for v in held)])
+            continue
+        names, refs = np.unique(np.concatenate(own), return_inverse=True)
+        refs = refs.reshape(len(words), n)
+        order = np.lexsort(refs[::-1])  # ascending first words, whose steps pack into almost nothing
+        ref = ref_type(len(names))
+        yield int(k), n, len(names), kind, pack([names, np.diff(refs[0][order], prepend=0).astype(ref), *(r[order].astype(ref) for r in refs[1:]), *(v[order].astype(kind) for v in held)])
+
+
+def opened(r: dict, length: int, fields: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(words, values) of a row of `ranges`."""
+    n, kinds = r["n"], [r["kind"]] * fields
+    if length == 1:
+        first, *rest = unpack(r["blob"], [n] * (1 + fields), ["<u8", *kinds])
+        return [first], rest
+    names, *rest = unpack(r["blob"], [r["m"], *[n] * (length + fields)], ["<u8", *[ref_type(r["m"])] * length, *kinds])
+    refs = [np.cumsum(rest[0], dtype=np.int64), *rest[1:length]]
+    return [names[x] for x in refs], rest[length:]
 
 
 def narrow(arrays: list[np.ndarray]) -> str:
@@ -103,49 +126,58 @@ class Discounts:
         if min(t[:3]) <= 0:  # too little text for the estimate
             return cls([0.0, 0.5, 1.0, 1.5])
         y = t[0] / (t[0] + 2 * t[1])
-        return cls([0.0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.0), float(k)) for k in (1, 2, 3))])
+        return cls([0.0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], LEAST), float(k)) for k in (1, 2, 3))])
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
         return np.array(self.by_count)[np.minimum(c, 3)]
 
 
+def contexts(h: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words 1, 2, ... order - 1 places before each token; before a text there are beginnings."""
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    out = []
+    for j in range(1, order):
+        w = np.full_like(h, BEGIN)
+        far = place >= j
+        w[far] = h[np.flatnonzero(far) - j]
+        out.append(w)
+    return out
+
+
 @dataclass
 class Model:
-    """A trained model: two stores and a few sums. `total` counts all training tokens, `types` the distinct ones."""
+    """A trained model: a store for each length of n-grams and a few sums. `total` counts all training tokens, `types` the distinct
+    ones, `kinds` the distinct pairs that the lowest order counts."""
 
-    words: HashStore
-    bigrams: HashStore
-    documents: int
+    stores: list[HashStore]
+    discounts: list[Discounts]
     total: int
     types: int
     kinds: int
-    upper: Discounts
-    lower: Discounts
     lower_rest: float
 
+    @property
+    def order(self) -> int:
+        return len(self.stores)
+
     def score(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log10 probability, training count) of each token, given all texts' tokens in order and where texts start."""
-        ctx = np.empty_like(h)
-        ctx[1:] = h[:-1]
-        ctx[starts] = BEGIN
-        names, at = np.unique(np.concatenate((h, [BEGIN])), return_inverse=True)
-        _, (uses, once, twice, often, before) = self.words.lookup(names)
-        uses = np.where(names == END, 0, uses)
-        count = np.where(names == END, self.documents, uses)
-        word = at[:-1]
-        left = np.empty_like(word)
-        left[1:] = word[:-1]
-        left[starts] = at[-1]
-        g, back = np.unique(pair_hash(ctx, h), return_inverse=True)
-        _, (c,) = self.bigrams.lookup(g)
-        c = c[back].astype(np.int64)
-        b = before.astype(np.int64)
-        base = 1.0 / (self.types + 1)
-        low = np.maximum(b - self.lower(b), 0.0) / self.kinds + self.lower_rest * base if self.kinds else np.full(len(names), base)
-        d = self.upper.by_count
-        rest = np.where(uses > 0, (d[1] * once + d[2] * twice + d[3] * often) / np.maximum(uses, 1), 1.0)
-        p = np.maximum(c - self.upper(c), 0.0) / np.maximum(uses[left], 1) + rest[left] * low[word]
-        return np.log10(p), count[word]
+        names, word = np.unique(h, return_inverse=True)
+        _, (_, _, _, _, before, raw) = self.stores[0].lookup(names)
+        b, base = before.astype(np.int64), 1.0 / (self.types + 1)
+        low = np.maximum(b - self.discounts[0](b), 0.0) / self.kinds + self.lower_rest * base if self.kinds else np.full(len(names), base)
+        p, back = low[word], contexts(h, starts, self.order)
+        for k in range(2, self.order + 1):
+            ctx = chain(back[k - 2 :: -1])
+            distinct, at = np.unique(ctx, return_inverse=True)
+            _, (uses, once, twice, often, *_) = self.stores[k - 2].lookup(distinct)
+            uses, d = uses.astype(np.int64), self.discounts[k - 1].by_count
+            rest = np.where(uses > 0, (d[1] * once + d[2] * twice + d[3] * often) / np.maximum(uses, 1), 1.0)
+            grams, of = np.unique(pair_hash(ctx, h), return_inverse=True)
+            _, values = self.stores[k - 1].lookup(grams)
+            c = values[0 if k == self.order else 4].astype(np.int64)
+            p = (np.maximum(c - self.discounts[k - 1](c), 0.0))[of] / np.maximum(uses, 1)[at] + rest[at] * p
+        return np.log10(p), raw.astype(np.int64)[word]
 
 
 def hashes(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,28 +206,37 @@ def text_blocks(batch: list[bytes], size: int = 6 * BLOCK):
         yield lo, len(batch)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count a bigram model over every whole text. Null counts as empty, which is one end; no rows give a uniform model."""
+ROW = "shard int, level int, n int, m int, kind string, blob binary, size long, seen array<long>, thrice long, wide boolean, raw long, kinds long"
+
+
+def _row(shard: int, n: int, m: int, kind: str, blob: bytes) -> dict:
+    return {"shard": shard, "level": 0, "n": n, "m": m, "kind": kind, "blob": blob}
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Count a model of n-grams of up to `order` words over every whole text. Null counts as empty, which is one end; no rows
+    give a uniform model."""
+    if order < 2:
+        raise ValueError("an order of two at least")
     spark = docs.sparkSession
     df = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits = max(4, min(18, (2 * df.rdd.getNumPartitions() - 1).bit_length()))
-    pairs_at, words_at = shared_dir(spark), shared_dir(spark)
+    bits = max(4, min(MOST_BITS, (2 * df.rdd.getNumPartitions() - 1).bit_length()))
+    at = [shared_dir(spark) for _ in range(order)]
+    schema = row_schema()
 
     def count(batches):
         held, size = [], 0
 
         def out():
-            for k, n, m, blob in runs(tuple(np.concatenate(x) for x in zip(*held, strict=True)), bits):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([m], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "n", "m", "blob"])
+            words = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for made in ranges(*summed(words, [np.ones(len(words[0]), np.int64)]), bits):
+                yield pa.RecordBatch.from_pylist([_row(*made)], schema)
 
         for b in batches:
             whole = texts(b.column(0))
             for lo, hi in text_blocks(whole):
                 h, starts = hashes(whole[lo:hi])
-                ctx = np.empty_like(h)
-                ctx[1:] = h[:-1]
-                ctx[starts] = BEGIN
-                held.append((ctx, h))
+                held.append((*contexts(h, starts, order)[::-1], h))
                 size += len(h)
                 if size >= RUN:
                     yield from out()
@@ -203,69 +244,58 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         if held:
             yield from out()
 
-    def merge(t: pa.Table) -> pa.Table:
-        k = t.column("shard")[0].as_py()
-        ctx, word, count_ = [], [], []
-        for r in t.select(["n", "m", "blob"]).to_pylist():
-            names, a, b, c = unpack(r["blob"], [r["m"], r["n"], r["n"], r["n"]], ["<u8", *[ref_type(r["m"])] * 2, "<u4"])
-            ctx.append(names[np.cumsum(a, dtype=np.int64)])
-            word.append(names[b])
-            count_.append(c)
-        ctx, word, c = (np.concatenate(x) for x in (ctx, word, count_))
-        g = pair_hash(ctx, word)
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        c = np.add.reduceat(c[order].astype(np.int64), first)
-        ctx, word, g = ctx[order[first]], word[order[first]], g[first]
-        write_shard(pairs_at, k, g, [c.astype(narrow([c]))])
-        zero, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
-        h, sums = sum_by(np.concatenate((ctx, word)), [np.concatenate(x) for x in ((c, zero), (c == 1, zero), (c == 2, zero), (c > 2, zero), (zero, one))])
-        edges = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        at = np.flatnonzero(np.diff(edges))
-        kind = narrow(sums)
-        blobs = [pack([h[edges[i] : edges[i + 1]], *(s[edges[i] : edges[i + 1]].astype(kind) for s in sums)]) for i in at]
-        of = _sum_of_counts(c)
-        return pa.table({
-            "shard": pa.array(at, pa.int32()), "n": pa.array(np.diff(edges)[at], pa.int32()), "blob": pa.array(blobs, pa.binary()), "of_shard": pa.array([k] * len(at), pa.int32()), "kind": pa.array([kind] * len(at)),
-            # The shard's own sums go along with its first row only.
-            "pairs": pa.array([len(g), *[None] * (len(at) - 1)], pa.int64()), "wide": pa.array([narrow([c]) == "<i8", *[None] * (len(at) - 1)], pa.bool_()), "seen": pa.array([of, *[None] * (len(at) - 1)], pa.list_(pa.int64())),
-        })
-
-    def merge_words(t: pa.Table) -> pa.Table:
-        k = t.column("shard")[0].as_py()
-        rows = [unpack(r["blob"], [r["n"]] * 6, ["<u8"] + [r["kind"]] * 5) for r in t.select(["n", "blob", "kind"]).to_pylist()]
-        h, (uses, once, twice, often, before) = sum_by(np.concatenate([r[0] for r in rows]), [np.concatenate([r[i] for r in rows]).astype(np.int64) for i in range(1, 6)])
-        kind = narrow([once, twice, often, before])
-        write_shard(words_at, k, h, [uses.astype("<i8"), *(x.astype(kind) for x in (once, twice, often, before))])
-        begin = int(uses[h == BEGIN].sum())
-        sizes = {r["of_shard"]: (r["pairs"], r["seen"], r["wide"]) for r in t.select(["of_shard", "pairs", "seen", "wide"]).to_pylist() if r["pairs"] is not None}
-        return pa.table({
-            "shard": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64()), "uses": pa.array([int(uses.sum()) - begin]), "documents": pa.array([begin]), "types": pa.array([int((before > 0).sum())]),
-            "kinds": pa.array([int(before.sum())]), "seen": pa.array([_sum_of_counts(before)], pa.list_(pa.int64())), "thrice": pa.array([int((before > 2).sum())]),
-            "of": pa.array([list(sizes)], pa.list_(pa.int32())), "pairs": pa.array([[a for a, _, _ in sizes.values()]], pa.list_(pa.int64())), "pair_seen": pa.array([[b for _, b, _ in sizes.values()]], pa.list_(pa.list_(pa.int64()))),
-            "wide": pa.array([kind == "<i8"]), "wide_pairs": pa.array([[i for i, x in sizes.items() if x[2]]], pa.list_(pa.int32())),
-        })
-
-    counted = df.mapInArrow(released(count), "shard int, n int, m int, blob binary")
-    by_word = counted.groupBy("shard").applyInArrow(merge, "shard int, n int, blob binary, of_shard int, kind string, pairs long, wide boolean, seen array<long>")
-    kinds = "shard int, n long, uses long, documents long, types long, kinds long, seen array<long>, thrice long, of array<int>, pairs array<long>, pair_seen array<array<long>>, wide boolean, wide_pairs array<int>"
-    rows = by_word.groupBy("shard").applyInArrow(merge_words, kinds).collect()  # a row for each shard, with the shards' sizes
-    pair_sizes = {k: (n, s) for r in rows for k, n, s in zip(r["of"], r["pairs"], r["pair_seen"], strict=True)}
-    total = lambda name: sum(r[name] for r in rows)
-    documents, kinds_ = total("documents"), total("kinds")
-    lower_seen = [sum(r["seen"][i] for r in rows) for i in range(4)]
-    lower = Discounts.of(lower_seen)
-    d = lower.by_count
+    def merge(length: int):
+        """Merges the n-grams of a length and a range, stores them, and hands on what they tell of shorter ones."""
+        top = length == order
+
+        def run(t: pa.Table) -> pa.Table:
+            k, rows = t.column("shard")[0].as_py(), t.to_pylist()
+            out = [r for r in rows if r["level"]]  # the sums of ranges that were merged before
+            parts = [opened(r, length, 1 if top else len(FIELDS)) for r in rows if not r["level"]]
+            if not parts:
+                return pa.Table.from_pylist(out, schema)
+            words = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)]
+            values = [np.concatenate(x).astype(np.int64) for x in zip(*(p[1] for p in parts), strict=True)]
+            del parts, rows
+            g, words, values = summed(words, values)
+            kind = narrow(values)
+            write_shard(at[length - 1], k, g, [v.astype(kind) for v in values])
+            c, raw = values[0 if top else 4], values[0 if top else 5]
+            sums = {"size": len(g), "seen": _sum_of_counts(c), "thrice": int((c > 2).sum()), "wide": kind == "<i8", "raw": int(raw.sum()), "kinds": int(c.sum())}
+            out.append({"shard": k, "level": length, **sums})
+            if length > 1:
+                some = c > 0
+                c, raw, words = c[some], raw[some], [w[some] for w in words]
+                zero, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+                told = [(c, zero), (c == 1, zero), (c == 2, zero), (c > 2, zero), (zero, one), (zero, raw)]
+                shorter = [np.concatenate(x) for x in zip(words[:-1], words[1:], strict=True)]
+                out += [_row(*made) for made in ranges(*summed(shorter, [np.concatenate(x).astype(np.int64) for x in told]), bits)]
+            return pa.Table.from_pylist(out, schema)
+
+        return run
+
+    rows = df.mapInArrow(released(count), ROW)
+    for length in range(order, 0, -1):
+        rows = rows.groupBy("shard").applyInArrow(merge(length), ROW)
+    of: list[list] = [[] for _ in range(order)]
+    for r in rows.select("level", "shard", "size", "seen", "thrice", "wide", "raw", "kinds").collect():  # a row for each range and length
+        of[r.level - 1].append(r)
+    seen = [[sum(r.seen[i] for r in rs) for i in range(4)] for rs in of]
+    discounts = [Discounts.of(x) for x in seen]
+    kinds, d = sum(r["kinds"] for r in of[0]), discounts[0].by_count
     return Model(
-        words=HashStore(words_at, bits, ["<i8"] + ["<u4"] * 4, {r["shard"]: r["n"] for r in rows}, frozenset(r["shard"] for r in rows if r["wide"])),
-        bigrams=HashStore(pairs_at, bits, ["<u4"], {k: n for k, (n, _) in pair_sizes.items()}, frozenset(k for r in rows for k in r["wide_pairs"])),
-        documents=documents, total=total("uses") + documents, types=total("types"), kinds=kinds_,
-        upper=Discounts.of([sum(s[i] for _, s in pair_sizes.values()) for i in range(4)]), lower=lower,
-        lower_rest=(d[1] * lower_seen[0] + d[2] * lower_seen[1] + d[3] * total("thrice")) / kinds_ if kinds_ else 1.0,
+        stores=[HashStore(at[i], bits, ["<u4"] * (1 if i == order - 1 else len(FIELDS)), {r.shard: r["size"] for r in rs}, frozenset(r.shard for r in rs if r.wide)) for i, rs in enumerate(of)],
+        discounts=discounts, total=sum(r.raw for r in of[0]), types=sum(seen[0][:2]) + sum(r.thrice for r in of[0]), kinds=kinds,
+        lower_rest=(d[1] * seen[0][0] + d[2] * seen[0][1] + d[3] * sum(r.thrice for r in of[0])) / kinds if kinds else 1.0,
     )
 
 
+def row_schema() -> pa.Schema:
+    """ROW as Arrow has it."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ROW.split(", "))])
+
+
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns in `carry`, with n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
@@ -293,11 +323,11 @@ def fold(col: str, n: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, order: int = ORDER) -> DataFrame:
     """Train on the documents outside the held fold and score all: doc_id, held_out, and the columns of `score`.
 
     Null and empty texts are one end token; a null id is hashed as the empty text; repeated rows each count and are each
     scored; an empty table gives none. Only id and text are read, so other columns can't clash.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (fold(id_col, folds) == held).alias("held_out"))
-    return score(df, train(df.where("NOT held_out")), ["doc_id", "held_out"])
+    return score(df, train(df.where("NOT held_out"), order=order), ["doc_id", "held_out"])

@@ -73,6 +73,66 @@ def test_probabilities_sum_to_one(spark):
     assert logp[0] == pytest.approx(math.log10(prob("<s>", "a"))) and logp[1] == pytest.approx(math.log10(prob("a", "zzz")))
 
 
+def brute_of_order(train: list[str], order: int):
+    """Interpolated modified Kneser-Ney of any order with plain dictionaries: (probability of a word after a history, known words)."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in train:
+        d = ["<s>"] * (order - 1) + t.lower().split() + ["</s>"]
+        grams[order].update(tuple(d[i : i + order]) for i in range(len(d) - order + 1))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def discounts(counts):
+        t = [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+        if min(t[:3]) == 0:
+            return [0, 0.5, 1.0, 1.5]
+        y = t[0] / (t[0] + 2 * t[1])
+        return [0, *(min(max(k - (k + 1) * y * t[k] / t[k - 1], 0.01), k) for k in (1, 2, 3))]
+
+    d = [None] + [discounts(g.values()) for g in grams[1:]]
+    after = [defaultdict(list) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in grams[k].items():
+            after[k][g[:-1]].append(c)
+
+    def prob(history: tuple, w: str) -> float:
+        p = 1.0 / (len(grams[1]) + 1)
+        for k in range(1, order + 1):
+            ctx = tuple(history[len(history) - k + 1 :]) if k > 1 else ()
+            counts = after[k].get(ctx)
+            if counts:
+                c = grams[k][(*ctx, w)]
+                p = max(c - d[k][min(c, 3)], 0) / sum(counts) + sum(d[k][min(x, 3)] for x in counts) / sum(counts) * p
+        return p
+
+    return prob, [g[0] for g in grams[1]]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_any_order_matches_brute_force(spark, order):
+    rng = np.random.default_rng(order)
+    make = lambda: " ".join(rng.choice(list("abcdefgh"), rng.integers(0, 12), p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05]))
+    train, texts = [make() for _ in range(300)], [make() + extra for extra in ("", " zzz a b", " a a a a") for _ in range(5)] + [""]
+    model = lm.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), order=order)
+    prob, known = brute_of_order(train, order)
+    assert model.order == order and model.types == len(known) and model.total == sum(len(t.split()) + 1 for t in train)
+    for history in (("<s>",) * (order - 1), ("a", "b", "a")[-order + 1 :], ("never", "a", "never")[-order + 1 :]):
+        assert sum(prob(history, w) for w in [*known, "unknown"]) == pytest.approx(1)
+    h, starts = lm.hashes([t.encode() for t in texts])
+    logp, count = model.score(h, starts)
+    want = []
+    for t in texts:
+        d = ["<s>"] * (order - 1) + t.split() + ["</s>"]
+        want += [math.log10(prob(tuple(d[i - order + 1 : i]), d[i])) for i in range(order - 1, len(d))]
+    assert logp == pytest.approx(want, rel=1e-9)
+
+
+def test_third_order_on_documents(documents):
+    """Held-out texts are likelier under trigrams than under the unigram base."""
+    rows = lm.score_held_out(documents, order=3).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_tricky_rows(tricky, no_documents):
     rows = lm.score_held_out(tricky).collect()
     assert len(rows) == tricky.count() and all(np.isfinite(r.score) for r in rows)
