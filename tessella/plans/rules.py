@@ -231,21 +231,17 @@ def turns_in_order(spark, sf_dir):
     return links.in_order(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
-_DATES = ["2024-03-01", "2024-02-30", "2024-03-01T23:30:00Z", "2024-03-01T23:30:00-05:00", "soon", "03/07/2024", "3-7-2024", "13/40/2024"]
-_ISO, _MDY = ["2024-03-01", None, "2024-03-01", "2024-03-02", None, None, None, None], [None, None, None, None, None, "2024-03-07", "2024-03-07", None]
+# Dates as pages write them: a day, a day that isn't one, instants with and without a zone, words, American days, numbers that are no day.
+_JAVA = ["yyyy-MM-dd", "yyyy-'02-30'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'-05:00'", "'posted in 'MMMM", "MM/dd/yyyy", "M-d-yyyy", "'13/40/'yyyy"]
 
 
-def _listed(xs: list) -> str:
-    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
-
-
-@query("parsed_dates", f"""
-SELECT event_id AS id, CAST({_listed(_ISO)}[event_id % 8 + 1] AS DATE) AS iso, CAST({_listed(_MDY)}[event_id % 8 + 1] AS DATE) AS mdy,
-  coalesce(CAST({_listed(_ISO)}[event_id % 8 + 1] AS DATE) BETWEEN DATE '2024-03-01' - 5 AND DATE '2024-03-01', false) AS recent FROM events""")
+@query("parsed_dates", """
+WITH d AS (SELECT event_id AS id, CASE WHEN event_id % 8 IN (0, 2) THEN CAST(ts AS DATE) WHEN event_id % 8 = 3 THEN CAST(ts + INTERVAL 5 hour AS DATE) END AS iso, CASE WHEN event_id % 8 IN (5, 6) THEN CAST(ts AS DATE) END AS mdy FROM events)
+SELECT *, coalesce(iso BETWEEN DATE '2024-01-15' - 5 AND DATE '2024-01-15', false) AS recent FROM d""")
 def parsed_dates(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, _DATES)), (F.col("event_id") % 8 + 1).cast("int"))
+    text = F.get(F.array(*[F.date_format("ts", f) for f in _JAVA]), (F.col("event_id") % 8).cast("int"))
     iso = times.tolerant_date(text)
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), iso.alias("iso"), times.month_day_year(text).alias("mdy"), F.coalesce(times.is_recent(iso, "2024-03-01", 6), F.lit(False)).alias("recent"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), iso.alias("iso"), times.month_day_year(text).alias("mdy"), F.coalesce(times.is_recent(iso, "2024-01-15", 6), F.lit(False)).alias("recent"))
 
 
 @query("months_before", "SELECT o_orderkey AS id, CAST(date_trunc('month', o_orderdate) - INTERVAL 14 month AS DATE) AS month FROM orders")
@@ -258,15 +254,15 @@ def jittered_intervals(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), times.jittered(F.lit(600.0), F.col("s_suppkey")).alias("minutes"))
 
 
-_PAGES = ["00123 Acme Bank NA", "12-3456789 Acme Bank", "Acme", "12 Acme", "Careers"]
-_LABELS = ["Acme (retail and home)", "lever/acme", "Acme Group", "jobs.acme.com", "Summit / CityMD"]
-_SHOWN = ["Acme", "12-3456789 Acme Bank", "Acme", "12 Acme", "Summit / CityMD"]
-
-
-@query("companies_shown", f"SELECT c_custkey AS id, {_listed(_SHOWN)}[c_custkey % 5 + 1] AS company, {_listed(['Acme Bank NA', 'Acme Bank', 'Acme', '12 Acme', 'Careers'])}[c_custkey % 5 + 1] AS bare FROM customer")
+@query("companies_shown", """
+WITH c AS (SELECT c_custkey AS id, c_custkey % 5 AS form, replace(c_name, '#', ' ') AS n FROM customer)
+SELECT id, CASE form WHEN 1 THEN '12-3456789 ' || n WHEN 3 THEN '12 ' || n WHEN 4 THEN n || ' / CityMD' ELSE n END AS company, CASE form WHEN 3 THEN '12 ' || n WHEN 4 THEN 'Careers' ELSE n END AS bare FROM c""")
 def companies_shown(spark, sf_dir):
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), names.company_shown(pick(_PAGES), pick(_LABELS)).alias("company"), names.strip_entity_code(pick(_PAGES)).alias("bare"))
+    n, k, form = F.translate("c_name", "#", " "), F.col("c_custkey"), (F.col("c_custkey") % 5).cast("int")
+    after = lambda x: F.concat(n, F.lit(x))
+    page = F.get(F.array(F.concat((k + 100).cast("string"), F.lit(" "), n), F.concat(F.lit("12-3456789 "), n), n, F.concat(F.lit("12 "), n), F.lit("Careers")), form)
+    label = F.get(F.array(after(" (retail and home)"), F.concat(F.lit("lever/"), F.translate(n, " ", "")), after(" Group"), F.concat(F.lit("jobs."), F.translate(n, " ", ""), F.lit(".com")), after(" / CityMD")), form)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), names.company_shown(page, label).alias("company"), names.strip_entity_code(page).alias("bare"))
 
 
 @query("microdata_postings", """
@@ -283,14 +279,18 @@ def microdata_postings(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("id"), html.ld_posting(page).alias("x")).select("id", "x.title", "x.company", "x.location", "x.posted")
 
 
-_PHRASES = ["Registered Nurses jobs near Austin", "nurse work from home", "Acme careers", "jobs in Austin", "Remote jobs", "best résumé tips", "remote acme", None]
-_INTENT = {"kind": ["role", "role", "company", "location", "location", "other", "location", "other"], "role": ["rn", "nurse", *[None] * 6], "location": ["austin-tx", "remote", None, "austin-tx", "remote", None, "remote", None], "company": [None, None, "acme-key", *[None] * 5]}
-
-
-@query("search_intents", "SELECT c_custkey AS id, " + ", ".join(f"CAST({_listed(v)}[c_custkey % 8 + 1] AS VARCHAR) AS {k}" for k, v in _INTENT.items()) + " FROM customer")
+@query("search_intents", """
+WITH c AS (SELECT c_custkey AS id, c_custkey % 8 AS form, p_name, n_nationkey FROM customer JOIN part ON p_partkey = c_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT id, CASE WHEN form IN (0, 1) THEN 'role' WHEN form = 2 THEN 'company' WHEN form IN (3, 4) THEN 'location' ELSE 'other' END AS kind, CASE WHEN form IN (0, 1) THEN p_name END AS role,
+  CASE WHEN form IN (0, 3) THEN 'place-' || n_nationkey WHEN form IN (1, 4) THEN 'remote' END AS location, CASE WHEN form = 2 THEN 'company-' || id END AS company FROM c""")
 def search_intents(spark, sf_dir):
-    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("c_custkey") % 8 + 1).cast("int"))
-    named = lambda rows, value: spark.createDataFrame(rows, f"name string, {value} string")
-    tables = named([("Registered Nurse", "rn"), ("Nurse", "nurse")], "role"), named([("Austin", "austin-tx"), ("Acme", "acme-ok")], "location"), named([("ACME", "acme-key")], "company")
-    out = intent.search_intents(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), phrase.alias("phrase")), *tables)
-    return out.select("id", *_INTENT)
+    people, parts, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    rows = people.join(parts, F.col("p_partkey") == F.col("c_custkey")).join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
+    k, role, place, company = F.col("c_custkey"), F.col("p_name"), F.col("n_name"), F.col("c_name")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    phrases = F.array(text(F.initcap(role), "s jobs near ", place), text(role, " work from home"), text(company, " careers"), text("jobs in ", F.lower(place)), F.lit("Remote jobs"), text("best r\u00e9sum\u00e9 tips ", k.cast("string")), text("remote ", company), F.lit(None).cast("string"))
+    titles = parts.select(role.alias("name"), role.alias("role")).distinct()
+    places = nations.select(place.alias("name"), text("place-", F.col("n_nationkey").cast("string")).alias("location"))
+    companies = people.select(company.alias("name"), text("company-", k.cast("string")).alias("company"))
+    out = intent.search_intents(rows.select(k.alias("id"), F.get(phrases, (k % 8).cast("int")).alias("phrase")), titles, places, companies)
+    return out.select("id", "kind", "role", "location", "company")
