@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import flows, rules, whereabouts  # noqa: F401  (they add their queries to the catalogue)
+from tessella.plans import flows, rows, rules, whereabouts  # noqa: F401  (they add their queries to the catalogue)
 from tessella.plans.catalogue import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
