@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .markup import Scope, attributes, markdown, tokens
+from .shown import EMPLOYMENT
 
 #: A description of fewer characters is incomplete.
 COMPLETE_CHARS = 300
+# What stands where no place is known.
+NO_PLACE = ("UNAVAILABLE", "N/A")
 
 
 def squeezed(x: Column) -> Column:
@@ -90,31 +93,51 @@ def microdata(page: str | None) -> dict:
     return out | {"workplace": "unknown"} if any(out.values()) else {}
 
 
+def _kind_of_employment(x: object) -> str:
+    one = x[0] if isinstance(x, list) and x else x
+    return EMPLOYMENT.get(one.strip().upper().replace("-", "_").replace(" ", "_"), "unknown") if isinstance(one, str) else "unknown"
+
+
+def _place(node: object) -> str | None:
+    """Towns, states and countries of a job's locations, each once, in order; what says only that none is known is left out."""
+    out: list[str] = []
+    for place in node if isinstance(node, list) else [node]:
+        address = place.get("address") if isinstance(place, dict) else None
+        address = address[0] if isinstance(address, list) and address else address
+        if isinstance(address, dict):
+            said = [x.get("name") if isinstance(x, dict) else x for x in (address.get(k) for k in ("addressLocality", "addressRegion", "addressCountry"))]
+            out.append(", ".join(x.strip() for x in said if isinstance(x, str) and x.strip() and x.strip().upper() not in NO_PLACE))
+    return "; ".join(dict.fromkeys(filter(None, out)))[:255] or None
+
+
 def posting(page: str | None) -> dict:
-    """Title, company, place, salary and dates of the first JSON-LD job posting, else of the microdata; empty without both."""
+    """Title, company, place, salary, kind of work, text and dates of the first JSON-LD job posting, else of the microdata; empty without both."""
     first = lambda x: x[0] if isinstance(x, list) and x else x
     for x in ld_nodes(page):
         kinds = x.get("@type")
         if "JobPosting" not in (kinds if isinstance(kinds, list) else [kinds]):
             continue
-        org, place, pay = (first(x.get(k)) for k in ("hiringOrganization", "jobLocation", "baseSalary"))
-        address = first(place.get("address")) if isinstance(place, dict) else None
-        where = ", ".join(str(address[k]) for k in ("addressLocality", "addressRegion", "addressCountry") if isinstance(address, dict) and isinstance(address.get(k), str))
+        org, pay, where = first(x.get("hiringOrganization")), first(x.get("baseSalary")), _place(x.get("jobLocation"))
         value = pay.get("value") if isinstance(pay, dict) else None
         low, high = (value.get("minValue"), value.get("maxValue")) if isinstance(value, dict) else (value, value)
         number = lambda v: float(v) if isinstance(v, int | float) and not isinstance(v, bool) and v > 0 else None
         text = lambda v: v if isinstance(v, str) else None
+        far = x.get("jobLocationType")
+        far = far == "TELECOMMUTE" or (isinstance(far, list) and "TELECOMMUTE" in far)
         return {
-            "title": text(x.get("title")), "company": text(org.get("name")) if isinstance(org, dict) else text(org), "location": where[:255] or None,
+            "title": text(x.get("title")), "company": text(org.get("name")) if isinstance(org, dict) else text(org), "location": where,
             "salary_min": number(low), "salary_max": number(high), "salary_currency": text(pay.get("currency")) if isinstance(pay, dict) else None,
             "posted": str(x.get("datePosted") or "")[:10] or None, "expires": str(x.get("validThrough") or "")[:10] or None,
-            "workplace": "remote" if x.get("jobLocationType") == "TELECOMMUTE" else "unknown",
+            "workplace": {(True, True): "hybrid", (True, False): "remote", (False, True): "onsite"}.get((far, where is not None), "unknown"),
+            "employment": _kind_of_employment(x.get("employmentType")), "description": markdown(text(x.get("description"))), "told_by": "json-ld",
         }
-    return microdata(page)
+    found = microdata(page)
+    return found | {"told_by": "microdata"} if found else found
 
 
 _NUMBERS = ("salary_min", "salary_max")
-POSTING = T.StructType([T.StructField(c, T.DoubleType() if c in _NUMBERS else T.StringType()) for c in ("title", "company", "location", *_NUMBERS, "salary_currency", "posted", "expires", "workplace")])
+_FIELDS = ("title", "company", "location", *_NUMBERS, "salary_currency", "posted", "expires", "workplace", "employment", "description", "told_by")
+POSTING = T.StructType([T.StructField(c, T.DoubleType() if c in _NUMBERS else T.StringType()) for c in _FIELDS])
 
 
 @F.pandas_udf(POSTING)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markup, shown
-from ..operators import curation
+from ..operators import curation, scan
 from ..sources.tables import postings, table
 from .catalogue import POSTINGS, query
 
@@ -120,3 +120,28 @@ UNION ALL SELECT id, 'h1' FROM t WHERE h1 <> 1 UNION ALL SELECT id, 'robots' FRO
 UNION ALL SELECT id, 'duplicate_title' FROM (SELECT id, min(id) OVER (PARTITION BY title) AS least FROM t WHERE indexed AND title IS NOT NULL) WHERE id <> least""")
 def page_lint(spark, sf_dir):
     return curation.page_issues(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", "html", (F.col("page_id") % 4 != 0).alias("indexed")))
+
+
+_SCANNED = """
+jobs AS (SELECT o_orderkey AS id, o_orderkey % 5 AS form, o_orderpriority AS title, 'Customer ' || o_custkey AS company, CAST(floor(o_totalprice / 10) AS BIGINT) + 20000 AS low, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders)"""
+
+
+@query("scanned_pages", f"""
+WITH {_SCANNED}, s AS (SELECT *, form = 0 AND day < '1998-01-01' AS over FROM jobs)
+SELECT id, CASE WHEN over THEN 'expired' WHEN form = 4 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN over OR form = 4 THEN NULL ELSE title END AS title, CASE WHEN NOT over AND form <> 3 AND form <> 4 THEN company END AS company,
+  CASE WHEN NOT over AND form IN (0, 1) THEN 'Ely, GB' WHEN form = 2 THEN 'Ely' END AS location, CASE WHEN over THEN NULL WHEN form = 0 THEN 'onsite' WHEN form IN (1, 2) THEN 'hybrid' ELSE 'unknown' END AS workplace,
+  CASE WHEN over THEN NULL WHEN form = 0 THEN 'full_time' ELSE 'unknown' END AS employment, CASE WHEN NOT over AND form IN (0, 1, 3) THEN low::DOUBLE END AS salary_min, CASE WHEN NOT over AND form IN (0, 1, 3) THEN low + 5000::DOUBLE END AS salary_max,
+  CASE WHEN over THEN NULL WHEN form = 0 THEN 'EUR' WHEN form IN (1, 3) THEN 'USD' END AS salary_currency, CASE WHEN NOT over AND form IN (0, 1) THEN day END AS posted, CASE WHEN over THEN NULL WHEN form IN (0, 1) THEN 'json-ld' WHEN form = 2 THEN 'open graph' WHEN form = 3 THEN 'title' END AS told_by FROM s""")
+def scanned_pages(spark, sf_dir):
+    k, text, t = F.col("o_orderkey"), lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs]), F.col("o_orderpriority")
+    company, low, day = text("Customer ", F.col("o_custkey").cast("string")), F.floor(F.col("o_totalprice") / 10) + 20_000, F.to_date("o_orderdate").cast("string")
+    say = lambda x: F.format_number(x, 0)
+    ld = lambda more: text('<title>Wrong</title><script type="application/ld+json">{"@type": "JobPosting", "title": "', t, '", "hiringOrganization": {"name": "', company, '"}, "jobLocation": {"address": {"addressLocality": "Ely", "addressRegion": "UNAVAILABLE", "addressCountry": {"name": "GB"}}}, "datePosted": "', day, 'T09:00", ', more, "}</script>")
+    pages = F.array(
+        ld(text('"employmentType": ["Full-time"], "baseSalary": {"currency": "EUR", "value": {"minValue": ', low.cast("string"), ', "maxValue": ', (low + 5000).cast("string"), '}}, "validThrough": "', day, '"')),
+        ld(text('"jobLocationType": "TELECOMMUTE", "description": "<p>Pay of $', say(low), " to $", say(low + 5000), '</p>"')),
+        text('<title>Wrong</title><meta property="og:title" content="', t, '"><meta content="Ely | Hybrid" property="og:description"><meta property="og:site_name" content=" ', company, ' ">'),
+        text("<title> ", t, ' </title><meta name="description" content="Pay of $', say(low), " - $", say(low + 5000), '">'), F.lit("<p>Nothing to see</p>"),
+    )
+    out = scan.scan_pages(table(spark, sf_dir, "orders").select(k.alias("id"), F.get(pages, (k % 5).cast("int")).alias("html")), "1998-01-01")
+    return out.drop("description")

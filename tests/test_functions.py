@@ -141,7 +141,7 @@ def test_microdata_and_inline_markup():
     page = """<div itemtype='http://schema.org/JobPosting' itemscope><h2 itemprop=title>Nurse &amp; <b>Carer</b></h2><img src=x>
       <span itemprop="jobLocation"><span itemprop="addressLocality">Ely</span><span itemprop="addressRegion"> </span></span><meta itemprop="validThrough" content="2024-05-06T00:00"/>
       <div itemprop="hiringOrganization"><span itemprop="name">Fen</span><span itemprop="name">Other</span></div></div><b itemprop="title">Late</b>"""
-    assert html.posting(page) == {"title": "Nurse & Carer", "company": "Fen", "location": "Ely", "posted": None, "expires": "2024-05-06", "workplace": "unknown"}
+    assert html.posting(page) == {"title": "Nurse & Carer", "company": "Fen", "location": "Ely", "posted": None, "expires": "2024-05-06", "workplace": "unknown", "told_by": "microdata"}
     assert html.microdata(None) == html.microdata("") == html.microdata("<p>JobPosting</p>") == html.microdata("<div itemscope itemtype='https://schema.org/JobPosting'>") == {}
     assert html.markdown('See <a class="x" href="https://a.b/c"><b>this</b></a>, <em> now </em><i></i>') == "See [**this**](https://a.b/c), *now*"
     assert html.markdown("&lt;p&gt;One&lt;/p&gt;&lt;p&gt;two &lt;b&gt;bold&lt;/b&gt;&lt;/p&gt;").split() == ["One", "two", "**bold**"]
