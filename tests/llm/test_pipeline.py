@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import pathlib
 import random
 from tempfile import mkdtemp
 
@@ -135,6 +136,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where("size(ids) <> n_ids").count() == 0
 
 
+def test_run_equals_its_stages_and_clears_up(spark, tmp_path):
+    """`run` writes each stage and reads it again; what it gives is what the stages give one after another."""
+    from tessella.llm.common import shared_dir
+
+    root = pathlib.Path(shared_dir(spark).removeprefix("file://")).parent
+    before = {p.name for p in root.iterdir()} if root.exists() else set()
+    out = corpus_pipeline.run(spark, SF)
+    got = out.collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert sorted(map(str, got)) == sorted(map(str, docs.select(out.columns).collect()))
+    assert 0 < len(got) < spark.read.parquet(f"{SF}/documents.parquet").count()
+    left = {p.name for p in root.iterdir()} - before if root.exists() else set()
+    assert len([name for name in left if name.endswith("-personal_data")]) == 1 and not [name for name in left if name.endswith(("-toxicity", "-near_duplicates", "-decontamination"))]
+
+
 def test_pipeline_on_tricky_rows(spark, tricky, no_documents):
     rows = tricky.select("doc_id", "text", "lang", "source", "n_chars", "shard")
     for docs in (rows, no_documents.select(*rows.columns)):
