@@ -247,3 +247,25 @@ def test_letters_of_other_scripts_that_look_latin(taught):
     for word in ("b\u0430d", "\u0441ode", "t\u0435xt"):
         assert toxicity.restore(word, model.logp) == word.translate(toxicity.HOMOGLYPHS)
     assert toxicity.restore("\u0441\u043e\u0431\u0430\u043a\u0430", model.logp) == "\u0441\u043e\u0431\u0430\u043a\u0430"
+
+
+def test_scores_equal_a_plain_computation_and_tell_held_out_labels(spark):
+    """Scores word by word without memos, and the area under the curve of labels that were never read."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.withColumn("held", toxicity.fold("doc_id", 5) == 0)
+    model = toxicity.train(rows.where("NOT held"), labels)
+    scored = {r.doc_id: r.score for r in toxicity.score(rows.where("held"), model, ["doc_id"]).collect()}
+
+    def plain(text: str) -> float:
+        words = {toxicity.restore(w, model.logp) for w in text.lower().split()} | toxicity.set_apart(text.lower(), model.logp)
+        keys = {k for w in words if w for k in toxicity.features(w)}
+        return 1 / (1 + math.exp(-max(min(model.bias + math.fsum(model.weights.get(k, 0.0) for k in keys), 700), -700)))
+
+    some = rows.where("held").limit(150).collect()
+    assert all(scored[r.doc_id] == pytest.approx(plain(r.text or ""), rel=1e-12) for r in some)
+    truth = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    bad, fine = ([scored[i] for i in scored if truth.get(i) == k] for k in (1, 0))
+    auc = sum((x > y) + (x == y) / 2 for x in bad for y in fine) / (len(bad) * len(fine))
+    assert auc >= 0.95 and sum(x >= 0.5 for x in bad) >= 0.8 * len(bad) and sum(x >= 0.5 for x in fine) <= 0.02 * len(fine)
