@@ -11,14 +11,27 @@ from pyspark.sql import functions as F
 LEGAL_FORMS = "inc|incorporated|llc|l\\.l\\.c|corp|corporation|co|company|ltd|limited|plc|gmbh"
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters with marks and the plain letter that compatibility decomposition leaves of each."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for i in range(0xC0, 0x250)]
+#: Where letters with marks, ligatures and wide forms are: Latin extensions, Vietnamese, ligatures, full-width ASCII.
+_FOLDED = (range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F))
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Letters and the plain letter that compatibility decomposition leaves of each; those that leave several, with these."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode()) for r in _FOLDED for i in r]
     kept = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept), {a: b for a, b in pairs if len(b) > 1}
+
+
+FOLD_FROM, FOLD_TO, LIGATURES = _folds()
 
 
-FOLD_FROM, FOLD_TO = _folds()
+def folded(text: Column) -> Column:
+    """Without marks, ligatures and wide forms."""
+    plain = F.translate(text, FOLD_FROM, FOLD_TO)
+    spelt = plain
+    for a, b in LIGATURES.items():
+        spelt = F.replace(spelt, F.lit(a), F.lit(b))
+    return F.when(plain.rlike(f"[{''.join(LIGATURES)}]"), spelt).otherwise(plain)
 
 
 def company_key(name: Column) -> Column:
@@ -36,13 +49,13 @@ def title_key(title: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-case words of letters and digits without marks, joined by blanks: "D.C." is "dc", "A&B" is "a and b"."""
-    plain = F.regexp_replace(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)), "&", " and ")
+    plain = F.regexp_replace(F.replace(F.lower(folded(text)), F.lit("\u00df"), F.lit("ss")), "&", " and ")
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[.'\u2019`\\p{M}]", ""), "[^a-z0-9]", " "), " +", " "))
 
 
 def slug(text: Column, most: int | None = None) -> Column:
     """Lower-case ASCII words joined by hyphens, cut at a hyphen when longer than `most`; null gives an empty slug."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), FOLD_FROM, FOLD_TO))
+    plain = F.lower(folded(F.coalesce(text, F.lit(""))))
     out = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[^\\x00-\\x7F]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     if most is None:
         return out

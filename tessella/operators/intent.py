@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FOLD_FROM, FOLD_TO, title_key
+from ..functions.text import folded, title_key
 
 # What stands for remote work, and words that say nothing of what is sought.
 REMOTE_WORDS = ["remote", "wfh", "telecommute", "telework", "virtual"]
@@ -16,7 +16,7 @@ recruiting apply now immediately near me in at for the a an and or of us usa emp
 
 def search_key(text: Column) -> Column:
     """Plain lower-case words with one blank between; empty without any."""
-    return F.coalesce(title_key(F.translate(text, FOLD_FROM, FOLD_TO)), F.lit(""))
+    return F.coalesce(title_key(folded(text)), F.lit(""))
 
 
 def _words(text: Column) -> Column:

@@ -171,3 +171,9 @@ def test_links_and_sections():
     assert html.microdata('<div itemscope itemtype="https://schema.org/JobPosting"><meta itemprop="title" content="a > b"></div>')["title"] == "a > b"
     assert html.markdown("<h2>A <b>bold</b> <a href=x>link</a></h2><b>open <i>both</b> end</i> 1 < 2") == "## A bold link\n\n**open *both** end* 1 < 2"
     assert html.markdown("<b> <i> </i> </b>x<b>y</b ><strong>z <br></strong>end") == "x**y****z**\nend" or html.markdown("<b> </b>x") == "x"
+
+
+def test_folds(spark):
+    cases = {"Crème Brûlée": "creme brulee", "Straße & Söhne": "strasse and sohne", "ﬁrst ﬀ ﬄ": "first ff ffl", "Ｗｉｄｅ": "wide", "Đà Nẵng": "a nang", "Ǆ ĳ": "dz ij", "D.C.": "dc", "☃": "", None: None}
+    assert values(spark, cases, text.plain_words) == list(cases.values())
+    assert values(spark, ["Crème ﬂan", "Straße", "Huế"], text.slug) == ["creme-flan", "strae", "hue"]
