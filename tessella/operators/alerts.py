@@ -2,7 +2,7 @@
 
 A search is filed under one key only, the one that fewest of the new postings carry: an area, a sector, a way of working, three letters of its
 words or company, or a step of its salary. A posting carries all its keys, so every match meets at the search's key, and the join
-is on equal keys; what it gives is tested against the whole search. Only a search without any parameter meets all postings.
+is on equal keys; what it gives is tested against the whole search. Only a search without any such parameter meets all postings.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 DIGEST, NEW_HOURS = 10, 48
 #: Ratio of two steps of salaries, and letters that stand for a text that is searched for.
 STEP, LETTERS = 1.25, 3
+#: Parts that postings are dealt to where they meet searches without any key.
+PARTS = 64
 
 #: Columns that a search may leave null; `want_words` are words of a title, `not_words` words that it must not have.
 PARAMETERS = ("want_words", "not_words", "want_company", "want_area", "want_sector", "want_workplace", "want_salary", "want_salary_most", "want_days")
@@ -89,10 +91,13 @@ def matches(searches: DataFrame, postings: DataFrame, now: str, hours: float = N
     all_of = ["search_id", "since", *PARAMETERS]
     keyed = filed.where("best.n > 0").select(*all_of, F.col("best.key").alias("key"))
     probes = new.withColumn("key", F.explode(F.array_distinct(posting_keys()))).join(keyed.select("key").distinct(), "key", "left_semi")
-    met = probes.join(keyed, "key").where((F.col("scanned_at") >= F.col("since")) & meets(at)).select("search_id", "id", "listed_at")
-    # Searches without a key have only a longest age, words to leave out or a highest salary: every posting is a candidate.
-    free = filed.where("best IS NULL").select(*all_of)
-    return met.union(new.join(free, (F.col("scanned_at") >= F.col("since")) & meets(at)).select("search_id", "id", "listed_at"))
+    # Searches without a key have only a longest age, words to leave out or a highest salary: every posting is a candidate, and
+    # meets them in one of some parts, to each of which such a search is copied.
+    part = lambda x: F.concat(F.lit("any:"), x.cast("string"))
+    free = filed.where("best IS NULL").select(*all_of, F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part)).alias("key"))
+    everything = new.withColumn("key", part(F.pmod(F.xxhash64("id"), F.lit(PARTS)))).join(free.select("key").distinct(), "key", "left_semi")
+    met = probes.unionByName(everything).join(keyed.unionByName(free), "key")
+    return met.where((F.col("scanned_at") >= F.col("since")) & meets(at)).select("search_id", "id", "listed_at")
 
 
 def sweep(searches: DataFrame, users: DataFrame, postings: DataFrame, now: str, k: int = DIGEST, hours: float = NEW_HOURS) -> DataFrame:

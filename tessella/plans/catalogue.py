@@ -442,10 +442,18 @@ def wilson_interval(spark, sf_dir):
 # Maintenance
 
 
-@query("coverage_folds")
+@query("coverage_folds", """
+WITH RECURSIVE n AS (SELECT l_suppkey AS source, CAST(date_trunc('month', l_shipdate) AS DATE) AS at_month, CAST(count(*) AS DOUBLE) AS c FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY at_month) AS i FROM n),
+f AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS base, 0 AS low, CAST(NULL AS DATE) AS flag FROM o
+  UNION ALL SELECT f.source, o.i, CASE WHEN f.i < 5 THEN base + (c - base) / (f.i + 1) WHEN base > 0 AND c < base * 0.5 THEN base ELSE base + 0.3 * (c - base) END,
+    CASE WHEN f.i >= 5 AND base > 0 AND c < base * 0.5 THEN low + 1 ELSE 0 END, CASE WHEN f.i >= 5 AND base > 0 AND c < base * 0.5 THEN CASE WHEN low + 1 >= 3 THEN coalesce(flag, at_month) ELSE flag END END
+  FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1)
+SELECT source, CAST(i AS INTEGER) AS samples, round(base, 6) AS baseline, low AS low_streak, flag AS flagged_at FROM f QUALIFY i = max(i) OVER (PARTITION BY source)""")
 def coverage_folds(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.date_trunc("month", F.col("l_shipdate").cast("timestamp")).alias("at")).agg(F.count("*").alias("n"))
-    return maintenance.coverage(df, "source", "at", "n")
+    out = maintenance.coverage(df, "source", "at", "n")
+    return out.withColumn("baseline", F.round("baseline", 6)).withColumn("flagged_at", F.to_date("flagged_at"))
 
 
 @query("adaptive_intervals", """
