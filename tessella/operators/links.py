@@ -73,11 +73,13 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
 
 
 def suggest_places(places: DataFrame, typed: str, k: int) -> DataFrame:
-    """The k best places for what was typed: names that start with it, then those with a word that does; in each country, state, city, by population."""
+    """The k best places for what was typed: names that start with it, then those with a word that does; in each country, state, city, by population.
+
+    An area (kind `area`, with its principal city's population) comes right after that city."""
     name, low = F.lower("name"), typed.lower()
     tier = F.when(name.startswith(low), 0).when(name.contains(f" {low}"), 1)
-    kinds = F.array_position(F.array(*map(F.lit, ("country", "state", "city"))), F.col("kind"))
-    return places.withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", kinds, F.desc("population"), "name").limit(k)
+    kinds = F.when(F.col("kind") == "country", 1).when(F.col("kind") == "state", 2).otherwise(3)
+    return places.withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", kinds, F.desc("population"), F.col("kind") == "area", "name").limit(k)
 
 
 def ordered_union(*arrays: Column) -> Column:

@@ -64,6 +64,18 @@ def page(found: DataFrame, size: int, offset: int = 0, order: list[Column] | Non
     return found.orderBy(*keys).offset(offset).limit(size)
 
 
+#: What a caller may sort by, and the column that it stands for.
+SORTS = {"found": "found_at", "listed": "listed_at", "title": "title", "company": "company", "salary": "salary_max", "seen": "last_seen_at"}
+
+
+def sorted_page(found: DataFrame, by: str, descending: bool, size: int, offset: int = 0) -> DataFrame:
+    """One page in the order that a caller chose, the newest found first among equals. Rows without the value come last where it ascends, first where it descends."""
+    if by not in SORTS:
+        raise ValueError(f"sorted by one of {', '.join(SORTS)}")
+    way = F.desc_nulls_first if descending else F.asc_nulls_last
+    return page(found, size, offset, [way(SORTS[by]), F.desc("found_at"), F.asc("id")])
+
+
 def capped_count(found: DataFrame, cap: int) -> DataFrame:
     """(total, is_capped): counting stops just beyond the cap."""
     return found.limit(cap + 1).agg(F.least(F.count("*"), F.lit(cap)).cast("long").alias("total"), (F.count("*") > cap).alias("is_capped"))

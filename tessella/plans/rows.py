@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import markup, shown
-from ..operators import curation, scan
+from ..operators import curation, scan, search
 from ..sources.tables import postings, table
 from .catalogue import POSTINGS, query
 
@@ -145,3 +145,12 @@ def scanned_pages(spark, sf_dir):
     )
     out = scan.scan_pages(table(spark, sf_dir, "orders").select(k.alias("id"), F.get(pages, (k % 5).cast("int")).alias("html")), "1998-01-01")
     return out.drop("description")
+
+
+@query("sorted_pages", f"""
+WITH {POSTINGS}, a AS (SELECT 'company' AS by_, id FROM postings ORDER BY company ASC NULLS LAST, found_at DESC, id LIMIT 30 OFFSET 60), b AS (SELECT 'salary' AS by_, id FROM postings ORDER BY salary_max DESC NULLS FIRST, found_at DESC, id LIMIT 30 OFFSET 60)
+SELECT by_ AS sorted_by, id FROM a UNION ALL SELECT by_, id FROM b""")
+def sorted_pages(spark, sf_dir):
+    df = postings(spark, sf_dir)
+    one = lambda by, down: search.sorted_page(df, by, down, 30, 60).select(F.lit(by).alias("sorted_by"), "id")
+    return one("company", False).union(one("salary", True))

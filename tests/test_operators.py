@@ -258,3 +258,17 @@ def test_days_of_clock_changes():
     first, today = gates._days("2026-03-10 03:59:00", 7)
     assert (str(first), str(today)) == ("2026-03-03", "2026-03-09")  # before midnight in New York
     assert gates.freshness("found-yesterday", AS_OF) is None and gates.salary_floor("60k-plus") is None
+
+
+def test_places_that_are_offered(spark):
+    rows = [("Salt Lake City", "city", 200), ("Salt Lake City metro area", "area", 200), ("Saltillo", "city", 300), ("Salta", "state", 1), ("New Salt", "city", 900), ("Basalt", "city", 999), ("Salt Land", "country", 0)]
+    places = spark.createDataFrame(rows, "name string, kind string, population int")
+    got = [r.name for r in links.suggest_places(places, "Salt", 10).collect()]
+    assert got == ["Salt Land", "Salta", "Saltillo", "Salt Lake City", "Salt Lake City metro area", "New Salt"]
+
+
+def test_sorts_that_callers_choose(spark):
+    df = spark.createDataFrame([(1, "b", 5), (2, None, 9), (3, "a", 1), (4, "b", 7)], "id int, company string, found_at int")
+    assert [r.id for r in search.sorted_page(df, "company", False, 9).collect()] == [3, 4, 1, 2] and [r.id for r in search.sorted_page(df, "company", True, 2, 1).collect()] == [4, 1]
+    with pytest.raises(ValueError):
+        search.sorted_page(df, "id; drop", False, 9)
