@@ -88,15 +88,14 @@ def matches(searches: DataFrame, postings: DataFrame, now: str, hours: float = N
     often = carried.groupBy("key").agg(F.count("*").alias("n"))
     rarest = wanted.join(often, "key", "left").groupBy("search_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("best"))
     filed = since.drop("keys").join(rarest, "search_id", "left")
-    all_of = ["search_id", "since", *PARAMETERS]
-    keyed = filed.where("best.n > 0").select(*all_of, F.col("best.key").alias("key"))
-    probes = new.withColumn("key", F.explode(F.array_distinct(posting_keys()))).join(keyed.select("key").distinct(), "key", "left_semi")
     # Searches without a key have only a longest age, words to leave out or a highest salary: every posting is a candidate, and
     # meets them in one of some parts, to each of which such a search is copied.
     part = lambda x: F.concat(F.lit("any:"), x.cast("string"))
-    free = filed.where("best IS NULL").select(*all_of, F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part)).alias("key"))
-    everything = new.withColumn("key", part(F.pmod(F.xxhash64("id"), F.lit(PARTS)))).join(free.select("key").distinct(), "key", "left_semi")
-    met = probes.unionByName(everything).join(keyed.unionByName(free), "key")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part)
+    under = F.when(F.col("best").isNull(), parts).when(F.col("best.n") > 0, F.array(F.col("best.key"))).otherwise(F.array().cast("array<string>"))
+    keyed = filed.select("search_id", "since", *PARAMETERS, F.explode(under).alias("key"))
+    probes = new.withColumn("key", F.explode(F.array_append(F.array_distinct(posting_keys()), part(F.pmod(F.xxhash64("id"), F.lit(PARTS))))))
+    met = probes.join(keyed, "key")
     return met.where((F.col("scanned_at") >= F.col("since")) & meets(at)).select("search_id", "id", "listed_at")
 
 
