@@ -118,6 +118,7 @@ class Vocabulary:
         self.newline_apart = not any("\n" in p for p in pieces)
         self.digits = [str(i) for i in range(n)]
         self.spelled = [x.replace(MARK.encode(), b" ") for x in self.bytes]
+        self.digit_size, self.spelled_size = (np.fromiter(map(len, x), np.int64, n) for x in (self.digits, self.spelled))
 
     def segment(self, units: list[str]) -> list[np.ndarray]:
         """The ids of each stretch."""
@@ -238,12 +239,15 @@ class Stretches:
         self.v, self.known, self.older = v, {}, {}
 
     def learn(self, units: list[str]) -> None:
+        """Everything is spelled in one go, and each stretch gets its slices of that."""
         v = self.v
         ids, edges = v.search(units)
-        listed, raw, at = ids.tolist(), ids.tobytes(), edges.tolist()
-        digits, spelled = list(map(v.digits.__getitem__, listed)), list(map(v.spelled.__getitem__, listed))
-        for u, lo, hi in zip(units, at, at[1:], strict=False):
-            self.known[u] = (raw[4 * lo : 4 * hi], ",".join(digits[lo:hi]), b"".join(spelled[lo:hi]))
+        listed, raw = ids.tolist(), ids.tobytes()
+        digits, spelled = ",".join(map(v.digits.__getitem__, listed)), b"".join(map(v.spelled.__getitem__, listed))
+        places = lambda size: np.concatenate(([0], np.cumsum(size[ids], dtype=np.int64)))[edges]
+        in_raw, in_digits, in_spelled = 4 * edges, places(v.digit_size + 1), places(v.spelled_size)
+        cut = lambda x, at, apart=0: map(x.__getitem__, map(slice, at[:-1].tolist(), np.maximum(at[1:] - apart, at[:-1]).tolist()))
+        self.known.update(zip(units, zip(cut(raw, in_raw), cut(digits, in_digits, 1), cut(spelled, in_spelled), strict=True), strict=True))
 
     def of(self, batch: list[str | None]):
         """(from, to, the known stretches of each text) of runs of texts; each stretch that isn't known is searched once a run."""
