@@ -235,8 +235,8 @@ class Stretches:
     A character's bytes never cross a stretch, so a text's ids and its decoded text are those of its stretches, joined.
     """
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.known, self.older = v, {}, {}
+    def __init__(self, v: Vocabulary, remember: int = MEMO):
+        self.v, self.remember, self.known, self.older = v, remember, {}, {}
 
     def learn(self, units: list[str]) -> None:
         """Everything is spelled in one go, and each stretch gets its slices of that."""
@@ -257,7 +257,7 @@ class Stretches:
             if size < BLOCK_CHARS and i + 1 < len(batch):
                 continue
             cut = [self.v.units(t or "") for t in batch[lo : i + 1]]
-            if len(self.known) > MEMO:  # what isn't met again before as many others is forgotten
+            if len(self.known) > self.remember:  # what isn't met again before as many others is forgotten
                 self.known, self.older = {}, self.known
             fresh = set().union(*cut).difference(self.known)
             for u in fresh & self.older.keys():
@@ -317,10 +317,11 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to_col:
     return df.select(*keep).mapInArrow(released(run), f"{_kinds(df, keep)}`{to_col}` string")
 
 
-def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_col: str = "text", with_ids: bool = False, remember: int = MEMO) -> DataFrame:
     """The columns in `carry`, with n_ids, n_byte_ids, ids_sha256 (of the ids, comma-joined), decoded_sha256, lossless of
     every whole text, encoded and decoded again in one pass, and `ids` if asked for. Null counts as empty.
 
+    A task remembers `remember` stretches, and as many older ones: more of them cost memory and save searches.
     A text that has U+2581 itself decodes with a blank there, so it isn't lossless.
     """
     path = path or default_path()
@@ -329,7 +330,7 @@ def round_trip(docs: DataFrame, carry: list[str], path: str | None = None, text_
 
     def run(batches):
         v = vocabulary(path)
-        known = Stretches(v)
+        known = Stretches(v, remember)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             text = strings(b.column(len(carry)))

@@ -29,7 +29,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return pieces.round_trip(table(spark, sf_dir, "documents"), ["doc_id"], remember=200_000)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
