@@ -51,12 +51,31 @@ def within(points: DataFrame, places: DataFrame, miles: float) -> DataFrame:
     return far.where(F.col("distance") <= miles)
 
 
+def _spots(points: DataFrame, places: DataFrame, miles: float) -> DataFrame:
+    """(lat, lon, place_lat, place_lon, distance): `within` between the different spots of both sides.
+
+    Very many points and places lie on the same spots, so the work grows with the spots; what lies on them is joined back on equal keys.
+    """
+    here = _placed(points, ("lat", "lon")).select("lat", "lon").distinct()
+    there = _placed(places, ("place_lat", "place_lon")).select("place_lat", "place_lon").distinct()
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return within(here.repartition(tasks, "lat", "lon"), there, miles)
+
+
+def _placed(df: DataFrame, columns: tuple[str, str]) -> DataFrame:
+    return df.dropna(subset=list(columns))
+
+
 def nearest(points: DataFrame, places: DataFrame, id_col: str, miles: float = NEAREST_MOST, least_people: int = 0) -> DataFrame:
     """(id, place, distance) of the nearest place with at least so many people; points without one within `miles` are left out."""
-    big = places.where(F.col("population") >= least_people).select("place", "place_lat", "place_lon")
-    found = within(points.select(id_col, "lat", "lon"), big, miles)
-    best = found.groupBy(id_col).agg(F.min(F.struct("distance", "place")).alias("b"))
-    return best.select(id_col, F.col("b.place").alias("place"), F.col("b.distance").alias("distance"))
+    big = _placed(places.where(F.col("population") >= least_people), ("place_lat", "place_lon"))
+    # Of the places on one spot the smallest is the nearest; they are as far from anywhere.
+    first = big.groupBy("place_lat", "place_lon").agg(F.min("place").alias("place"))
+    at = F.struct("distance", "place")
+    best = _spots(points, big, miles).join(first, ["place_lat", "place_lon"]).groupBy("lat", "lon").agg(F.min(at).alias("b"))
+    found = _placed(points.select(id_col, "lat", "lon"), ("lat", "lon")).join(best, ["lat", "lon"])
+    only = found.groupBy(id_col).agg(F.min("b").alias("b"))
+    return only.select(id_col, F.col("b.place").alias("place"), F.col("b.distance").alias("distance"))
 
 
 def areas_around(points: DataFrame, places: DataFrame, id_col: str, miles: float) -> DataFrame:
@@ -64,7 +83,11 @@ def areas_around(points: DataFrame, places: DataFrame, id_col: str, miles: float
 
     points: id, lat, lon, own_area. places: place_lat, place_lon, area.
     """
-    found = within(points.select(id_col, "lat", "lon"), places.select("area", "place_lat", "place_lon"), miles).select(id_col, "area", "distance")
+    named = _placed(places.where("area IS NOT NULL"), ("place_lat", "place_lon"))
+    on = named.select("place_lat", "place_lon", "area").distinct()
+    # Areas are looked up for each pair of spots, and only the nearest spot of an area is kept before points are joined.
+    around = _spots(points, named, miles).join(on, ["place_lat", "place_lon"]).groupBy("lat", "lon", "area").agg(F.min("distance").alias("distance"))
+    found = _placed(points.select(id_col, "lat", "lon"), ("lat", "lon")).join(around, ["lat", "lon"]).select(id_col, "area", "distance")
     all_ = found.union(points.select(id_col, F.col("own_area").alias("area"), F.lit(-1.0).alias("distance")))
     least = all_.where("area IS NOT NULL").groupBy(id_col, "area").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("distance", "area"))

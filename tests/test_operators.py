@@ -234,6 +234,36 @@ def test_places_within_lose_nothing(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def joined_rows(spark, df) -> int:
+    """Rows that the joins of a query give, as Spark counts them when it runs without adaptive execution."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.collectToPython()
+        todo, n = [plan], 0
+        while todo:
+            x = todo.pop()
+            if "Join" in x.nodeName():
+                n += x.metrics().apply("numOutputRows").value()
+            todo += [x.children().apply(i) for i in range(x.children().size())]
+        return n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_places_on_one_spot_meet_once(spark):
+    points = spark.range(300).selectExpr("id", "id % 3 + 0D AS lat", "0D AS lon", "concat('own', id % 2) AS own_area")
+    gazetteer = spark.range(400).selectExpr("id AS place", "id % 4 + 0D AS place_lat", "0D AS place_lon", "id % 5 * 1000 AS population", "concat('a', id % 8) AS area")
+    near = places.nearest(points, gazetteer, "id", least_people=2000)
+    assert {(r.id, r.place, round(r.distance, 6)) for r in near.collect()} == {(i, min(p for p in range(400) if p % 4 == i % 3 and p % 5 >= 2), 0.0) for i in range(300)}
+    around = places.areas_around(points, gazetteer, "id", 75.0)
+    for i, got in ((i, [r.area for r in around.where(f"id = {i}").orderBy("rank").collect()]) for i in (0, 1, 5)):
+        by = {f"a{p}": min(abs(i % 3 - q % 4) for q in range(8) if q == p) for p in range(8)}
+        assert got == [f"own{i % 2}", *sorted((a for a, d in by.items() if d <= 1), key=lambda a: (by[a], a))]
+    assert joined_rows(spark, near) < 2_000 and joined_rows(spark, around) < 10_000  # 30,000 pairs at each spot before
+
+
 def test_updates_and_reports(spark, tmp_path):
     df = spark.sql("SELECT * FROM VALUES (1, 'a', 'x'), (2, 'b', 'y'), (NULL, 'c', 'z') AS t(id, v, w)")
     new = spark.sql("SELECT * FROM VALUES (1, CAST(NULL AS STRING)), (9, 'q'), (NULL, 'n') AS t(id, v)")
