@@ -3,12 +3,17 @@
 A search is filed under one key only, the one that fewest of the new postings carry: an area, a sector, a way of working, three letters of its
 words or company, or a step of its salary. A posting carries all its keys, so every match meets at the search's key, and the join
 is on equal keys; what it gives is tested against the whole search. Only a search without any such parameter meets all postings.
+
+A sweep needs each search's latest postings and their number only. Searches that say the same but for times and salaries are one sign, and
+postings are met once a sign; times and salaries are then tested by columns, block against block, so that no pair of search and posting is a row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +23,14 @@ DIGEST, NEW_HOURS = 10, 48
 STEP, LETTERS = 1.25, 3
 #: Parts that postings are dealt to where they meet searches without any key.
 PARTS = 64
+#: Different searches, and postings, of a block.
+WANTS, POSTINGS = 20_000, 100_000
 
 #: Columns that a search may leave null; `want_words` are words of a title, `not_words` words that it must not have.
 PARAMETERS = ("want_words", "not_words", "want_company", "want_area", "want_sector", "want_workplace", "want_salary", "want_salary_most", "want_days")
+#: Those that a sign has; the others are bounds on numbers.
+SIGNS = PARAMETERS[:6]
+BOUNDS, FLOATS = ("since", "want_salary", "want_salary_most", "from_day"), ("high", "low", "want_salary", "want_salary_most")
 
 
 def _grams(text: Column) -> Column:
@@ -79,6 +89,11 @@ def matches(searches: DataFrame, postings: DataFrame, now: str, hours: float = N
     searches: search_id, created_at, last_alerted_at, and the PARAMETERS. postings: id, title, company, areas, sector, workplace,
     salary_min, salary_max, posted_at, listed_at, scanned_at, first_scanned_at.
     """
+    return _met(searches, postings, now, hours).select("search_id", "id", "listed_at")
+
+
+def _met(searches: DataFrame, postings: DataFrame, now: str, hours: float) -> DataFrame:
+    """The matches, with all columns of both sides."""
     at = F.lit(now).cast("timestamp")
     new = postings.where(F.col("first_scanned_at") >= at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600.0)))
     since = searches.withColumn("since", F.coalesce("last_alerted_at", "created_at")).withColumn("keys", F.array_distinct(search_keys()))
@@ -96,7 +111,7 @@ def matches(searches: DataFrame, postings: DataFrame, now: str, hours: float = N
     keyed = filed.select("search_id", "since", *PARAMETERS, F.explode(under).alias("key"))
     probes = new.withColumn("key", F.explode(F.array_append(F.array_distinct(posting_keys()), part(F.pmod(F.xxhash64("id"), F.lit(PARTS))))))
     met = probes.join(keyed, "key")
-    return met.where((F.col("scanned_at") >= F.col("since")) & meets(at)).select("search_id", "id", "listed_at")
+    return met.where((F.col("scanned_at") >= F.col("since")) & meets(at))
 
 
 def sweep(searches: DataFrame, users: DataFrame, postings: DataFrame, now: str, k: int = DIGEST, hours: float = NEW_HOURS) -> DataFrame:
@@ -105,11 +120,73 @@ def sweep(searches: DataFrame, users: DataFrame, postings: DataFrame, now: str,
     Searches of users who switched alerts off aren't looked at, and keep their marks. users: user_id, alerts.
     """
     on = searches.join(users.where("alerts").select("user_id"), "user_id", "left_semi")
-    found = matches(on, postings, now, hours)
-    total = found.groupBy("search_id").agg(F.count("*").alias("n"))
-    latest = Window.partitionBy("search_id").orderBy(F.desc("listed_at"), "id")
-    top = found.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= k)
-    return top.join(total, "search_id").select("search_id", "rank", "id", F.greatest(F.lit(0), F.col("n") - k).alias("more"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    told = on.select(
+        "search_id", F.to_json(F.struct(*SIGNS)).alias("sign"), *SIGNS, F.unix_micros(F.coalesce("last_alerted_at", "created_at")).alias("since"), number("want_salary"), number("want_salary_most"),
+        F.unix_date(F.date_sub(F.lit(now).cast("date"), F.col("want_days"))).alias("from_day"),
+    ).where("since IS NOT NULL").withColumn("want", F.to_json(F.struct("sign", *BOUNDS)))
+    none, ever = F.lit(None), F.lit("0001-01-01").cast("timestamp")
+    types = dict(on.dtypes)
+    signs = told.select(F.col("sign").alias("search_id"), *SIGNS).distinct().select("*", *[none.cast(types[c]).alias(c) for c in PARAMETERS[6:]], ever.alias("created_at"), none.cast("timestamp").alias("last_alerted_at"))
+    met = _met(signs, postings, now, hours).select(
+        F.col("search_id").alias("sign"), "id", F.coalesce(-F.unix_micros("listed_at"), F.lit(2**63 - 1)).alias("at"), F.unix_micros("scanned_at").alias("scanned"),
+        F.coalesce("salary_max", "salary_min").cast("double").alias("high"), F.coalesce("salary_min", "salary_max").cast("double").alias("low"), F.unix_date("posted_at").alias("day"),
+    )
+    wants = told.select("want", "sign", *BOUNDS).distinct()
+    # Blocks of both sides, each of which meets each of its sign.
+    of = lambda x, n: F.pmod(F.xxhash64(x), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    parts = wants.groupBy("sign").agg(F.ceil(F.count("*") / WANTS).cast("int").alias("parts"))
+    blocks = met.groupBy("sign").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("blocks"))
+    sizes = parts.join(blocks, "sign")
+    left = wants.join(sizes, "sign").withColumn("part", of("want", F.col("parts"))).select("want", *BOUNDS, "sign", "part", each(F.col("blocks")).alias("block"))
+    right = met.join(sizes, "sign").withColumn("block", of("id", F.col("blocks"))).select(*met.columns, "block", each(F.col("parts")).alias("part"))
+    key, kind = ["sign", "part", "block"], dict(postings.dtypes)["id"]
+    some = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_latest(k), f"want string, n long, top array<struct<at: long, id: {kind}>>")
+    best = some.groupBy("want").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    out = told.select("search_id", "want").join(best, "want").select("search_id", F.posexplode("top").alias("i", "x"), "n")
+    return out.select("search_id", (F.col("i") + 1).alias("rank"), "x.id", F.greatest(F.lit(0), F.col("n") - k).alias("more"))
+
+
+def _latest(k: int):
+    """A function that gives, for each of a block's searches that match any, the number and the k latest of a block's postings."""
+
+    def run(wants: pa.Table, postings: pa.Table) -> pa.Table:
+        postings = postings.sort_by([("at", "ascending"), ("id", "ascending")]).combine_chunks()
+        # Unknown is beyond every bound that is given; a bound that isn't given is met by all.
+        col = lambda t, c, null: t.column(c).cast(pa.float64() if c in FLOATS else pa.int64()).fill_null(null).to_numpy()
+        scanned, day = col(postings, "scanned", -(2**63)), col(postings, "day", -(2**62))
+        high, low = col(postings, "high", -np.inf), col(postings, "low", np.inf)
+        given = {c: wants.column(c).is_valid().to_pylist() for c in BOUNDS}
+        bound = {c: col(wants, c, 0) for c in BOUNDS}
+        at, n, sizes, found = [], [], [0], []
+        for i in range(wants.num_rows):
+            ok = scanned >= bound["since"][i]
+            for c, x, fits in (("want_salary", high, np.greater_equal), ("want_salary_most", low, np.less_equal), ("from_day", day, np.greater_equal)):
+                if given[c][i]:
+                    ok &= fits(x, bound[c][i])
+            if many := int(np.count_nonzero(ok)):
+                at.append(i)
+                n.append(many)
+                found.append(_first(ok, k))
+                sizes.append(sizes[-1] + len(found[-1]))
+        hit = postings.select(["at", "id"]).take(pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        pairs = pa.StructArray.from_arrays([_whole(hit.column("at")), _whole(hit.column("id"))], names=["at", "id"])
+        top = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)
+        return pa.table({"want": wants.column("want").take(pa.array(at, pa.int64())), "n": pa.array(n, pa.int64()), "top": top})
+
+    return run
+
+
+def _whole(x: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type)
+
+
+def _first(ok: np.ndarray, k: int) -> np.ndarray:
+    """Where the first k that are true stand."""
+    step = 64 * k
+    near = np.flatnonzero(ok[:step])
+    return near[:k] if len(near) >= k or len(ok) <= step else np.flatnonzero(ok)[:k]
 
 
 def advance(searches: DataFrame, digests: DataFrame, now: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_old_postings_that_were_scanned_again_are_not_new(spark):
     rows = [(1, "A", "c", [], "s", "r", 1, 2, None, old, late, old), (2, "A", "c", [], "s", "r", 1, 2, None, late, late, NOW - timedelta(hours=30))]
     search = spark.createDataFrame([(1, 1, "a", *[None] * 8, NOW - timedelta(hours=2), None)], SEARCH)
     assert [r.id for r in alerts.matches(search, spark.createDataFrame(rows, POSTING), str(NOW)).collect()] == [2]
+
+
+def test_a_sweep_makes_no_row_for_each_match(spark):
+    from test_operators import joined_rows
+
+    searches = [(i, 1, *[None] * 4, "s", None, i % 700, None, None, NOW - timedelta(days=9), None) for i in range(1_000)]
+    postings = [(i, "A", "c", [], "s", "r", 400, 400, None, NOW - timedelta(minutes=i % 90), NOW, NOW) for i in range(400)]
+    users = spark.createDataFrame([(1, True)], "user_id int, alerts boolean")
+    digests = alerts.sweep(spark.createDataFrame(searches, SEARCH), users, spark.createDataFrame(postings, POSTING), str(NOW))
+    rows = digests.collect()
+    latest = sorted(range(400), key=lambda i: (i % 90, i))[:10]
+    assert sorted((r.search_id, r["rank"], r.id, r.more) for r in rows) == [(s, k + 1, p, 390) for s in range(1_000) if s % 700 <= 400 for k, p in enumerate(latest)]
+    assert joined_rows(spark, digests) < 20_000  # of 280,000 matches
