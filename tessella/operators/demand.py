@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Parts of searches: one for so many of all; and the searches that are broadcast, for each block of the bound.
+BLOCK, MOST = 4096, 1000
+
 
 def weighted_position(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, clicks, impressions, position): the mean position weighted by impressions, half-even to two places, 0 without any."""
@@ -24,10 +27,17 @@ def top_parts(df: DataFrame, by: list[str], part: str, measure: str, k: int) ->
 def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000) -> DataFrame:
     """(search_id, id): postings found after each search's last alert that meet all of its parameters that aren't null.
 
-    Up to `bound` searches are broadcast. Beyond that each posting looks under its own sector and under none, which is a join
-    on equal keys that spills and that adaptive execution splits where a sector has very many postings. A posting without
-    a sector meets searches without one only, on either way.
+    Searches that say the same stand in blocks, and a posting is tested once a block, whose searches are then listed. Up to `bound` blocks are
+    broadcast. Beyond that each posting looks under its own sector and under none, which is a join on equal keys that spills and that adaptive
+    execution splits where a sector has very many postings. A posting without a sector meets searches without one only, on either way.
+    Only postings found after the earliest alert are dealt over the tasks.
     """
+    wanted = ["want_words", "want_salary", "want_area", "want_sector", "last_alerted_at"]
+    n, since = searches.agg(F.count("*"), F.min("last_alerted_at")).first()
+    part = F.pmod(F.xxhash64("search_id"), F.lit(n // BLOCK + 1)).alias("_part")
+    blocks = searches.groupBy(*wanted, part).agg(F.collect_list(F.struct("search_id")).alias("_searches"))
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looking = postings.where(F.col("found_at") > F.lit(since)).select("id", "title", "sector", "area", "salary_min", "salary_max", "found_at").repartition(tasks, "id")
     fits = lambda param, ok: F.col(param).isNull() | ok
     on = (
         (F.col("found_at") > F.col("last_alerted_at"))
@@ -35,12 +45,14 @@ def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000)
         & fits("want_salary", F.coalesce("salary_max", "salary_min") >= F.col("want_salary"))
         & fits("want_area", F.col("area") == F.col("want_area"))
     )
-    if searches.limit(bound + 1).count() <= bound:
+    if n <= MOST * bound and blocks.limit(bound + 1).count() <= bound:
         by_sector = F.col("want_sector").isNull() | (F.col("sector") == F.col("want_sector"))
-        return postings.join(F.broadcast(searches), on & by_sector).select("search_id", "id")
-    either = F.array_distinct(F.array("sector", F.lit(None).cast("string")))
-    looking = postings.select("*", F.explode(either).alias("_sector"))
-    return looking.join(searches, F.col("_sector").eqNullSafe(F.col("want_sector")) & on).select("search_id", "id")
+        met = looking.join(F.broadcast(blocks), on & by_sector)
+    else:
+        either = F.array_distinct(F.array("sector", F.lit(None).cast("string")))
+        keyed = looking.select("*", F.explode(either).alias("_sector"))
+        met = keyed.join(blocks, F.col("_sector").eqNullSafe(F.col("want_sector")) & on)
+    return met.select("id", F.explode("_searches").alias("_search")).select("_search.search_id", "id")
 
 
 def keyword_summary(df: DataFrame, id_col: str, array: str, least: int, k: int) -> DataFrame:

@@ -150,6 +150,16 @@ def test_alerts_of_postings_without_sector(spark):
         assert sorted(map(tuple, demand.alert_matches(s, p, bound).collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 2), (3, 3)]
 
 
+def test_equal_searches_meet_postings_in_blocks(spark):
+    p = spark.range(200).selectExpr("id", "'t' AS title", "'A' AS sector", "'x' AS area", "id AS salary_max", "CAST(NULL AS BIGINT) AS salary_min", "timestamp'2024-01-02' + make_interval(0, 0, 0, -2 * (id % 2)) AS found_at")
+    s = spark.range(500).selectExpr("nullif(id, 7) AS search_id", "CAST(NULL AS STRING) AS want_words", "100 AS want_salary", "element_at(array('A', NULL), CAST(id % 2 + 1 AS INT)) AS want_sector", "'x' AS want_area", "timestamp'2024-01-01' AS last_alerted_at")
+    want = sorted((str(None if x == 7 else x), i) for x in range(500) for i in range(100, 200, 2))
+    for bound in (10, 1):
+        out = demand.alert_matches(s, p, bound)
+        assert sorted((str(x), i) for x, i in map(tuple, out.collect())) == want and joined_rows(spark, out) < 1_000  # of 25,000 matches
+    assert demand.alert_matches(s.where("false"), p).isEmpty()
+
+
 def test_similar_against_all_pairs(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice("abc"), rng.choice("xy"), rng.randrange(20)) for i in range(60)]
