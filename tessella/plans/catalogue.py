@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, names, pay, text, times
 from ..operators import dedup, demand, maintenance, places, search, stats, timeseries
-from ..sources.tables import AS_OF, EVENTS_AS_OF, postings, registry, table
+from ..sources.tables import AS_OF, EVENTS_AS_OF, dealt, postings, registry, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -621,7 +621,8 @@ FROM (SELECT c_custkey, replace(c_name, '#', ' ') AS n FROM customer)""")
 def display_names(spark, sf_dir):
     shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("c_custkey") % 12 + 1).cast("int"))
     raw = F.replace(shape, F.lit("{}"), F.translate("c_name", "#", " "))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), names.display_company(raw).alias("company"))
+    people = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return people.select(F.col("c_custkey").alias("id"), names.display_company(raw).alias("company"))
 
 
 @query("sector_hashes", """

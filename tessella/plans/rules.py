@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, html, names, times
 from ..operators import gates, intent, links
-from ..sources.tables import AS_OF, postings, table
+from ..sources.tables import AS_OF, dealt, postings, table
 from .catalogue import POSTINGS, query
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -262,7 +262,8 @@ def companies_shown(spark, sf_dir):
     after = lambda x: F.concat(n, F.lit(x))
     page = F.get(F.array(F.concat((k + 100).cast("string"), F.lit(" "), n), F.concat(F.lit("12-3456789 "), n), n, F.concat(F.lit("12 "), n), F.lit("Careers")), form)
     label = F.get(F.array(after(" (retail and home)"), F.concat(F.lit("lever/"), F.translate(n, " ", "")), after(" Group"), F.concat(F.lit("jobs."), F.translate(n, " ", ""), F.lit(".com")), after(" / CityMD")), form)
-    return table(spark, sf_dir, "customer").select(k.alias("id"), names.company_shown(page, label).alias("company"), names.strip_entity_code(page).alias("bare"))
+    people = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return people.select(k.alias("id"), names.company_shown(page, label).alias("company"), names.strip_entity_code(page).alias("bare"))
 
 
 @query("microdata_postings", """

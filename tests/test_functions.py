@@ -177,3 +177,10 @@ def test_folds(spark):
     cases = {"Crème Brûlée": "creme brulee", "Straße & Söhne": "strasse and sohne", "ﬁrst ﬀ ﬄ": "first ff ffl", "Ｗｉｄｅ": "wide", "Đà Nẵng": "a nang", "Ǆ ĳ": "dz ij", "D.C.": "dc", "☃": "", None: None}
     assert values(spark, cases, text.plain_words) == list(cases.values())
     assert values(spark, ["Crème ﬂan", "Straße", "Huế"], text.slug) == ["creme-flan", "strae", "hue"]
+
+
+def test_names_are_worked_out_once(spark):
+    """Inside lambdas Spark repeats an expression as often as it is named, which made the plan of one name many times longer."""
+    df = spark.createDataFrame([("a", "b")], "page string, label string")
+    splits = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert splits(names.display_company(F.col("page"))) <= 30 and splits(names.company_shown(F.col("page"), F.col("label"))) <= 60
