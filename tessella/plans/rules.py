@@ -277,7 +277,8 @@ def microdata_postings(spark, sf_dir):
         t('<h1 itemprop="title">Not here</h1><div itemscope itemtype="https://schema.org/JobPosting"><h1 itemprop="title">'), c("p_name"), t("</h1>"), F.when(k % 3 == 0, "").otherwise(company),
         place, F.when(k % 2 == 0, '<meta itemprop="datePosted" content="2024-03-01T10:00">').otherwise(""), t('</div><i itemprop="datePosted">2020-01-01</i>'),
     )
-    return table(spark, sf_dir, "part").select(k.alias("id"), html.ld_posting(page).alias("x")).select("id", "x.title", "x.company", "x.location", "x.posted")
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey")
+    return parts.select(k.alias("id"), html.ld_posting(page).alias("x")).select("id", "x.title", "x.company", "x.location", "x.posted")
 
 
 @query("search_intents", """

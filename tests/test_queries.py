@@ -43,3 +43,8 @@ def test_matches_duckdb(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_other_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["microdata_postings", "companies_shown", "display_names"])
+def test_rows_of_one_file_are_dealt(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
