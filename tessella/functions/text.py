@@ -70,9 +70,10 @@ def split_locations(raw: Column, entries: int = 100, longest: int = 255) -> Colu
     Chunks end at ; or |; blank ones and those that end in an ellipsis are dropped. HTML entities must be decoded before.
     """
     chunks = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), "[;|]"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.endswith("..."))
-    folded = F.transform(chunks, lambda x: F.lower(x))
-    first = F.filter(F.transform(chunks, lambda x, i: F.when(F.array_position(folded, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-    return F.transform(F.slice(first, 1, entries), lambda x: F.substring(x, 1, longest))
+    # Chunks and their lower case are worked out once and looked through for the entries that are kept only.
+    both = F.transform(F.array(chunks), lambda c: F.struct(c.alias("chunks"), F.transform(c, lambda x: F.lower(x)).alias("low")))
+    firsts = lambda b: F.transform(F.slice(F.array_distinct(b["low"]), 1, entries), lambda y: F.substring(F.get(b["chunks"], (F.array_position(b["low"], y) - 1).cast("int")), 1, longest))
+    return F.get(F.transform(both, firsts), 0)
 
 
 def query_terms(q: str) -> tuple[list[str], list[str]]:

@@ -184,3 +184,10 @@ def test_names_are_worked_out_once(spark):
     df = spark.createDataFrame([("a", "b")], "page string, label string")
     splits = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("split(")
     assert splits(names.display_company(F.col("page"))) <= 30 and splits(names.company_shown(F.col("page"), F.col("label"))) <= 60
+
+
+def test_locations_are_split_once(spark):
+    df = spark.createDataFrame([(";".join(f"{'Aa'[k % 2]}{k // 2}" for k in range(600)),)], "x string")
+    out = df.select(text.split_locations(F.col("x")).alias("y"))
+    assert out.first().y == [f"A{k}" for k in range(100)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[;|]") == 1
