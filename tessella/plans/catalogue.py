@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, names, pay, text, times
 from ..operators import dedup, demand, maintenance, places, search, stats, timeseries
-from ..sources.tables import AS_OF, EVENTS_AS_OF, dealt, postings, registry, table
+from ..sources.tables import AS_OF, EVENTS_AS_OF, dealt, postings, registry, small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -600,11 +600,13 @@ def html_titles(spark, sf_dir):
 
 @query("html_text")
 def html_text(spark, sf_dir):
+    small_batches(spark)
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text("html").alias("text"))
 
 
 @query("html_postings")
 def html_postings(spark, sf_dir):
+    small_batches(spark)
     x = table(spark, sf_dir, "pages").select("page_id", html.ld_posting("html").alias("x"), html.page_title(F.col("html")).alias("t"), pay.salary_from_text("html").alias("s"))
     return x.select("page_id", F.coalesce("x.title", "t").alias("title"), "x.company", "x.location", F.coalesce("x.salary_min", "s.salary_min").alias("salary_min"), F.coalesce("x.salary_max", "s.salary_max").alias("salary_max"), "x.posted", "x.workplace")
 

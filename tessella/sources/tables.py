@@ -20,6 +20,13 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand rows to Python in batches that stay small with whole pages, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as postings: who hires, where, for how much, since when, and whether it is over."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))

@@ -48,3 +48,14 @@ def test_other_queries_run(spark, sf_dir, name):
 @pytest.mark.parametrize("name", ["microdata_postings", "companies_shown", "display_names"])
 def test_rows_of_one_file_are_dealt(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pages_reach_python_in_small_batches(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for given, used in (("10000", "2000"), ("300", "300")):
+            spark.conf.set(key, given)
+            assert QUERIES["html_text"](spark, sf_dir).count() > 0 and spark.conf.get(key) == used
+    finally:
+        spark.conf.set(key, was)
