@@ -249,6 +249,7 @@ def joined_rows(spark, df) -> int:
     was = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
+        df = df.select("*")  # planned anew
         plan = df._jdf.queryExecution().executedPlan()
         df._jdf.collectToPython()
         todo, n = [plan], 0
