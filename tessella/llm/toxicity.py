@@ -6,8 +6,8 @@ text is scored. The score is a logistic model over the presence of words and of
 inflected forms of a stem count as well.
 
 What is learned: character trigrams of all texts, mixed with those of words that mark toxic texts; document
-frequencies of words and beginnings in all labelled texts of the training folds; the weights, from a sample of
-at most SAMPLE labelled rows.
+frequencies of words and beginnings in all labelled texts of the training folds; the weights, from all of those too,
+by Spark's logistic regression.
 """
 
 from __future__ import annotations
@@ -20,15 +20,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import hashstore
 from .common import checkpoint, free_name, released, shared_dir, strings
 from .lm import fold
 
-#: Labelled rows from which the weights are fitted, at most.
-SAMPLE = 30_000
+#: Labelled rows of a task while the weights are fitted: each round is a pass over them all, and tasks cost more than rows.
+FIT_ROWS = 20_000
 #: Toxic texts that must have a feature: so many and such a share, which bounds the number of features.
 MIN_TEXTS, MIN_SHARE = 4, 0.0005
 BEGINNINGS = (4, 5, 6, 7)
@@ -238,39 +241,25 @@ class Model:
         return 1 / (1 + math.exp(-max(min(z, 700.0), -700.0)))
 
 
-def sums_of(sizes: np.ndarray):
-    """A function that adds up an array over stretches of these sizes; empty ones give 0."""
-    some = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[some]
+def vectors(n: int):
+    """A batch function that turns labels and sorted lists of features into what Spark's models take: sparse vectors of ones."""
 
-    def add(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(sizes))
-        if len(some):
-            out[some] = np.add.reduceat(x, starts)
-        return out
+    def run(batches):
+        for b in batches:
+            m, at = b.num_rows, b.column(1)
+            ends = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (at.flatten(), pa.array(np.ones(ends[-1])))]
+            x = pa.StructArray.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(np.full(m, n, np.int32)), *lists], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.float64()), x], names=["label", "features"])
 
-    return add
-
-
-def fit(y: np.ndarray, rows: list[np.ndarray], n: int, rounds: int = 300, ridge: float = 0.01) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence features (lists of their numbers) by accelerated gradient descent: (weights, bias)."""
-    sizes = np.array([len(r) for r in rows], np.int64)
-    col = np.concatenate([np.zeros(0, np.int32), *rows])
-    order = np.argsort(col, kind="stable")  # the same pairs by feature, so that both sums run over neighbours
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
-    by_row, by_col = sums_of(sizes), sums_of(np.bincount(col, minlength=n))
-    size = sizes.max(initial=0) + 1
-    w, b = np.zeros(n), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    vw, vb, rate = w.copy(), b, 4.0 / size * len(y)
-    for t in range(rounds):
-        z = vb + by_row(vw[col])
-        err = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        nw = vw - rate / len(y) * (by_col(err[at]) + ridge * vw)
-        nb = vb - rate / len(y) * err.sum()
-        k = t / (t + 3)
-        vw, vb = nw + k * (nw - w), nb + k * (nb - b)
-        w, b = nw, nb
-    return w, b
+    return run
+
+
+def fit(rows: DataFrame, total: int, n: int, rounds: int = 300, ridge: float = 0.01) -> tuple[np.ndarray, float]:
+    """Logistic regression on presence features, over all of `rows` (y, at: lists of feature numbers below n): (weights, bias)."""
+    df = rows.select("y", "at").mapInArrow(vectors(n), StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())]))
+    model = LogisticRegression(family="binomial", regParam=ridge / total, standardization=False, maxIter=rounds).fit(df.coalesce(-(-total // FIT_ROWS)))
+    return model.coefficients.toArray(), float(model.intercept)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -281,12 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     store = hashstore.build(known, shared_dir(spark), 6, ["y"], ["u1"])
     df = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
-    def labelled(b: pa.RecordBatch, share: float = 1.0) -> tuple[list[int], list[str]]:
-        """Labels and texts of a batch's labelled rows, or of that share of them which the ids' hashes pick."""
+    def labelled(b: pa.RecordBatch) -> tuple[list[int], list[str]]:
+        """Labels and texts of a batch's labelled rows."""
         h = b.column(0).to_numpy().view(np.uint64)
         order = np.argsort(h)
         found, (y,) = store.lookup(h[order])
-        found &= (h[order] >> np.uint64(11)).astype(float) < share * 2.0**53
         hit = order[found]
         return y[found].tolist(), strings(b.column(1).take(pa.array(hit))) if len(hit) else []
 
@@ -344,13 +332,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = np.flatnonzero(sure > TELLING)
     index = {int(keys[i]): j for j, i in enumerate(chosen)}
     strong = {int(keys[i]) for i in chosen if odds[i] > 3}
-    portion = min(1.0, 0.95 * SAMPLE / sum(totals))  # so that the limit below cuts nothing off
+    if not len(chosen):
+        return Model(char_model(grams), {}, math.log(totals[1] / totals[0]))
 
-    def sample(batches):
+    def featured(batches):
+        """Label and features of each labelled row, and the strong words of toxic ones where the task first meets them."""
         memo: dict[str, tuple] = {}
+        told: set[str] = set()
         for b in batches:
             ys, ats, names = [], [], []
-            for y, text in zip(*labelled(b, portion), strict=True):
+            for y, text in zip(*labelled(b), strict=True):
                 hit, marks = set(), set()
                 for w in set(text.lower().split()):
                     k = memo.get(w)
@@ -359,17 +350,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         ks = features(c) if c else []
                         k = memo[w] = (tuple(index[x] for x in ks if x in index), c if ks and ks[0] in strong and c.isalpha() else "")
                     hit.update(k[0])
-                    if k[1]:
+                    if k[1] and y:
                         marks.add(k[1])
                 ys.append(int(y > 0))
-                ats.append(np.array(sorted(hit), np.int32).tobytes())
-                names.append(sorted(marks))
+                ats.append(sorted(hit))
+                names.append(sorted(marks - told))
+                told |= marks
             if len(memo) > MEMO:
                 memo.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ats, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["y", "at", "marks"])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ats, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=["y", "at", "marks"])
 
-    got = df.mapInArrow(released(sample), "y int, at binary, marks array<string>").limit(SAMPLE).collect()
-    w, bias = fit(np.array([r.y for r in got], float), [np.frombuffer(r["at"], np.int32) for r in got], len(chosen))
+    rows = checkpoint(df.mapInArrow(released(featured), "y int, at array<int>, marks array<string>"))
+    w, bias = fit(rows, sum(totals), len(chosen))
     # A feature that is surely a sign by itself is enough by itself: the fit alone spreads the weight over
     # features that occur together, and a text may have one of them only. Words that merely stand in a toxic text
     # with many copies look like signs too, but the fit gives them next to no weight, and so they get no more.
@@ -378,7 +370,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     low = (k / n + z * z / (2 * n) - z * np.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     alone = np.log(low / (1 - low)) - bias
     w = np.where((low > SURE) & (w > WEIGHTY * abs(bias)), np.maximum(w, alone), w)
-    marks = sorted({m for r in got if r.y for m in r.marks})
+    marks = sorted(r.m for r in rows.select(F.explode("marks").alias("m")).distinct().collect())  # a word for each strong feature at most
     own = trigram_counts(marks)
     corpus, mark_model = np.exp(char_model(grams)), np.exp(char_model(own))
     logp = np.log(0.7 * corpus + 0.3 * mark_model) if marks else np.log(corpus)

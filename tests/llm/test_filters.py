@@ -16,6 +16,7 @@ import pytest
 import zstandard as zstd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import decontam, sharding, toxicity, warc
 
@@ -128,6 +129,17 @@ def test_toxicity_held_out(taught):
     assert all(r.predicted == int(r.doc_id % 6 == 0) and 0 <= r.score <= 1 for r in held)
 
 
+def test_weights_are_fitted_on_all_labelled_rows(spark):
+    """At its optimum a logistic model's mean score is the share of toxic rows, over the rows that it was fitted on."""
+    n = 40_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', IF(id % 9 = 0, 'grumbel', 'timer'), IF(id % 7 = 0, 'wrackling', 'balo')) AS text")
+    chance = "pmod(xxhash64(id, 'toxic'), 1000) < CASE WHEN id % 9 = 0 AND id % 7 = 0 THEN 700 WHEN id % 9 = 0 THEN 400 WHEN id % 7 = 0 THEN 300 ELSE 40 END"
+    labels = spark.range(n).selectExpr("id AS doc_id", f"CAST({chance} AS INT) AS toxic")
+    model = toxicity.train(docs, labels)
+    mean = toxicity.score(docs, model, ["doc_id"]).agg(F.avg("score")).first()[0]
+    assert len(model.weights) > 2 and mean == pytest.approx(labels.agg(F.avg("toxic")).first()[0], rel=1e-3)
+
+
 def test_disguised_words_are_restored(taught):
     docs, labels = taught
     model = toxicity.train(docs, labels)
