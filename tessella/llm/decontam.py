@@ -200,9 +200,19 @@ def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, t
     rows and null ids stay rows of their own, null item ids are ignored as names but their words count as hits.
     `longest` is the longest match, in words, within one piece of an item (an eighth of `limit` and more).
     """
+    rows = packed(docs, carry, text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.IntegerType())])
+    return rows.mapInArrow(released(scanner(automata(bench, width, item_col, item_text, limit))), schema)
+
+
+def packed(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
+    """row (a struct of the columns in `carry`) and text."""
     row = F.struct(*[F.col(c) for c in carry], F.lit(0).alias(free_name("_", carry)))
-    out = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
-    files = automata(bench, width, item_col, item_text, limit)
+    return docs.select(row.alias("row"), F.col(text_col).cast("string").alias("text"))
+
+
+def scanner(files: list[str]):
+    """A batch function that adds what the automata of `files` find to rows and texts."""
 
     def scan(batches):
         for group in grouped(batches, GROUP_BYTES):
@@ -221,8 +231,7 @@ def find(docs: DataFrame, bench: DataFrame, carry: list[str], width: int = 10, t
                 flat = [np.array(x, np.int32).tobytes() for x in span]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(flat, pa.binary()), pa.array([sorted(x) for x in item], pa.list_(pa.string())), pa.array(far, pa.int32())], names=["row", "text", "spans", "items", "longest"])
 
-    schema = T.StructType([*out.schema.fields, T.StructField("spans", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.IntegerType())])
-    return out.mapInArrow(released(scan), schema)
+    return scan
 
 
 def grouped(batches, limit: int):
@@ -289,18 +298,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars", **options) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars", item_col: str = "item_id", item_text: str = "text", limit: int = AUTOMATON_WORDS) -> DataFrame:
     """Documents without contaminated spans; documents whose hit words exceed `coverage` of all words go.
 
     Returns the columns of `docs`; where `count_col` is one of them it is set anew for texts that were cut. Null
-    texts stay null.
+    texts stay null. Texts are searched and cut in one pass: a second one would have a worker of its own beside each task.
     """
     others = [c for c in docs.columns if c != text_col]
-    found = find(docs, bench, others, width=width, text_col=text_col, **options)
-    schema = T.StructType([*found.schema.fields[:2], T.StructField("cut", T.BooleanType())])
+    rows = packed(docs, others, text_col)
+    scan = scanner(automata(bench, width, item_col, item_text, limit))
+    schema = T.StructType([*rows.schema.fields, T.StructField("cut", T.BooleanType())])
 
     def edit(batches):
-        for b in batches:
+        for b in scan(batches):
             text, was_cut, keep = [], [], []
             for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 spans = unpack(s)
@@ -310,7 +320,7 @@ def clean(docs: DataFrame, bench: DataFrame, width: int = 10, coverage: float =
                 text.append(cut(t, spans) if spans and stays else t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(was_cut, pa.bool_())], names=["row", "text", "cut"]).filter(pa.array(keep, pa.bool_()))
 
-    edited = found.select("row", "text", "spans").mapInArrow(released(edit), schema)
+    edited = rows.mapInArrow(released(edit), schema)
     columns = {c: F.col("row")[c] for c in others} | {text_col: F.col("text")}
     if count_col in others:
         columns[count_col] = F.when(F.col("cut"), F.length("text")).otherwise(columns[count_col]).cast(docs.schema[count_col].dataType)

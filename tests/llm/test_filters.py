@@ -88,6 +88,12 @@ def test_clean(spark, tricky, no_documents):
     assert decontam.clean(no_documents, bench).collect() == [] and decontam.report(tricky, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_clean_has_one_worker_a_task(spark, documents):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    plan = decontam.clean(documents, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1, plan
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(0)
     logp = np.log(rng.dirichlet(np.ones(toxicity.N), size=(toxicity.N, toxicity.N)))
