@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts of searches: one for so many of all; and the searches that are broadcast, for each block of the bound.
-BLOCK, MOST = 4096, 1000
+#: Searches of a part and postings of a share; searches of a block (Parquet packs up to 504 values under one header) and postings of one; and the
+#: postings that are broadcast for each of the bound.
+PART, BLOCK, FEW, MOST = 65_536, 504, 256, 15
 
 
 def weighted_position(df: DataFrame, by: list[str]) -> DataFrame:
@@ -27,32 +28,47 @@ def top_parts(df: DataFrame, by: list[str], part: str, measure: str, k: int) ->
 def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000) -> DataFrame:
     """(search_id, id): postings found after each search's last alert that meet all of its parameters that aren't null.
 
-    Searches that say the same stand in blocks, and a posting is tested once a block, whose searches are then listed. Up to `bound` blocks are
-    broadcast. Beyond that each posting looks under its own sector and under none, which is a join on equal keys that spills and that adaptive
-    execution splits where a sector has very many postings. A posting without a sector meets searches without one only, on either way.
-    Only postings found after the earliest alert are dealt over the tasks.
+    Searches that say the same stand in blocks, and postings of one sector do too; a posting is tested once a block of searches, all of which are then
+    listed. A posting stands under its own sector and under none; one without a sector meets searches without one only. Only postings found after the
+    earliest alert are looked at. Up to MOST * `bound` of them are broadcast; beyond that parts of searches meet shares of postings in a join on equal keys.
+
+    The rows grow with the product of both tables, so their order counts where they are written: a block goes on from posting to posting, which
+    gives long runs of one id beside searches that repeat, and a task has few different ones. Parquet holds such a row in about a bit.
     """
     wanted = ["want_words", "want_salary", "want_area", "want_sector", "last_alerted_at"]
     n, since = searches.agg(F.count("*"), F.min("last_alerted_at")).first()
-    part = F.pmod(F.xxhash64("search_id"), F.lit(n // BLOCK + 1)).alias("_part")
-    blocks = searches.groupBy(*wanted, part).agg(F.collect_list(F.struct("search_id")).alias("_searches"))
-    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    looking = postings.where(F.col("found_at") > F.lit(since)).select("id", "title", "sector", "area", "salary_min", "salary_max", "found_at").repartition(tasks, "id")
+    either, pay = F.array_distinct(F.array("sector", F.lit(None).cast("string"))), F.coalesce("salary_max", "salary_min").alias("_pay")
+    fresh = postings.where(F.col("found_at") > F.lit(since)).select("id", F.lower("title").alias("_title"), "area", pay, "found_at", F.explode(either).alias("_under"))
+    m, tasks = fresh.where("_under IS NULL").count(), int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, shares = n // PART + 1, max(-(-m // PART), -(-tasks // (n // BLOCK + 1)))
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias("_sector")
+    blocks = _blocks(searches.select(*wanted, key("want_sector"), of("search_id", parts).alias("_part"), "search_id"), [*wanted, "_sector", "_part"], BLOCK, "_searches")
+    looking = _blocks(fresh.select(key("_under"), of("id", shares).alias("_share"), "id", "_title", "area", "_pay", "found_at"), ["_sector", "_share"], FEW, "_postings")
+    on, dealt = ["_sector", "_share"], max(tasks, n // (2 * BLOCK) + 1)
+    left = blocks.select("*", each(shares).alias("_share"))
+    if m <= MOST * bound:
+        left, right = left.repartition(dealt, *wanted, "_part", "_block", "_share"), F.broadcast(looking.drop("_block"))
+    else:
+        on.append("_part")
+        left, right = left.repartition(dealt, *on).hint("merge"), looking.drop("_block").select("*", each(parts).alias("_part")).repartition(dealt, *on)
     fits = lambda param, ok: F.col(param).isNull() | ok
-    on = (
-        (F.col("found_at") > F.col("last_alerted_at"))
-        & fits("want_words", F.lower("title").contains(F.lower("want_words")))
-        & fits("want_salary", F.coalesce("salary_max", "salary_min") >= F.col("want_salary"))
-        & fits("want_area", F.col("area") == F.col("want_area"))
+    meets = lambda p: (
+        (p["found_at"] > F.col("last_alerted_at"))
+        & fits("want_words", p["_title"].contains(F.lower("want_words")))
+        & fits("want_salary", p["_pay"] >= F.col("want_salary"))
+        & fits("want_area", p["area"] == F.col("want_area"))
     )
-    if n <= MOST * bound and blocks.limit(bound + 1).count() <= bound:
-        by_sector = F.col("want_sector").isNull() | (F.col("sector") == F.col("want_sector"))
-        met = looking.join(F.broadcast(blocks), on & by_sector)
-    else:
-        either = F.array_distinct(F.array("sector", F.lit(None).cast("string")))
-        keyed = looking.select("*", F.explode(either).alias("_sector"))
-        met = keyed.join(blocks, F.col("_sector").eqNullSafe(F.col("want_sector")) & on)
-    return met.select("id", F.explode("_searches").alias("_search")).select("_search.search_id", "id")
+    met = left.join(right, on).select("_searches", F.filter("_postings", meets)["id"].alias("_ids"))
+    return met.select("_searches", F.explode("_ids").alias("id")).select(F.explode("_searches.search_id").alias("search_id"), "id")
+
+
+def _blocks(df: DataFrame, by: list[str], size: int, name: str) -> DataFrame:
+    """(by, _block, name): the other columns of each group's rows, in order and so many a block. In order, so that a repeated task gives the same blocks."""
+    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c not in by]))).alias("_rows"))
+    at = rows.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.size("_rows") / size).cast("int") - 1)).alias("_block"))
+    return at.select(*by, "_block", F.slice("_rows", F.col("_block") * size + 1, size).alias(name))
 
 
 def keyword_summary(df: DataFrame, id_col: str, array: str, least: int, k: int) -> DataFrame:

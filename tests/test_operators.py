@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
 import random
 from collections import defaultdict
@@ -160,6 +161,32 @@ def test_equal_searches_meet_postings_in_blocks(spark):
     assert demand.alert_matches(s.where("false"), p).isEmpty()
 
 
+def test_alerts_by_both_ways_against_all_pairs(spark):
+    rng = random.Random(6)
+    some = lambda *x: rng.choice([None, *x])
+    day = lambda k: dt.datetime(2024, 1, 1 + k)
+    s = [(i, some("t1", "T2"), some(150, 300), some("A", "B", "C", ""), some("x", "y"), day(rng.randrange(4))) for i in range(300)]
+    p = [(i, rng.choice(["T1 t2", "t1", None, "u"]), some("A", "B", ""), some("x", "y"), some(100, 200, 400), some(100, 300), day(rng.randrange(5))) for i in range(700)]
+    meet = lambda s, p: p[6] > s[5] and (s[1] is None or s[1].lower() in (p[1] or "").lower()) and (s[2] is None or next((v for v in (p[5], p[4]) if v is not None), 0) >= s[2]) and s[3] in (None, p[2]) and s[4] in (None, p[3])
+    want = sorted((a[0], b[0]) for a in s for b in p if meet(a, b))
+    searches = spark.createDataFrame(s, "search_id long, want_words string, want_salary int, want_sector string, want_area string, last_alerted_at timestamp")
+    found = spark.createDataFrame(p, "id long, title string, sector string, area string, salary_min long, salary_max long, found_at timestamp")
+    for bound in (10_000, 1):
+        assert sorted(map(tuple, demand.alert_matches(searches, found, bound).collect())) == want
+
+
+def test_alerts_take_little_disk(spark, tmp_path):
+    """The rows grow with the product of searches and postings; runs and repeats in their order keep the files small."""
+    p = spark.range(3_000).selectExpr("id", "'t' AS title", "concat('S', id % 5) AS sector", "'x' AS area", "id AS salary_max", "CAST(NULL AS BIGINT) AS salary_min", "timestamp'2024-01-02' AS found_at")
+    s = spark.range(12_000).selectExpr("id AS search_id", "CAST(NULL AS STRING) AS want_words", "nullif(id % 3 * 1000, 0) AS want_salary", "nullif(concat('S', id % 7), 'S6') AS want_sector", "CAST(NULL AS STRING) AS want_area", "timestamp'2024-01-01' AS last_alerted_at")
+    for bound in (10_000, 1):
+        out = str(tmp_path / str(bound))
+        demand.alert_matches(s, p, bound).write.parquet(out)
+        assert spark.read.parquet(out).count() == s.join(p, F.expr("(want_salary IS NULL OR salary_max >= want_salary) AND (want_sector IS NULL OR sector = want_sector)")).count()
+        size = sum(x.stat().st_size for x in (tmp_path / str(bound)).glob("*.parquet"))
+        assert size < 0.4 * spark.read.parquet(out).count(), size
+
+
 def test_similar_against_all_pairs(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice("abc"), rng.choice("xy"), rng.randrange(20)) for i in range(60)]
