@@ -236,11 +236,11 @@ _RAW = "CASE WHEN turn % 2 = 0 THEN replace(replace(text, '. ', '; '), ', ', '|'
 
 @query("location_counts", f"""
 WITH c AS (SELECT conv_id, [trim(x) FOR x IN regexp_split_to_array({_RAW}, '[;|]') IF trim(x) <> '' AND NOT ends_with(trim(x), '...')] AS e FROM conversations),
-f AS (SELECT conv_id, [x FOR x, i IN e IF list_position([lower(y) FOR y IN e], lower(x)) = i][1:100] AS e FROM c),
-u AS (SELECT conv_id, unnest(e)[1:255] AS place FROM f)
+f AS (SELECT conv_id, [x FOR x, i IN e IF list_position([lower(y) FOR y IN e], lower(x)) = i] AS e FROM c),
+u AS (SELECT conv_id, unnest(e) AS place FROM f)
 SELECT place, count(DISTINCT conv_id) AS n FROM u GROUP BY place ORDER BY n DESC, place LIMIT 500""")
 def location_counts(spark, sf_dir):
-    df = table(spark, sf_dir, "conversations").select("conv_id", text.split_locations(F.expr(_RAW)).alias("places"))
+    df = table(spark, sf_dir, "conversations").select("conv_id", text.split_locations(F.expr(_RAW), None, None).alias("places"))
     return df.select("conv_id", F.explode("places").alias("place")).groupBy("place").agg(F.countDistinct("conv_id").alias("n")).orderBy(F.desc("n"), "place").limit(500)
 
 

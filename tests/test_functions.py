@@ -191,3 +191,11 @@ def test_locations_are_split_once(spark):
     out = df.select(text.split_locations(F.col("x")).alias("y"))
     assert out.first().y == [f"A{k}" for k in range(100)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("[;|]") == 1
+
+
+def test_all_locations_whole(spark):
+    case = [";".join(f"{'Aa'[k % 2]}{k // 2}" for k in range(600)), "b;a;B; A|c", "x" * 300 + "y|" + "x" * 300 + "z", None]
+    got = values(spark, case, lambda x: text.split_locations(x, None, None))
+    assert got == [[f"A{k}" for k in range(300)], ["b", "a", "c"], ["x" * 300 + "y", "x" * 300 + "z"], []]
+    began, many = time.time(), spark.range(8).selectExpr("array_join(transform(sequence(1, 20000), k -> concat(k, ' ', id)), ';') AS x").select(text.split_locations(F.col("x"), None, None).alias("y"))
+    assert many.agg(F.sum(F.size("y")), F.max(F.element_at("y", -1))).first() == (160_000, "20000 7") and time.time() - began < 20

@@ -59,3 +59,14 @@ def test_pages_reach_python_in_small_batches(spark, sf_dir):
             assert QUERIES["html_text"](spark, sf_dir).count() > 0 and spark.conf.get(key) == used
     finally:
         spark.conf.set(key, was)
+
+
+def test_every_location_is_counted(spark, tmp_path):
+    """Of rows with very many places all count, and long ones that begin alike are two."""
+    many, long = " ".join(f"p{k}" for k in range(450)), "x" * 300
+    rows = [(i, 1, "assistant", f"{many} {' '.join(f'{i}-{k}' for k in range(300))} last") for i in range(3)] + [(3, 0, "user", f"{long}y. {long}z, P7")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["location_counts"](spark, str(tmp_path)).collect()]
+    assert got == c.execute(ORACLE_SQL["location_counts"]).fetchall() and {("last", 3), ("p449", 3)} <= set(got)
