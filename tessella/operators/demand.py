@@ -40,7 +40,8 @@ def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000)
     either, pay = F.array_distinct(F.array("sector", F.lit(None).cast("string"))), F.coalesce("salary_max", "salary_min").alias("_pay")
     fresh = postings.where(F.col("found_at") > F.lit(since)).select("id", F.lower("title").alias("_title"), "area", pay, "found_at", F.explode(either).alias("_under"))
     m, tasks = fresh.where("_under IS NULL").count(), int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, shares = n // PART + 1, max(-(-m // PART), -(-tasks // (n // BLOCK + 1)))
+    few = m <= MOST * bound
+    parts, shares = n // PART + 1, max(-(-m // (PART if few else PART // 4)), -(-tasks // (n // BLOCK + 1)))  # a part meets a share in one task, unless broadcast
     of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias("_sector")
@@ -48,7 +49,7 @@ def alert_matches(searches: DataFrame, postings: DataFrame, bound: int = 10_000)
     looking = _blocks(fresh.select(key("_under"), of("id", shares).alias("_share"), "id", "_title", "area", "_pay", "found_at"), ["_sector", "_share"], FEW, "_postings")
     on, dealt = ["_sector", "_share"], max(tasks, n // (2 * BLOCK) + 1)
     left = blocks.select("*", each(shares).alias("_share"))
-    if m <= MOST * bound:
+    if few:
         left, right = left.repartition(dealt, *wanted, "_part", "_block", "_share"), F.broadcast(looking.drop("_block"))
     else:
         on.append("_part")
